@@ -9,13 +9,29 @@ from pyspark.sql import functions as F
 
 from kosha.session import table
 
-from . import packing, repetition, splitting, tokens
+from . import lookalikes, mapping, packing, repetition, splitting, tokens
 
 
 def _doc_sizes(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text", as_counts=True)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return mapping.found(table(spark, d, "resolutions"), table(spark, d, "programs"), table(spark, d, "faculties"))
+
+
+def p2_mapped(spark: SparkSession, d: str) -> DataFrame:
+    return mapping.map_resolutions(table(spark, d, "resolutions"), table(spark, d, "programs"), table(spark, d, "faculties"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.found(table(spark, d, "resolutions"), "res_no", ["title", "raw_text"])
+
+
+def p3_forms(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.forms(table(spark, d, "resolutions"), "res_no", ["title", "raw_text"])
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.found(table(spark, d, "resolutions"), "res_no", "raw_text")
 
@@ -46,7 +62,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_found, p6_pieces, p7_found, p7_shares, p8_ids, p9_found, p9_containers)}
+    return {f.__name__: f for f in (p2_found, p2_mapped, p3_found, p3_forms, p6_found, p6_pieces, p7_found, p7_shares, p8_ids, p9_found, p9_containers)}
 
 
 def oracle_sql() -> dict[str, str]:
