@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kosha.session import table
 
-from . import lookalikes, mapping, packing, repetition, splitting, tokens
+from . import lookalikes, mapping, neardup, packing, repetition, splitting, tokens
 
 
 def _doc_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -32,6 +32,14 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.forms(table(spark, d, "resolutions"), "res_no", ["title", "raw_text"])
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.found(table(spark, d, "resolutions"), "res_no", "raw_text")
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(table(spark, d, "resolutions"), "res_no", "raw_text")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.found(table(spark, d, "resolutions"), "res_no", "raw_text")
 
@@ -62,7 +70,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_mapped, p3_found, p3_forms, p6_found, p6_pieces, p7_found, p7_shares, p8_ids, p9_found, p9_containers)}
+    return {f.__name__: f for f in (p2_found, p2_mapped, p3_found, p3_forms, p4_found, p4_groups, p6_found, p6_pieces, p7_found, p7_shares, p8_ids, p9_found, p9_containers)}
 
 
 def oracle_sql() -> dict[str, str]:
