@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 
@@ -52,10 +50,8 @@ def window_hashes(values: np.ndarray, n: int) -> np.ndarray:
     return mix(done)
 
 
-def int_lists(lists: list, kind=None) -> pa.Array:
-    """A list<int32> column of Python lists, without per-item objects in Arrow's builder."""
-    kind = kind or pa.int32()
-    offsets = np.zeros(len(lists) + 1, np.int32)
-    np.cumsum([len(x) for x in lists], out=offsets[1:])
-    flat = np.fromiter(itertools.chain.from_iterable(lists), dtype=kind.to_pandas_dtype(), count=int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
+def int_lists(packed: list[bytes]) -> pa.Array:
+    """A list<int32> column of packed little-endian int32 values."""
+    offsets = np.zeros(len(packed) + 1, np.int32)
+    np.cumsum([len(x) // 4 for x in packed], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))

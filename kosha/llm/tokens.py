@@ -16,7 +16,6 @@ import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -156,24 +155,28 @@ def _counted(texts: DataFrame, path: str) -> DataFrame:
 
 
 class _Words(dict):
-    """Word → ids, by its atoms' ids."""
+    """Word → its ids as packed int32, by its atoms' ids."""
 
-    def __init__(self, known: dict[bytes, tuple], near: frozenset) -> None:
+    def __init__(self, known: dict[bytes, bytes], near: frozenset) -> None:
         self.known, self.near, self.rare = known, near, {}
 
-    def __missing__(self, word: str) -> tuple:
-        parts, own = atoms(word, self.near), True
-        ids: list[int] = []
-        for a in parts:
+    def __missing__(self, word: str) -> bytes:
+        own, ids = True, []
+        for a in atoms(word, self.near):
             got = self.known.get(a)
             if got is None:
                 got, own = self.rare[a], False
-            ids.extend(got)
+            ids.append(got)
+        found = b"".join(ids)
         if own:
             if len(self) > REMEMBERED:
                 self.clear()
-            self[word] = tuple(ids)
-        return tuple(ids)
+            self[word] = found
+        return found
+
+
+def _packed(ids: Iterable[int]) -> bytes:
+    return np.asarray(ids, "<i4").tobytes()
 
 
 def vocabulary(df: DataFrame, text: str, path: str) -> DataFrame:
@@ -194,7 +197,7 @@ def encode(df: DataFrame, key: str, text: str, path: str | None = None, as_count
     words = vocabulary(df, text, path)
     short = words.filter(F.octet_length("atom") <= BROADCAST_BYTES)
     top = short.orderBy(F.col("n").desc(), "atom").limit(limit).select("atom", "ids").toArrow()
-    known = dict(zip((bytes(x) for x in top.column(0).to_pylist()), map(tuple, top.column(1).to_pylist())))
+    known = dict(zip((bytes(x) for x in top.column(0).to_pylist()), map(_packed, top.column(1).to_pylist())))
     sent = spark.sparkContext.broadcast(known)
     docs = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = docs.schema["k"].dataType.simpleString()
@@ -231,11 +234,11 @@ def encode(df: DataFrame, key: str, text: str, path: str | None = None, as_count
             out = []
             for i, t in enumerate(b.column(1).to_pylist()):
                 if extra is not None:
-                    memo.rare = {bytes(x["atom"]): x["ids"] for x in extra[i] or ()}
+                    memo.rare = {bytes(x["atom"]): _packed(x["ids"]) for x in extra[i] or ()}
                 if as_counts:
-                    out.append(sum(map(len, map(get, split(t)))) if t else 0)
+                    out.append(sum(map(len, map(get, split(t)))) // 4 if t else 0)
                 else:
-                    out.append(list(chain.from_iterable(map(get, split(t)))) if t else [])
+                    out.append(b"".join(map(get, split(t))) if t else b"")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64()) if as_counts else int_lists(out)], names=["k", "out"])
 
     return docs.mapInArrow(assemble, f"k {kind}, out {'bigint' if as_counts else 'array<int>'}").select(F.col("k").alias(key), F.col("out").alias("n_tokens" if as_counts else "ids"))
