@@ -9,13 +9,25 @@ from pyspark.sql import functions as F
 
 from kosha.session import table
 
-from . import lookalikes, mapping, neardup, packing, repetition, splitting, tokens
+from . import lookalikes, mapping, neardup, packing, repetition, sentences, splitting, tokens
 
 
 def _doc_sizes(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text", as_counts=True)
 
 
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "resolutions").filter(F.get_json_object("metadata", "$.source_kind") == "typed")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.found(_typed(spark, d), "res_no", "raw_text")
+
+
+def p1_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "resolutions"), "res_no", "raw_text")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return mapping.found(table(spark, d, "resolutions"), table(spark, d, "programs"), table(spark, d, "faculties"))
 
@@ -70,7 +82,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_mapped, p3_found, p3_forms, p4_found, p4_groups, p6_found, p6_pieces, p7_found, p7_shares, p8_ids, p9_found, p9_containers)}
+    return {f.__name__: f for f in (p1_found, p1_sentences, p2_found, p2_mapped, p3_found, p3_forms, p4_found, p4_groups, p6_found, p6_pieces, p7_found, p7_shares, p8_ids, p9_found, p9_containers)}
 
 
 def oracle_sql() -> dict[str, str]:
