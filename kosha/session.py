@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +28,22 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python once a context, so that they need no installation."""
+    sc = spark.sparkContext
+    if getattr(sc, "_kosha_shipped", False):
+        return
+    here = Path(__file__).parent
+    out = Path(tempfile.mkdtemp(prefix="kosha-")) / "kosha.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, Path(here.name) / p.relative_to(here))
+    sc.addPyFile(str(out))
+    sc._kosha_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
