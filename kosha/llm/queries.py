@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kosha.session import table
 
-from . import lookalikes, mapping, neardup, packing, repetition, sentences, splitting, tokens
+from . import lookalikes, mapping, neardup, ocr, packing, repetition, sentences, splitting, tokens
 
 
 def _doc_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -52,6 +52,14 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(table(spark, d, "resolutions"), "res_no", "raw_text")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.found(table(spark, d, "resolutions"), table(spark, d, "page_results"))
+
+
+def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.paragraphs(table(spark, d, "resolutions"), table(spark, d, "page_results"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.found(table(spark, d, "resolutions"), "res_no", "raw_text")
 
@@ -82,7 +90,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_sentences, p2_found, p2_mapped, p3_found, p3_forms, p4_found, p4_groups, p6_found, p6_pieces, p7_found, p7_shares, p8_ids, p9_found, p9_containers)}
+    return {f.__name__: f for f in (p1_found, p1_sentences, p2_found, p2_mapped, p3_found, p3_forms, p4_found, p4_groups, p5_found, p5_paragraphs, p6_found, p6_pieces, p7_found, p7_shares, p8_ids, p9_found, p9_containers)}
 
 
 def oracle_sql() -> dict[str, str]:
