@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kosha.session import table
 
-from . import lookalikes, mapping, neardup, ocr, packing, repetition, sentences, splitting, tokens
+from . import lookalikes, mapping, neardup, ocr, packing, pii, repetition, sentences, splitting, tokens
 
 
 def _doc_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -89,8 +89,16 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_doc_sizes(spark, d), "doc_id", "n_tokens")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "documents"), "doc_id", "text").distinct()
+
+
+def p10_masked(spark: SparkSession, d: str) -> DataFrame:
+    return pii.masked(table(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_sentences, p2_found, p2_mapped, p3_found, p3_forms, p4_found, p4_groups, p5_found, p5_paragraphs, p6_found, p6_pieces, p7_found, p7_shares, p8_ids, p9_found, p9_containers)}
+    return {f.__name__: f for f in (p1_found, p1_sentences, p2_found, p2_mapped, p3_found, p3_forms, p4_found, p4_groups, p5_found, p5_paragraphs, p6_found, p6_pieces, p7_found, p7_shares, p8_ids, p9_found, p9_containers, p10_found, p10_masked)}
 
 
 def oracle_sql() -> dict[str, str]:
