@@ -57,7 +57,7 @@ def cosine_top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k:
                 score = np.round(_unit(_matrix(b.column(1))) @ q.T, 6)
                 order = np.lexsort((np.broadcast_to(keys[:, None], score.shape), -score), axis=0)[:k]
                 col = np.broadcast_to(np.arange(len(ids)), order.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(names[col.ravel()]), pa.array(keys[order.ravel()]), pa.array(score[order.ravel(), col.ravel()] + 0.0)], names=["query_key", key, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[col.ravel()], b.column(0).type), pa.array(keys[order.ravel()], b.column(0).type), pa.array(score[order.ravel(), col.ravel()] + 0.0)], names=["query_key", key, "score"])
 
         own = rows.filter(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, f"query_key {kind}, {key} {kind}, score double")
         out = own if out is None else out.union(own)
@@ -116,7 +116,7 @@ def maxsim_top_k(queries: DataFrame, docs: DataFrame, key: str, vectors: str, k:
                     score = np.round(np.maximum.reduceat(q @ flat.T, cuts[:-1], axis=1).sum(0), 6)
                     rows += [(i, keys[j], float(score[j])) for j in np.lexsort((np.array(keys), -score))[:k]]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["query_key", key, "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (b.column(0).type, b.column(0).type, pa.float64()))], names=["query_key", key, "score"])
 
         one = docs.filter(F.size(vectors) > 0).select(key, vectors).mapInArrow(run, f"query_key {kind}, {key} {kind}, score double")
         out = one if out is None else out.union(one)

@@ -25,7 +25,7 @@ def read_corpus(spark: SparkSession, root: str, limit: int | None = None) -> Dat
     """source_path, raw_text, year, session, title of the Markdown files below root; limit only for a development subset.
 
     A meeting's manifest.json (a list of file, title, url) overrides the title; a missing or broken one is
-    empty. A byte order mark is dropped.
+    empty. A byte order mark is dropped. Files of no bytes are skipped by the scan.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
     own = files.withColumn("source_path", F.url_decode(F.regexp_replace("path", r"\+", "%2B")))
