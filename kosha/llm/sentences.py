@@ -45,7 +45,7 @@ _CLOSE = r"""[)\]"'”’»]"""
 _NEXT = rf"""(?=[ \n]+["'“‘(\[「『]?[A-ZÀ-Þ{_THAI}{_NAGARI}{_CJK}])"""
 _BOUNDARIES = (
     rf"(?<=[ \n])(?={_OPENER})",
-    rf"(?<=[^{_THAI} \n][.…]{_CLOSE}{{0,2}}){_NEXT}",
+    rf"(?<=[^{_THAI}{_NAGARI} \n][.…]{_CLOSE}{{0,2}}){_NEXT}",
     rf"""(?<=[?!]{_CLOSE}{{0,2}})(?=[ \n]+["'“‘(\[「『]?[^ \na-z{SPACE}])""",
     rf"""(?<={QUOTED}["”’]{{1,2}}){_NEXT}""",
     rf"(?<=[?!])(?=[{_CJK}{_NAGARI}])",
