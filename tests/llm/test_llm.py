@@ -266,9 +266,13 @@ def test_plan(counts):
             assert (length, r) not in taken
             taken[length, r] = c
     assert all(x >= 0 for x in room.values()) and len(taken) == sum(counts.values())
-    if counts:
-        least = max(sum(a * b for a, b in counts.items()) / 50, sum(b for a, b in counts.items() if a > 25))
-        assert len(room) <= 1.25 * least + 2
+    rooms: list[int] = []  # best fit, item by item
+    for length in sorted((a for a, b in counts.items() for _ in range(b)), reverse=True):
+        fit = min((x for x in rooms if x >= length), default=None)
+        if fit is not None:
+            rooms.remove(fit)
+        rooms.append((50 if fit is None else fit) - length)
+    assert len(room) == len(rooms)
 
 
 def test_pack(spark):
