@@ -50,6 +50,12 @@ def window_hashes(values: np.ndarray, n: int) -> np.ndarray:
     return mix(done)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Ascending distinct values; several times faster here than numpy's own."""
+    s = np.sort(values)
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
+
+
 def int_lists(packed: list[bytes]) -> pa.Array:
     """A list<int32> column of packed little-endian int32 values."""
     offsets = np.zeros(len(packed) + 1, np.int32)
