@@ -8,6 +8,8 @@ sentences are read from the original text at the places of the parts.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +36,14 @@ _UNSEEN = "[\u00ad\u200b-\u200d\u2060\ufeff]*"
 
 
 def _loose(word: str) -> str:
-    """The word with invisible characters allowed between its letters."""
-    head, _, tail = word.partition("(?")
-    return _UNSEEN.join(head) + (f"(?{tail}" if tail else "")
+    """The word with invisible characters allowed between its letters, and in each of the ways to write it that look the same."""
+
+    def units(part: str) -> str:
+        ways = {"ำ": "(?:ำ|ํา)", "แ": "(?:แ|เเ)"}
+        return _UNSEEN.join(ways.get(u) or (f"(?:{u}|{u[::-1]})" if len(u) == 2 else u) for u in re.findall("[ัิ-ู][่-๋]|.", part))
+
+    head, _, tail = word.partition("(?!")
+    return units(head) + (f"(?!{_UNSEEN}{units(tail[:-1])})" if tail else "")
 
 
 _CONNECTIVE = "(?:" + "|".join(map(_loose, CONNECTIVES)) + ")"
@@ -44,8 +51,8 @@ _OPENER = "(?:" + "|".join(map(_loose, (*CONNECTIVES, *ACTORS))) + ")"
 _CLOSE = r"""[)\]"'”’»]"""
 _NEXT = rf"""(?=[ \n]+["'“‘(\[「『]?[A-ZÀ-Þ{_THAI}{_NAGARI}{_CJK}])"""
 _BOUNDARIES = (
-    rf"(?<=[ \n])(?={_OPENER})",
-    rf"(?<=[^{_THAI}{_NAGARI} \n][.…]{_CLOSE}{{0,2}}){_NEXT}",
+    rf"(?<=[ \n])(?={_UNSEEN}{_OPENER})",
+    rf"(?<=[^{_THAI}{_NAGARI}{_UNSEEN[1:-2]} \n]{_UNSEEN[:-1]}{{0,2}}[.…]{_CLOSE}{{0,2}}){_NEXT}",
     rf"""(?<=[?!]{_CLOSE}{{0,2}})(?=[ \n]+["'“‘(\[「『]?[^ \na-z{SPACE}])""",
     rf"""(?<={QUOTED}["”’]{{1,2}}){_NEXT}""",
     rf"(?<=[?!])(?=[{_CJK}{_NAGARI}])",
@@ -65,7 +72,7 @@ _BOUNDARIES = (
 _SPLIT = rf"""(?:(?<=[ \n.…?!)\]"'”’»」』。！？）।॥{QUOTED}{AFTER_HEADING}{TABLE}])|(?=[\n{TABLE}]))(?:{"|".join(_BOUNDARIES)})"""
 #: Masks by pattern, applied in this order; each replaces one character by one.
 _MASKS = (
-    (r"(?m)^( *\(?[0-9๐-๙]{1,3})\. ", rf"$1{DOT}{AFTER_MARKER}"),
+    (r"(?m)^(?<!\b(?:p|pp|No|Sec|Fig|Ch|Art|vs|approx)\.\n)( *\(?[0-9๐-๙]{1,3})\. ", rf"$1{DOT}{AFTER_MARKER}"),
     (r"(?m)^( *(?:\(?[0-9๐-๙]{1,3}\)|\([a-zก-ฮ]\)|[-•*–—·])) ", rf"$1{AFTER_MARKER}"),
     (r"(?m)^(#[^\n]*)\n", rf"$1{AFTER_HEADING}"),
     # decimals, versions, URLs and addresses, dots inside abbreviations
@@ -73,7 +80,8 @@ _MASKS = (
     (r"(?<=\b(?:" + "|".join(x.replace(".", f"[.{DOT}]") for x in ABBREVIATIONS) + r"))\.", DOT),
     # initials
     (r"(?<=(?<![A-Za-z.])[A-Z])\.(?= )", DOT),
-    (rf"({_CONNECTIVE})[ \n]", rf"$1{SPACE}"),
+    (rf"({_CONNECTIVE}{_UNSEEN})[ \n]", rf"$1{SPACE}"),
+    (rf"(?<={SPACE})[ \n](?=[^ \n])", SPACE),
 )
 
 
