@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kosha.session import stored
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
@@ -33,10 +35,9 @@ def corpus_stats(df: DataFrame, key: str, text: str) -> DataFrame:
 def term_stats(posted: DataFrame, n_docs: int) -> DataFrame:
     """term, df, idf: a negative idf is replaced by EPSILON times the mean idf over all terms."""
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("raw", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    floor = F.broadcast(mean)  # one row
-    return raw.join(floor).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    raw = stored(df.withColumn("raw", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+    mean = raw.agg(F.avg("raw").alias("mean")).first()["mean"]
+    return raw.select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.lit(mean)).otherwise(F.col("raw")).alias("idf"))
 
 
 def weighted_postings(df: DataFrame, key: str, text: str) -> DataFrame:

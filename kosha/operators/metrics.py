@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kosha.session import literal_rows
+
 KEYS = ("combination_id", "query_id")
 
 
@@ -37,9 +39,9 @@ def per_query(rankings: DataFrame, qrels: DataFrame, ks: tuple[int, ...]) -> Dat
         aggs += [F.count_if(inside).alias(f"hits_{k}"), F.sum(F.when(inside, F.col("hit_no") / F.col("rank")).otherwise(0.0)).alias(f"ap_{k}"), F.sum(F.when(inside, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias(f"dcg_{k}")]
     found = hits.groupBy(*KEYS).agg(*aggs)
     rel = judged(qrels).groupBy("query_id").agg(F.count("*").alias("n_rel"))
-    combos = rankings.select("combination_id").distinct()
-    # every judged query for every combination: the combinations ride along as one array
-    grid = rel.join(F.broadcast(combos.agg(F.collect_set("combination_id").alias("c")))).select("query_id", "n_rel", F.explode("c").alias("combination_id"))  # as many as there are index builds
+    # every judged query for every combination, of which there are as many as index builds
+    combos = literal_rows(rankings.select("combination_id").distinct())["combination_id"]
+    grid = rel.select("query_id", "n_rel", F.explode(combos).alias("combination_id"))
     out = grid.join(found, list(KEYS), "left")
     cols = [F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("rr")]
     for k in ks:

@@ -64,7 +64,7 @@ def kendall(pairs: DataFrame, group: list[str], x: str, y: str, item: str) -> Da
 
 def stratified(df: DataFrame, stratum: str, key: str, n: int) -> DataFrame:
     """About n rows: of each stratum max(1, round(n·share)), by hash order of the key."""
-    total = df.agg(F.count("*").alias("total"))
-    counts = df.groupBy(stratum).agg(F.count("*").alias("size")).join(F.broadcast(total))  # one row
+    total = df.count()
+    counts = df.groupBy(stratum).agg(F.count("*").alias("size"))
     w = Window.partitionBy(stratum).orderBy(F.md5(F.col(key).cast("string")), key)
-    return df.join(F.broadcast(counts), stratum).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= F.greatest(F.lit(1), F.round(n * F.col("size") / F.col("total")))).drop("r", "size", "total")
+    return df.join(counts, stratum).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= F.greatest(F.lit(1), F.round(n * F.col("size") / F.lit(max(total, 1))))).drop("r", "size")

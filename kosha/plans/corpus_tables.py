@@ -10,7 +10,7 @@ from kosha.functions import text as tx
 from kosha.operators import quality
 from kosha.plans.registry import query
 from kosha.plans.retrieval_queries import chunks
-from kosha.session import table
+from kosha.session import literal_rows, table
 from kosha.sources import tables
 
 _ROWS = r"<tr><td>([0-9]{8})</td><td>([^<]*)</td><td>([0-9]+\([0-9-]+\))</td></tr>"
@@ -62,9 +62,9 @@ def people_dictionary(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def fuzzy_faculties(spark: SparkSession, d: str) -> DataFrame:
     """The faculty whose name is most like each distinct tag, from a ratio of 0.82; the list has a fixed size."""
-    names = table(spark, d, "faculties").agg(F.collect_list(F.struct("faculty_id", "canonical")).alias("fs"))
+    names = literal_rows(table(spark, d, "faculties").select("faculty_id", "canonical"))
     tags = table(spark, d, "resolutions").select(F.explode("faculties").alias("tag")).filter("tag is not null").groupBy("tag").agg(F.count("*").alias("n"))
-    each = tags.join(F.broadcast(names)).select("tag", "n", F.explode("fs").alias("f")).withColumn("ratio", F.round(tx.fuzzy_ratio(F.col("tag"), F.col("f.canonical")), 6))
+    each = tags.select("tag", "n", F.explode(names).alias("f")).withColumn("ratio", F.round(tx.fuzzy_ratio(F.col("tag"), F.col("f.canonical")), 6))
     best = each.groupBy("tag", "n").agg(F.max_by(F.struct("f.faculty_id", "ratio"), F.struct("ratio", -F.col("f.faculty_id"))).alias("b"))
     return best.filter("b.ratio >= 0.82").select("tag", "n", "b.faculty_id", "b.ratio")
 

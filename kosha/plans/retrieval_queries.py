@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kosha.functions import text as tx
 from kosha.operators import dense, entities, fusion, lexical
 from kosha.plans.registry import query
-from kosha.session import stored, table
+from kosha.session import literal_rows, stored, table
 
 TOP, ARM = 10, 50
 
@@ -171,10 +171,9 @@ _PHRASE = r"regexp_matches(regexp_replace({0}, '[ \t\n\r]+', ' ', 'g'), '(?i)(^|
 
 @query(f"SELECT query_id, res_no FROM resolutions JOIN queries ON entity IS NOT NULL AND trim(entity) <> '' AND {_PHRASE.format('title', 'entity')}")
 def phrase_containment(spark: SparkSession, d: str) -> DataFrame:
-    """Titles that name a query's entity: the queries, a table of fixed size, ride along as one array."""
-    q = table(spark, d, "queries").filter("entity is not null").agg(F.collect_list(F.struct("query_id", "entity")).alias("qs"))
-    both = table(spark, d, "resolutions").filter("title is not null").select("res_no", "title").join(F.broadcast(q))
-    each = both.select("res_no", "title", F.explode("qs").alias("q"))
+    """Titles that name a query's entity; the queries, a table of fixed size, are a literal."""
+    q = literal_rows(table(spark, d, "queries").filter("entity is not null").select("query_id", "entity"))
+    each = table(spark, d, "resolutions").filter("title is not null").select("res_no", "title", F.explode(q).alias("q"))
     # a literal test first: most pairs end here
     near = each.filter(F.contains(F.lower(tx.collapse_ws(F.col("title"))), F.lower(tx.collapse_ws(F.col("q.entity")))))
     return near.filter(tx.contains_phrase(F.col("title"), F.col("q.entity"))).select("q.query_id", "res_no")

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from kosha.operators import fusion, metrics
 from kosha.plans.ranking_queries import _BASE, _PER, _scores
 from kosha.plans.registry import query
-from kosha.session import stored, table
+from kosha.session import literal_rows, stored, table
 
 _W = "0.3"
 
@@ -34,9 +34,9 @@ def cut_profile(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH f AS (SELECT DISTINCT field FROM programs), m AS (SELECT res_no, field FROM resolutions JOIN f ON contains(title, field)) SELECT res_no, field FROM m WHERE NOT EXISTS (SELECT 1 FROM m x WHERE x.res_no = m.res_no AND x.field <> m.field AND contains(x.field, m.field))""")
 def field_matches(spark: SparkSession, d: str) -> DataFrame:
     """Fields named by titles, without those that are part of a longer one named there; the list of fields has a fixed size."""
-    fields = table(spark, d, "programs").agg(F.collect_set("field").alias("fs"))
-    r = table(spark, d, "resolutions").filter("title is not null").select("res_no", "title").join(F.broadcast(fields))
-    hit = F.filter("fs", lambda f: F.contains("title", f))
+    fields = literal_rows(table(spark, d, "programs").select("field").distinct())["field"]
+    r = table(spark, d, "resolutions").filter("title is not null").select("res_no", "title")
+    hit = F.filter(fields, lambda f: F.contains("title", f))
     kept = r.withColumn("hit", hit).withColumn("kept", F.filter("hit", lambda f: ~F.exists("hit", lambda g: (g != f) & F.contains(g, f))))
     return kept.select("res_no", F.explode("kept").alias("field"))
 
@@ -99,8 +99,8 @@ FROM queries LEFT JOIN n USING (query_id) LEFT JOIN j USING (query_id, resolutio
 def anchor_precision(spark: SparkSession, d: str) -> DataFrame:
     """Of the documents that name a query's entity, the share judged relevant; undefined without any. The queries have a fixed number."""
     q = table(spark, d, "queries")
-    packed = q.filter("entity <> ''").agg(F.collect_list(F.struct("query_id", "entity")).alias("qs"))
-    r = table(spark, d, "resolutions").filter("title is not null").select("resolution_id", "title").distinct().join(F.broadcast(packed)).select("resolution_id", "title", F.explode("qs").alias("q")).filter(F.contains("title", F.col("q.entity")))
+    packed = literal_rows(q.filter("entity <> ''").select("query_id", "entity"))
+    r = table(spark, d, "resolutions").filter("title is not null").select("resolution_id", "title").distinct().select("resolution_id", "title", F.explode(packed).alias("q")).filter(F.contains("title", F.col("q.entity")))
     named = r.select("q.query_id", "resolution_id").distinct().join(metrics.judged(table(spark, d, "qrels")).withColumn("rel", F.lit(1)), ["query_id", "resolution_id"], "left")
     per = named.groupBy("query_id").agg(F.count("*").alias("naming"), F.count("rel").alias("judged"))
     out = q.select("query_id").join(per, "query_id", "left")
@@ -113,5 +113,5 @@ def throughput(spark: SparkSession, d: str) -> DataFrame:
     """The greatest hourly rate of each event type, its mean, and the rate of all types one after the other."""
     h = table(spark, d, "events").groupBy("event_type", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("h")).agg(F.count("*").alias("n"))
     q = h.groupBy("event_type").agg(F.max("n").alias("plateau"), F.round(F.avg("n"), 6).alias("mean"))
-    total = q.agg((1 / F.sum(1 / F.col("mean"))).alias("c"))  # one row
-    return q.join(F.broadcast(total)).select("event_type", "plateau", "mean", F.round("c", 5).alias("composed"))
+    total = stored(q).agg(F.try_divide(F.lit(1.0), F.sum(1 / F.col("mean"))).alias("c")).first()["c"]
+    return q.select("event_type", "plateau", "mean", F.round(F.lit(total).cast("double"), 5).alias("composed"))

@@ -8,7 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -47,6 +48,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def literal_rows(df: DataFrame) -> Column:
+    """The rows of a table of fixed size (a reference list, the combinations of an experiment) as one literal array of structs."""
+    item = lambda r: F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in df.schema])
+    return F.array(*map(item, df.collect())).cast(f"array<{df.schema.simpleString()}>")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
