@@ -56,9 +56,13 @@ def _numerals() -> str:
 def pre_tokens() -> Callable[[str], list[str]]:
     """The vocabulary's splitting pattern, 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+, for the faster standard module."""
     n = _numerals()
-    space = r"\t-\r \x85\xa0  -     　"
+    space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
     letter, number = rf"[^\W\d_{n}]", rf"[\d{n}]"
-    return re.compile(rf"'(?:[stmd]|re|ve|ll)| ?{letter}+| ?{number}+| ?(?:[^\w{space}{n}]|_)+|[{space}]+(?![^{space}])|[{space}]+").findall
+    exact = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?{letter}+| ?{number}+| ?(?:[^\w{space}{n}]|_)+|[{space}]+(?![^{space}])|[{space}]+").findall
+    # without numerals of the other kinds and separators that only Python takes for spaces, the module's own classes do, at half the time
+    plain = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No") or "\x1c" <= c <= "\x1f").isdisjoint
+    usual = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:[stmd]|re|ve|ll)| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+").findall
+    return lambda text: usual(text) if plain(text) else exact(text)
 
 
 @lru_cache(4)
