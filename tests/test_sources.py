@@ -34,6 +34,17 @@ def test_index_and_results(spark, tmp_path):
     assert a["docset"] == b["docset"] and a["n"] == 2
 
 
+def test_stored_tables_are_cleaned(spark):
+    from kosha.session import clean, stored
+
+    df = stored(spark.range(5))
+    assert df.count() == 5 and len(df.inputFiles()) > 0
+    clean(spark)
+    assert stored(spark.range(3)).count() == 3
+    with pytest.raises(Exception, match="(?i)exist"):
+        df.collect()
+
+
 def test_stream(spark, tmp_path):
     rows = [(1, "p", 1, ["f"], "a", "2025-01-01 00:00:00"), (1, "p", 1, ["f"], "a", "2025-01-01 00:00:00"), (2, "p", 2, ["f"], None, "2025-01-01 01:00:00")]
     src = tmp_path / "in"
