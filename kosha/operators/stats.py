@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kosha.session import stored
+
 
 def draw(seed: Column, n: Column) -> Column:
     """A portable draw from 0..n-1 by the first 8 hex digits of md5."""
@@ -18,10 +20,13 @@ def bootstrap(diffs: DataFrame, group: str, item: str, diff: str, n_boot: int) -
     A resample's mean is a weighted mean: each item's multiplicity is how often it was drawn. Differences
     of one group are an array (one number per judged query), so that nothing is joined.
     """
-    rows = diffs.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(item, diff))).alias("d"))
+    sorted_rows = diffs.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(item, diff))).alias("d"))
+    rows = stored(sorted_rows.select(group, F.col(f"d.{diff}").alias("d")))
     n = F.size("d").cast("bigint")
-    each = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    total = F.aggregate(F.sequence(F.lit(0), F.size("d") - 1), F.lit(0.0), lambda s, i: s + F.get(F.col(f"d.{diff}"), draw(F.concat_ws(":", F.col("b"), i), n).cast("int")))
+    # few rows, much work in each: dealt out to all cores, which adaptive execution would not do for so few bytes
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    each = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition(cores, group, "b")
+    total = F.aggregate(F.sequence(F.lit(0), F.size("d") - 1), F.lit(0.0), lambda s, i: s + F.get("d", draw(F.concat_ws(":", F.col("b"), i), n).cast("int")))
     means = each.select(group, F.size("d").alias("n"), F.round(total / n, 9).alias("m"))
     stat = means.groupBy(group, "n").agg(F.avg((F.col("m") <= 0).cast("double")).alias("le"), F.avg((F.col("m") >= 0).cast("double")).alias("ge"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
     own = diffs.groupBy(group).agg(F.avg(diff).alias("mean"))
