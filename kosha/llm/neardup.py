@@ -161,11 +161,22 @@ def _bands(sketches: DataFrame) -> DataFrame:
     return sketches.select("rep", "runs").mapInArrow(run, "key bigint, rep bigint")
 
 
+def _met(banded: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b, not distinct: all pairs with a key in common. banded: key, rep.
+
+    The texts of a key are dealt out in parts of about block, and each two parts are joined on their own.
+    """
+    counted = banded.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter(F.col("n") > 1).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    dealt = counted.withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    each = dealt.withColumn("other", other).select("key", "rep", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    return each.alias("a").join(each.alias("b"), ["key", "i", "j"]).filter("a.rep < b.rep and (i = j or a.part <> b.part)").select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+
+
 def candidates(sketches: DataFrame, prefix: int = PREFIX, shared: int = SHARED) -> DataFrame:
     """(a, b), a < b: representatives that share enough of their rarest runs, or a band. sketches: rep, runs.
 
-    Runs of more than RARE texts form no blocks. What shares only such runs meets in the bands: a text is paired with the
-    first of its band, so that copies of one text make a star; their other pairs come as siblings.
+    Runs of more than RARE texts form no blocks. What shares only such runs meets in the bands, each text with all others of its band.
     """
     by_run = sketches.select("rep", F.explode("runs").alias("run")).groupBy("run").agg(F.collect_list("rep").alias("reps")).filter((F.size("reps") > 1) & (F.size("reps") <= RARE))
     each = by_run.select("run", F.size("reps").alias("n"), F.explode("reps").alias("rep"))
@@ -175,10 +186,7 @@ def candidates(sketches: DataFrame, prefix: int = PREFIX, shared: int = SHARED)
     ranked = some.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("about", "run")))
     first = stored(ranked.filter(F.col("r") <= prefix).select("rep", "run"))
     joined = first.alias("a").join(first.alias("b"), "run").filter("a.rep < b.rep").groupBy(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).agg(F.count("*").alias("n")).filter(F.col("n") >= shared).select("a", "b")
-    banded = _bands(sketches)
-    heads = banded.groupBy("key").agg(F.min("rep").alias("a"), F.collect_list("rep").alias("reps")).filter(F.size("reps") > 1)
-    stars = heads.select("a", F.explode("reps").alias("b")).filter("a < b")
-    return joined.union(stars).distinct()
+    return joined.union(_met(_bands(sketches))).distinct()
 
 
 def _matched(pairs: DataFrame, sets: DataFrame, as_set: Callable, similarity: float) -> DataFrame:

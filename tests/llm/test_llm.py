@@ -145,6 +145,29 @@ def test_wide_classes_are_linked_to_their_first(spark):
     assert got == {(0, i) for i in range(1, neardup.LISTED + 6)}
 
 
+def test_interleaved_families_of_common_runs(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    shared = [word() for _ in range(70)]
+    bases = [[*shared, *(word() for _ in range(50))] for _ in range(2)]
+    texts = []
+    for i in range(160):  # edits are of one version only, so that no run is rare and shared
+        own = list(bases[i % 2])
+        for at in rng.sample(range(len(own)), 5):
+            own[at] = word()
+        texts.append(" ".join(own))
+    sets = [set(s[i : i + 10] for i in range(len(s) - 9)) for s in (t.replace(" ", "") for t in texts)]
+    want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    got = {(r["k_a"], r["k_b"]) for r in neardup.found(frame(spark, texts), "k", "t").collect()}
+    assert got == want and len(want) > 6000
+
+
+def test_pairs_of_a_band_in_parts(spark):
+    rows = [(key, rep) for key, n in ((1, 23), (2, 2), (3, 1)) for rep in range(n)]
+    got = [tuple(r) for r in neardup._met(spark.createDataFrame(rows, "key long, rep long"), 5).collect()]
+    assert sorted(got) == sorted([*itertools.combinations(range(23), 2), (0, 1)])
+
+
 def test_tree_is_exact():
     import numpy as np
 
