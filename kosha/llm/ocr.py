@@ -233,53 +233,58 @@ def _windows(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, key, code
 
 
-_PLACE = "array<struct<tbl:int,rec:bigint,line:int,col:int>>"
+#: Bits of a hash that a sieve goes by; it takes 8 MB, whatever passes it is joined.
+SIEVE = 26
 
 
-def _read(texts: DataFrame, edge: list[str], words: dict[str, int]) -> DataFrame:
-    """(key, c, n, places): counts of characters by context, with the places of those that may be misread.
+def _sieve(hashes: DataFrame) -> np.ndarray:
+    """A bit for the upper SIEVE bits of each hash (the only column h)."""
+    at = hashes.select(F.shiftrightunsigned("h", 64 - SIEVE).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << SIEVE - 6, np.uint64)
+    out[np.asarray(words["word"])] = np.asarray(words["bits"]).view(np.uint64)
+    return out
+
+
+def _passes(sieve: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h >> np.uint64(64 - SIEVE)
+    return (sieve[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
-    c = -1 and -2 are no characters but dropped lines and lines with a cut word. A character's
-    places are given where it is rare beside others of its context in this piece of work, or seen up to four times.
+
+def _read(texts: DataFrame, edge: list[str], words: dict[str, int], judged: DataFrame | None = None) -> DataFrame:
+    """(key, c, n): counts of characters by context, by pieces of work. With judged (key, c) instead (key, c, tbl, rec, line, col): places.
+
+    Places are those of the judged characters and of some others, which a join with judged leaves out. c = -1 and -2
+    are no characters but dropped lines and lines with a cut word.
     """
     spark: SparkSession = texts.sparkSession
     sent = spark.sparkContext.broadcast((edge, words))
-    struct = pa.struct([("tbl", pa.int32()), ("rec", pa.int64()), ("line", pa.int32()), ("col", pa.int32())])
+    sieve = judged and spark.sparkContext.broadcast(_sieve(judged.select(F.col("key").bitwiseXOR(F.shiftleft(F.col("c").cast("bigint"), 42)).alias("h"))))
     gap = np.full(4, 10, np.uint32)
 
     def counted(chars: list, lines: list) -> pa.RecordBatch:
-        cp = np.concatenate([gap, *chars, gap])
-        at, key, code = _windows(cp)
-        starts = np.array([x[0] for x in lines])
-        _, bad, _ = _codes()
+        _, key, code = _windows(np.concatenate([gap, *chars, gap]))
         both = key ^ mix(code.astype(np.uint64))
         order = np.argsort(both, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], both[order][1:] != both[order][:-1]])) if len(order) else np.zeros(0, np.int64)
         n = np.diff(np.append(first, len(order)))
         k, c = key[order[first]], code[order[first]]
-        best = np.zeros(len(k), np.int64)
-        if len(k):
-            by = np.argsort(k, kind="stable")
-            new = np.flatnonzero(np.concatenate([[True], k[by][1:] != k[by][:-1]]))
-            best[by] = np.repeat(np.maximum.reduceat(n[by], new), np.diff(np.append(new, len(by))))
-        may = np.where(c < _DOUBLE_CODE, bad[np.minimum(c, 0x10FFFF)], True) & ((5 * n <= best) | (n <= 4))
-        meta = np.array([x[1:] for x in lines], np.int64).reshape(-1, 3)
-        where, line = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        offsets = np.zeros(len(k) + 1, np.int64)
-        if len(order):
-            chosen = np.repeat(may, n)
-            where = at[order[chosen]]
-            line = np.searchsorted(starts, where, side="right") - 1
-            placed = meta[line, 0] < 2
-            held = np.zeros(len(order), np.int64)
-            held[np.flatnonzero(chosen)[placed]] = 1
-            offsets[1:] = np.cumsum(np.add.reduceat(held, first))
-            where, line = where[placed], line[placed]
-        places = pa.StructArray.from_arrays([pa.array(meta[line, 0].astype(np.int32)), pa.array(meta[line, 1]), pa.array(meta[line, 2].astype(np.int32)), pa.array((where - starts[line]).astype(np.int32))], fields=list(struct))
-        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int32)), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), places)], names=["key", "c", "n", "places"])
+        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int32)), pa.array(n.astype(np.int64))], names=["key", "c", "n"])
+
+    def rows(key: np.ndarray, code: np.ndarray, meta: np.ndarray, col: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(code.astype(np.int32)), pa.array(meta[:, 0].astype(np.int32)), pa.array(meta[:, 1]), pa.array(meta[:, 2].astype(np.int32)), pa.array(col.astype(np.int32))], names=["key", "c", "tbl", "rec", "line", "col"])
+
+    def placed(chars: list, lines: list) -> pa.RecordBatch:
+        at, key, code = _windows(np.concatenate([gap, *chars, gap]))
+        kept = _passes(sieve.value, key ^ (code.astype(np.uint64) << np.uint64(42)))
+        at, key, code = at[kept], key[kept], code[kept]
+        starts, meta = np.array([x[0] for x in lines], np.int64), np.array([x[1:] for x in lines], np.int64).reshape(-1, 3)
+        line = np.searchsorted(starts, at, side="right") - 1
+        return rows(key, code, meta[line], at - starts[line])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Lexicon(*sent.value)
+        done = placed if sieve else counted
         chars, lines, at = [], [], 4
         marks: list[tuple[int, int, int, int]] = []
         for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
@@ -289,7 +294,8 @@ def _read(texts: DataFrame, edge: list[str], words: dict[str, int]) -> DataFrame
                     drop, cut, body = set(), set(), [i for i, x in enumerate(own) if x.strip(" ") and not x.startswith(("#", "<table"))]
                 else:
                     drop, cut, body = _body(own, known)
-                marks += [(-1, tbl, rec, i) for i in sorted(drop)] + [(-2, tbl, rec, i) for i in sorted(cut)]
+                if sieve:
+                    marks += [(-1, tbl, rec, i) for i in sorted(drop)] + [(-2, tbl, rec, i) for i in sorted(cut)]
                 for j, i in enumerate(body):
                     x = own[i]
                     last = j + 1 == len(body) or body[j + 1] > i + 1
@@ -299,42 +305,47 @@ def _read(texts: DataFrame, edge: list[str], words: dict[str, int]) -> DataFrame
                     chars.append(piece)
                     at += len(piece)
             if at > CHUNK:
-                yield counted(chars, lines)
+                yield done(chars, lines)
                 chars, lines, at = [], [], 4
         if chars:
-            yield counted(chars, lines)
+            yield done(chars, lines)
         if marks:
-            kinds = np.array([m[0] for m in marks], np.int32)
-            places = pa.array([[{"tbl": m[1], "rec": m[2], "line": m[3], "col": 0}] for m in marks], pa.list_(struct))
-            keys = mix(np.array([(m[2] * 2 + m[1]) * (1 << 24) + m[3] for m in marks], np.int64).view(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(kinds), pa.array(np.ones(len(marks), np.int64)), places], names=["key", "c", "n", "places"])
+            m = np.array(marks, np.int64)
+            keys = mix(((m[:, 2] * 2 + m[:, 1]) * (1 << 24) + m[:, 3]).view(np.uint64))
+            yield rows(keys, m[:, 0], m[:, 1:], np.zeros(len(m), np.int64))
 
-    return texts.mapInArrow(run, f"key bigint, c int, n bigint, places {_PLACE}")
+    return texts.mapInArrow(run, "key bigint, c int, tbl int, rec bigint, line int, col int" if sieve else "key bigint, c int, n bigint")
 
 
-def noise(texts: DataFrame) -> DataFrame:
-    """(tbl, rec, line, col, kind, c, r): dropped lines, cut words and misread characters (code c, printed r).
-
-    texts: tbl (0 or 1; 2 for texts that are only counted), rec, text. Null and empty texts give no rows; rows read twice give theirs once.
-    """
-    edge, words = lexicon(texts.filter("tbl < 2"))
+def _judged(counts: DataFrame) -> DataFrame:
+    """(key, c, r): the characters c that are misread in their context, by the counts of the whole corpus, and what is printed."""
     _, _, wrong = _codes()
     rights = F.create_map(*[x for w, r in wrong.items() for x in (F.lit(w), F.array(*map(F.lit, r)))])
-    groups = _read(texts, edge, words).groupBy("key").agg(F.collect_list(F.struct("c", "n", "places")).alias("all"))
-    # contexts with nothing that may be misread end here
-    groups = groups.filter(F.exists("all", lambda e: F.size(e["places"]) > 0))
-    groups = groups.withColumn("seen", F.transform("all", lambda e: F.struct(e["c"].alias("c"), e["n"].alias("n"))))
-    each = groups.select("seen", F.explode(F.filter("all", lambda e: F.size(e["places"]) > 0)).alias("e")).select("seen", "e.*")
+    summed = counts.repartition("key").groupBy("key", "c").agg(F.sum("n").alias("n"))
+    # contexts of one character end here
+    groups = summed.groupBy("key").agg(F.collect_list(F.struct("c", "n")).alias("seen")).filter(F.size("seen") > 1)
+    each = groups.select("key", "seen", F.explode("seen").alias("e")).select("key", "seen", "e.*").filter(F.col("c").isin(list(wrong)))
 
     def total(code: Column) -> Column:
         return F.aggregate(F.filter("seen", lambda y: y["c"] == code), F.lit(0).cast("bigint"), lambda s, y: s + y["n"])
 
     options = F.transform(rights[F.col("c")], lambda r, i: F.struct((total(r) * F.pow(F.lit(FURTHER), i)).alias("score"), total(r).alias("n"), r.alias("r")))
-    judged = each.withColumn("best", F.when(F.col("c") >= 0, F.array_max(options)))
-    misread = (F.col("best.n") >= LEAST_PRINTED) & (total(F.col("c")) <= RARE_SHARE * F.col("best.n"))
-    kept = judged.filter((F.col("c") < 0) | misread)
+    best = each.withColumn("best", F.array_max(options))
+    return best.filter((F.col("best.n") >= LEAST_PRINTED) & (F.col("n") <= RARE_SHARE * F.col("best.n"))).select("key", "c", F.col("best.r").alias("r"))
+
+
+def noise(texts: DataFrame) -> DataFrame:
+    """(tbl, rec, line, col, kind, c, r): dropped lines, cut words and misread characters (code c, printed r).
+
+    texts: tbl (0 or 1; 2 for texts that are only counted), rec, text. Null and empty texts give no rows; rows read twice give theirs once.
+    Copies of one text are counted once.
+    """
+    edge, words = lexicon(texts.filter("tbl < 2"))
+    once = texts.groupBy("text").agg(F.min("tbl").alias("tbl"), F.min("rec").alias("rec")).select("tbl", "rec", "text")
+    judged = stored(_judged(_read(once, edge, words)))
+    places = _read(texts.filter("tbl < 2"), edge, words, judged).join(judged, ["key", "c"], "left").filter("c < 0 or r is not null")
     kind = F.when(F.col("c") == -1, "drop").when(F.col("c") == -2, "hyphen").otherwise("misread")
-    return kept.select(F.inline("places"), kind.alias("kind"), "c", F.col("best.r").alias("r")).distinct()
+    return places.select("tbl", "rec", "line", "col", kind.alias("kind"), "c", "r").distinct()
 
 
 def sources(resolutions: DataFrame, page_results: DataFrame) -> DataFrame:

@@ -195,6 +195,21 @@ def test_scanned_text(spark):
     assert ocr.noise(texts.limit(0)).count() == 0
 
 
+def test_misreads_by_the_counts_of_the_corpus(spark):
+    say = lambda i, w: f"{chr(97 + i // 26)}{chr(97 + i % 26)} we agreed after a long {w} about the laboratory"
+    # the first piece of work has 6 misread in 26, the corpus 6 in 416
+    rows = [say(i, "deb@te" if i < 6 else "debate") for i in range(26)] + ["\n".join(say(j, "debate") for j in range(i, i + 5)) for i in range(26, 104)]
+    got = ocr.noise(spark.createDataFrame([(1, i, t) for i, t in enumerate(rows)], "tbl int, rec long, text string")).filter("kind = 'misread'")
+    assert {(r["rec"], chr(r["c"]), chr(r["r"])) for r in got.collect()} == {(i, "@", "a") for i in range(6)}
+
+
+def test_copies_of_a_text_do_not_outvote_the_corpus(spark):
+    page = lambda i, w: f"one\ntwo\n{chr(97 + i)} we agreed after a long {w} about the laboratory\nthree\nfour"
+    rows = [page(i, "debate") for i in range(26)] + [page(26, "deb@te")] * 8
+    got = ocr.noise(spark.createDataFrame([(1, i, t) for i, t in enumerate(rows)], "tbl int, rec long, text string")).filter("kind = 'misread'")
+    assert {r["rec"] for r in got.collect()} == set(range(26, 34))
+
+
 # 6
 
 
