@@ -10,6 +10,7 @@ misread; confusions have weights, and the context on both sides picks among seve
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -149,45 +150,98 @@ def _body(lines: list[str], known: Lexicon) -> tuple[set[int], set[int], list[in
     return drop, cut, body
 
 
+#: Bits of a hash that a sieve goes by; it takes 8 MB, whatever passes it is joined.
+SIEVE = 26
+
+
+def _sieve(hashes: DataFrame) -> np.ndarray:
+    """A bit for the upper SIEVE bits of each hash (the only column h)."""
+    at = hashes.select(F.shiftrightunsigned("h", 64 - SIEVE).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << SIEVE - 6, np.uint64)
+    out[np.asarray(words["word"])] = np.asarray(words["bits"]).view(np.uint64)
+    return out
+
+
+def _passes(sieve: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h >> np.uint64(64 - SIEVE)
+    return (sieve[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def _signed(h: int) -> int:
+    return h - (h >> 63 << 64)
+
+
+def _rests(lines: list[str], own: list[int], of: list[int]) -> dict[int, int]:
+    """For the lines of a page the hash of the rest of the page, in which copies of a page agree."""
+    each = {i: (2 * k + 1) * _hash(lines[i]) for k, i in enumerate(own)}
+    whole = sum(each.values())
+    return {i: _signed((whole - each[i]) & 0xFFFFFFFFFFFFFFFF) for i in of}
+
+
 def _counts(texts: DataFrame) -> DataFrame:
-    """(kind, entry, at_edge, n): lines' signatures by place (kind e), words inside lines (kind w)."""
+    """(kind, entry, h, n, votes): words inside lines (kind w) with counts; signatures of lines at edges of pages (kind e) with their hash and the pages that differ in the rest."""
+    schema = pa.schema([("kind", pa.string()), ("entry", pa.string()), ("h", pa.int64()), ("rest", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edge: Counter = Counter()
-        every: Counter = Counter()
+        edge: set[tuple[str, int]] = set()
         words: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            # lines inside pages count only against those at edges
-            rows = [("e", s, edge[s], n) for s, n in every.items()] + [("w", w, 0, n) for w, n in words.items()]
-            edge.clear(), every.clear(), words.clear()
-            return pa.RecordBatch.from_pylist([dict(zip(("kind", "entry", "at_edge", "n"), r)) for r in rows], schema=pa.schema([("kind", pa.string()), ("entry", pa.string()), ("at_edge", pa.int64()), ("n", pa.int64())]))
+            rows = [("e", s, _signed(_hash(s)), rest, 1) for s, rest in edge] + [("w", w, 0, 0, n) for w, n in words.items()]
+            edge.clear(), words.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
 
         for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
             for t in b.column(2).to_pylist():
                 lines = (t or "").split("\n")
                 words.update(w for x in lines for w in _WORD.findall(x) if not x.endswith(w))
                 for own in pages(lines):
-                    ends = {*own[:EDGE], *own[-EDGE:]}
-                    for i in own:
-                        if len(lines[i]) <= EDGE_CHARS:
-                            if i in ends:
-                                for s in signatures(lines[i]):
-                                    edge[s] += 1
-                                    every[s] += 1
-                            else:
-                                every.update(signatures(lines[i]))
-            if len(every) > 300_000:
+                    ends = [i for i in {*own[:EDGE], *own[-EDGE:]} if len(lines[i]) <= EDGE_CHARS]
+                    if ends:
+                        edge.update((s, rest) for i, rest in _rests(lines, own, ends).items() for s in signatures(lines[i]))
+            if len(edge) + len(words) > 300_000:
                 yield out()
         yield out()
 
-    return texts.mapInArrow(run, "kind string, entry string, at_edge bigint, n bigint").groupBy("kind", "entry").agg(F.sum("at_edge").alias("at_edge"), F.sum("n").alias("n"))
+    each = texts.mapInArrow(run, "kind string, entry string, h bigint, rest bigint, n bigint").groupBy("kind", "entry", "h", "rest").agg(F.sum("n").alias("n"))
+    return each.groupBy("kind", "entry", "h").agg(F.sum("n").alias("n"), F.count("*").alias("votes"))
+
+
+def _inside(texts: DataFrame, edge: DataFrame) -> DataFrame:
+    """(h, inside): the pages, different in the rest, that have the signatures of edge in lines not at an edge. edge: h."""
+    sieve = texts.sparkSession.sparkContext.broadcast(_sieve(edge))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
+            hashes, rests = [], []
+            for t in b.column(2).to_pylist():
+                lines = (t or "").split("\n")
+                for own in pages(lines):
+                    of = [i for i in own[EDGE:-EDGE] if len(lines[i]) <= EDGE_CHARS]
+                    pairs = [(i, _hash(s)) for i in of for s in signatures(lines[i])]
+                    if pairs:
+                        kept = np.flatnonzero(_passes(sieve.value, np.array([h for _, h in pairs], np.uint64)))
+                        if len(kept):
+                            rest = _rests(lines, own, of)
+                            hashes += [_signed(pairs[k][1]) for k in kept]
+                            rests += [rest[pairs[k][0]] for k in kept]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(rests, pa.int64())], names=["h", "rest"])
+
+    return texts.mapInArrow(run, "h bigint, rest bigint").distinct().join(edge, "h", "left_semi").groupBy("h").agg(F.count("*").alias("inside"))
 
 
 def lexicon(texts: DataFrame) -> tuple[list[str], dict[str, int]]:
-    """(signatures of running lines, words with counts), the most frequent LEXICON of either."""
-    counted = stored(_counts(texts).filter((F.col("kind") == "w") & (F.col("n") >= 3) | (F.col("at_edge") >= EDGE_LINES) & (F.col("at_edge") >= EDGE_SHARE * F.col("n"))))
-    edge = [r[0] for r in counted.filter("kind = 'e'").orderBy(F.col("at_edge").desc(), "entry").limit(LEXICON).select("entry").collect()]
+    """(signatures of running lines, words with counts), the most frequent LEXICON of either. Copies of a page are one vote for a running line."""
+    counted = stored(_counts(texts).filter((F.col("kind") == "w") & (F.col("n") >= 3) | (F.col("kind") == "e") & (F.col("votes") >= EDGE_LINES)))
+    at_edge = counted.filter("kind = 'e'")
+    inside = _inside(texts, at_edge.select("h").distinct())
+    running = at_edge.join(inside, "h", "left").filter(F.col("votes") >= EDGE_SHARE * (F.col("votes") + F.coalesce("inside", F.lit(0))))
+    edge = [r[0] for r in running.orderBy(F.col("votes").desc(), "entry").limit(LEXICON).select("entry").collect()]
     words = {r[0]: r[1] for r in counted.filter("kind = 'w'").orderBy(F.col("n").desc(), "entry").limit(LEXICON).select("entry", "n").collect()}
     return edge, words
 
@@ -233,24 +287,6 @@ def _windows(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, key, code
 
 
-#: Bits of a hash that a sieve goes by; it takes 8 MB, whatever passes it is joined.
-SIEVE = 26
-
-
-def _sieve(hashes: DataFrame) -> np.ndarray:
-    """A bit for the upper SIEVE bits of each hash (the only column h)."""
-    at = hashes.select(F.shiftrightunsigned("h", 64 - SIEVE).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << SIEVE - 6, np.uint64)
-    out[np.asarray(words["word"])] = np.asarray(words["bits"]).view(np.uint64)
-    return out
-
-
-def _passes(sieve: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h >> np.uint64(64 - SIEVE)
-    return (sieve[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-
-
 def _read(texts: DataFrame, edge: list[str], words: dict[str, int], judged: DataFrame | None = None) -> DataFrame:
     """(key, c, n): counts of characters by context, by pieces of work. With judged (key, c) instead (key, c, tbl, rec, line, col): places.
 

@@ -195,6 +195,15 @@ def test_scanned_text(spark):
     assert ocr.noise(texts.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_are_one_vote(spark):
+    headed = [f"Office of the Council\n{''.join(w)} is on the agenda\nand was approved\nby all members\nafter the break" for w in itertools.permutations("abc")]
+    copied = ["the board agreed on the plan\nand on its budget\nfor the next year\nwith all members\npresent in the hall"] * 8
+    inside = [f"{a} one\n{a} two\nthe board agreed on the rules\n{a} three\n{a} four" for a in "kmnpq"] + [f"the board agreed on the rules\n{a} five\n{a} six" for a in "rstuvw"]
+    texts = [*headed, *copied, *inside]
+    got = {(r["rec"], r["line"]) for r in ocr.noise(spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "tbl int, rec long, text string")).filter("kind = 'drop'").collect()}
+    assert {(i, 0) for i in range(6)} <= got and not {x for x in got if x[0] >= 6}
+
+
 def test_misreads_by_the_counts_of_the_corpus(spark):
     say = lambda i, w: f"{chr(97 + i // 26)}{chr(97 + i % 26)} we agreed after a long {w} about the laboratory"
     # the first piece of work has 6 misread in 26, the corpus 6 in 416
