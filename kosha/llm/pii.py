@@ -62,7 +62,7 @@ _THAI = (rf"{_T} +{_T}", _T)
 _HAN = (r"[一-鿿々]{1,4} [一-鿿々]{1,4}", r"[一-鿿々]{2,8}?(?=[、，。（(である]|と[一-鿿A-Z])", r"[一-鿿]{2,4}")
 _TITLE = f"(?:(?:{_any((*COURTESY, *RANKS))})[ \n]*)"
 _CUE = re.compile(rf"(?:(?<![ก-๎A-Za-z])(?:(?:{_any(x for x in BEFORE_NAME if x.isascii() or 'ก' <= x[0] <= '๎')})[ :\n]+{_TITLE}*|{_TITLE}+)|(?:联系人为?|申请人|评审人为|連絡先は|申請者|担当は){_TITLE}*|(?<=[一-鿿A-Za-z])[と、]{_TITLE}*(?=[一-鿿A-Z]))")
-_LISTED = re.compile("(?:担当は|連絡先は|评审人为|联系人为?)[^。\n]{2,36}\\Z")
+_LISTING = ("担当は", "連絡先は", "评审人为", "联系人")
 _TITLES = re.compile(f"{_TITLE}+\\Z")
 _COURTESY = re.compile(f"(?:{_any(COURTESY)})[ \n]*\\Z")
 _RIGHT = re.compile(r" (?:แจ้งว่า|ขอลา|ยังไม่ครบ|เป็นกรรมการ|resides at|asked for leave)| ?[(（](?:รหัส|เลข|บัตร|หนังสือเดินทาง|student|citizen|national|ID card|passport)")
@@ -146,6 +146,12 @@ def features(t: str, start: int, end: int, kind: str) -> list[str]:
     return out
 
 
+def _listed(t: str, at: int) -> bool:
+    """Whether a cue that begins a list of names stands before at in the same sentence, with a name's room between."""
+    start = max(t.rfind("。", 0, at), t.rfind("\n", 0, at)) + 1
+    return any(t.find(c, start, at - 2) >= 0 for c in _LISTING)
+
+
 def candidates(t: str) -> list[tuple[int, int, str]]:
     """Proposed spans (start, end, kind) of a cleaned text; they may overlap."""
     out: set[tuple[int, int, str]] = set()
@@ -183,7 +189,7 @@ def candidates(t: str) -> list[tuple[int, int, str]]:
     seen: set[int] = set()
     for m in _CUE.finditer(t):
         todo = [m.end()]
-        if m.end() in seen or m[0][0] in "と、" and not _LISTED.search(t, max(0, m.start() - 40), m.start()):
+        if m.end() in seen or m[0][0] in "と、" and not _listed(t, m.start()):
             continue
         seen.add(m.end())
         titled = bool(_TITLES.search(m[0]))

@@ -365,3 +365,11 @@ def test_masking(spark):
 
 def test_nothing_is_lost():
     assert unicodedata.normalize("NFC", pii.cleaned("plain ไทย")[0]) == "plain ไทย"
+
+
+def test_later_names_of_a_list():
+    names = ["Maximiliana K. Wexmoor-Featherstonehaugh", "Orrin Lanthier", "Talia Castine"]
+    for text in (f"担当はAssoc. Prof. Dr. {names[0]}とDr. {names[1]}である。", f"評審。评审人为{names[0]}、Dr. {names[1]}、Ms. {names[2]}。"):
+        got = {text[s:e] for s, e, kind in pii.passages(text, pii.trained()) if kind == "name"}
+        assert got == {n for n in names if n in text}
+    assert not pii._listed("担当は未定。青野と", 8) and not pii._listed("担当は\n青野と", 6)
