@@ -1,25 +1,23 @@
 """Problem 4: near-duplicate texts with small edits, across the whole collection.
 
-1. Equal texts (without white space) become one class.
-2. Every class gives a sample of its distinct character runs, chosen by hash, so that the same run is
-   sampled everywhere. Runs are put in one global order, rarest first, by their counts over the whole
-   collection; runs of one class only can't be shared and are left out.
-3. The first runs in that order are the class's prefix. Classes that share several prefix runs are
-   candidates; this join on runs has blocks as small as the rarest shared content. Texts that share only common runs, as
-   boilerplate does, become candidates by bands of least values under random orders.
-4. Candidates of a class are stored in a prefix tree over their ordered run sets; the class's own set
-   is matched while the tree is traversed, sharing the overlaps of common paths, and a subtree is left when
-   its remaining length can't reach the similarity any more. This is done with the samples and a lower
-   similarity first, then exactly, with the full sets of the pairs that remain and of the siblings among them.
-
-A pair with at least the given similarity shares at least that part of the union of its sampled runs up to
-chance, and so all but certainly several of the PREFIX rarest; recall is measured against all pairs in the tests.
+1. Equal texts (without white space) become one class; its first row stands for it.
+2. Candidates: every text gives BANDS keys, each of the least values of ROWS random orders of all its
+   distinct character runs. Texts with a key in common are candidates, each with all others of the key; a pair
+   of the similarity has none in common with a chance of 4 in 10,000, a pair of 0.7 with one of 10^-7. With exact=True the
+   candidates are instead those of a prefix join: all runs in one order by their count in the collection, rarest first, and the
+   shortest prefix of each text that can't miss a partner. That misses nothing, but its blocks grow with the
+   square of the collection where texts are made from templates.
+3. Candidates are gathered into blocks of relatives, so that every pair of candidates has a block in common. The run
+   sets of a block, in one order (the runs of most members first), are stored in a prefix tree. One walk through the
+   tree counts the overlaps of each path with all members at once: what texts have in common is counted once for all of them. A
+   subtree is left for those members that can't reach the similarity with what remains of it. The overlaps are of
+   the full sets, so the result of a block is exact.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,27 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kosha.session import stored
+from kosha.operators.quality import components
+from kosha.session import ship, stored
 
-from .common import bare, distinct, int_lists, mix, window_hashes
+from .common import bare, distinct, mix, window_hashes
 
 #: Characters in a run and the least share of common runs.
 RUN, SIMILARITY = 10, 0.6
-#: Levels (one run in so many is sampled, of texts of more, up to so many runs). Two texts of the similarity
-#: have a level in common: the upper end of a level is the next one's lower end ÷ SIMILARITY.
-LEVELS = ((1, 0, 214), (4, 128, 854), (8, 512, 1 << 62))
-#: Runs in a prefix, and those that candidates share at least.
-PREFIX, SHARED = 24, 3
-#: Random orders in a band and bands: a pair of the similarity has a band in common with a chance of 0.994, besides its rare runs.
-ROWS, BANDS = 5, 64
-#: Runs of one degree of rarity in a prefix.
-ALIKE = 6
-#: Part of the similarity that sketches must reach for a pair to be compared in full.
-ROUGH = 0.5
-#: Texts that share a run up to which it counts as rare.
-RARE = 64
-#: Partners in one prefix tree.
-BLOCK = 256
+#: Random orders in a band, and bands.
+ROWS, BANDS = 5, 96
+#: Members and characters in one part of a block; more are dealt out in parts, of which each two meet.
+BLOCK, BLOCK_CHARS = 256, 1_000_000
 #: Members up to which all pairs of a class of equal texts are listed; larger classes are linked to their first member.
 LISTED = 64
 
@@ -58,222 +46,218 @@ def runs(text: str, n: int = RUN) -> np.ndarray:
 
 
 class Tree:
-    """A prefix tree of ascending run sets with compressed edges."""
-
-    def __init__(self, sets: list[tuple[object, np.ndarray]]) -> None:
-        self.root = self._build(sets, 0)
-
-    def _build(self, sets: list, depth: int) -> list:
-        """[(edge, members that end, sizes below (least, most), children)] by next run."""
-        nodes, groups = [], {}
-        for s in sets:
-            if len(s[1]) > depth:
-                groups.setdefault(int(s[1][depth]), []).append(s)
-        for members in groups.values():
-            first = members[0][1]
-            end = min(len(m[1]) for m in members)
-            if len(members) > 1:
-                for m in members[1:]:
-                    differ = np.flatnonzero(first[depth:end] != m[1][depth:end])
-                    if len(differ):
-                        end = depth + int(differ[0])
-            sizes = [len(m[1]) for m in members]
-            done = [m[0] for m in members if len(m[1]) == end]
-            below = self._build([m for m in members if len(m[1]) > end], end) if len(done) < len(members) else []
-            nodes.append((first[depth:end], done, min(sizes), max(sizes), below))
-        return nodes
-
-    def matches(self, own: np.ndarray, similarity: float) -> Iterator[tuple[object, int, int]]:
-        """(member, runs in both, its runs) of the members similar to the ascending set own."""
-        todo = [(node, 0, 0) for node in self.root]
+    """A prefix tree over run sets that are joined with themselves.
+
+    Runs are columns, in one order for all sets: those of most sets first, then by value. Runs of one set only can't be
+    shared and count for its length alone.
+    """
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        values, column, n = np.unique(flat, return_inverse=True, return_counts=True)
+        order = np.lexsort((values, -n))
+        place = np.empty(len(values), np.int64)
+        place[order] = np.arange(len(values))
+        self.has = np.zeros((len(sets), int((n > 1).sum())), bool)
+        row, at = np.repeat(np.arange(len(sets)), self.sizes), place[column]
+        kept = at < self.has.shape[1]
+        self.has[row[kept], at[kept]] = True
+        #: columns still to come, by set and column
+        self.left = self.has.sum(1)
+
+    def similar(self, similarity: float) -> Iterator[tuple[int, int, int]]:
+        """(i, j, runs in both) of all i < j with at least the similarity."""
+        m, width = self.has.shape
+        sizes = self.sizes
+        # a node: the sets whose paths run together so far, the column reached, the members still in question with their overlaps with the path and what is left of them
+        todo = [(np.arange(m), 0, np.arange(m), np.zeros(m, np.int64), self.left)]
         while todo:
-            (edge, done, least, most, below), both, depth = todo.pop()
-            if most < similarity * len(own) or least * similarity > len(own):
+            own, depth, others, both, left = todo.pop()
+            # the edge: columns until the sets of the node differ
+            part = self.has[own, depth:]
+            differ = np.flatnonzero((part != part[0]).any(0)) if len(own) > 1 else ()
+            end = depth + int(differ[0]) if len(differ) else width
+            edge = depth + np.flatnonzero(part[0, : end - depth])
+            if len(edge):
+                both = both + self.has[np.ix_(others, edge)].sum(1)
+            if end > depth:
+                left = left - self.has[others, depth:end].sum(1)
+            if end == width:  # the sets end here, equal in all columns that can be shared
+                for i in own.tolist():
+                    hit = others[(others > i) & (both >= similarity * (sizes[others] + sizes[i] - both))]
+                    for j, n in zip(hit.tolist(), both[np.isin(others, hit)].tolist()):
+                        yield i, j, n
                 continue
-            at = np.searchsorted(own, edge)
-            at[at == len(own)] = len(own) - 1
-            both += int((own[at] == edge).sum())
-            depth += len(edge)
-            for d in done:
-                if both >= similarity * (len(own) + depth - both):
-                    yield d, both, depth
-            if below:
-                # what is left of the tree and of own bounds the overlap that can still come
-                left = len(own) - int(np.searchsorted(own, edge[-1], side="right"))
-                best = both + min(most - depth, left)
-                if best >= similarity * (len(own) + max(least, best) - best):
-                    todo += [(n, both, depth) for n in below]
+            # the overlap that can still come is bounded by what is left of the subtree and of each member
+            most = self.has[own, end:].sum(1).max()
+            best = both + np.minimum(left, most)
+            near = (others > own[0]) & (best >= similarity * (sizes[others] + np.maximum(sizes[own].min(), best) - best))
+            if near.any():
+                one = self.has[own, end]
+                for side in (own[one], own[~one]):
+                    todo.append((side, end, others[near], both[near], left[near]))
 
 
-def _read(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(k, class, n_chars, sketches) of every row: the 16-byte hash and length of its text without white space (null counts as empty), its sampled runs.
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of hashes. A random order is cut into BANDS ranges, whose least values are those of as many orders; an empty range takes the next one's."""
+    if not len(own):
+        return np.zeros(0, np.uint64)
+    keys = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    starts = np.arange(BANDS, dtype=np.uint64) * np.uint64((1 << 64) // BANDS)
+    for salt in _SALTS:
+        v = np.sort(mix(own ^ salt))
+        at = np.searchsorted(v, starts)
+        at[at == len(v)] = 0
+        keys = mix(keys * np.uint64(31) + v[at])
+    return keys
 
-    A run is sampled if its hash falls into one part in so many of its level. Sketches hold ascending
-    32-bit hashes, which differ between levels; packed has, as bytes, those that the rough comparison takes.
-    """
-    struct = pa.struct([("level", pa.int32()), ("runs", pa.list_(pa.int32())), ("packed", pa.binary())])
+
+_SALTS = np.random.default_rng(11).integers(1, 1 << 63, ROWS, dtype=np.uint64)
+
+
+def _read(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, class, n_chars, keys) of every row: the 16-byte hash and length of its text without white space (null counts as empty), its band keys."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes, sizes, levels, sketches, packed, counts = [], [], [], [], [], [0]
+            hashes, sizes, keys, counts = [], [], [], [0]
             for t in b.column(1).to_pylist():
                 values = bare(t or "")
                 hashes.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
                 sizes.append(len(values))
-                own = distinct(window_hashes(values, RUN))
-                for level, (sample, least, most) in enumerate(LEVELS):
-                    if least < len(own) <= most:
-                        kept = own[own % np.uint64(sample) == 0]
-                        short = distinct((kept >> np.uint64(32)).astype(np.uint32) ^ np.uint32(level * 0x9E3779B9 & 0xFFFFFFFF))
-                        sketches.append(short.tobytes())
-                        packed.append((short[short % 2 == 0] if level == len(LEVELS) - 1 else short).tobytes())
-                        levels.append(level)
-                counts.append(len(levels))
-            held = pa.StructArray.from_arrays([pa.array(levels, pa.int32()), int_lists(sketches), pa.array(packed, pa.binary())], fields=list(struct))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(counts, pa.int32()), held)], names=["k", "class", "n_chars", "sketches"])
+                keys.append(band_keys(distinct(window_hashes(values, RUN))))
+                counts.append(counts[-1] + len(keys[-1]))
+            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(flat))], names=["k", "class", "n_chars", "keys"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, class binary, n_chars bigint, sketches array<struct<level:int,runs:array<int>,packed:binary>>")
-
-
-def _bands(sketches: DataFrame) -> DataFrame:
-    """(key, rep): for each sketch BANDS keys, each of the least values of ROWS random orders of its runs."""
-    rng = np.random.default_rng(11)
-    n = BANDS * ROWS
-    factor, shift = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
-    weight = rng.integers(0, 1 << 63, (1, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held = b.column(1)
-            flat = np.asarray(held.flatten()).view(np.uint32).astype(np.uint64)
-            ends = np.cumsum(np.asarray(held.value_lengths()))
-            keys, rows, start = [], [], 0
-            for i, end in enumerate(ends.tolist()):
-                if end > start:
-                    least = (flat[start:end][None, :] * factor[:, None] + shift[:, None]).min(1)
-                    keys.append(mix((least.reshape(BANDS, ROWS) * weight).sum(1) + np.arange(BANDS, dtype=np.uint64)))
-                    rows.append(i)
-                start = end
-            key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0).take(pa.array(np.repeat(np.array(rows, np.int64), BANDS)))], names=["key", "rep"])
-
-    return sketches.select("rep", "runs").mapInArrow(run, "key bigint, rep bigint")
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, class binary, n_chars bigint, keys array<bigint>")
 
 
 def _met(banded: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b), a < b, not distinct: all pairs with a key in common. banded: key, rep.
 
-    The texts of a key are dealt out in parts of about block, and each two parts are joined on their own.
+    The texts of a key are counted first and dealt out in parts of about block; each two parts are joined on their own.
     """
     counted = banded.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter(F.col("n") > 1).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
-    dealt = counted.withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    each = dealt.withColumn("other", other).select("key", "rep", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    each = _dealt(counted.withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")), ["key", "rep", "part"])
     return each.alias("a").join(each.alias("b"), ["key", "i", "j"]).filter("a.rep < b.rep and (i = j or a.part <> b.part)").select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
 
 
-def candidates(sketches: DataFrame, prefix: int = PREFIX, shared: int = SHARED) -> DataFrame:
-    """(a, b), a < b: representatives that share enough of their rarest runs, or a band. sketches: rep, runs.
+def _dealt(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Each row once for every pair (i, j), i <= j, of its part with one of the parts."""
+    other = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return other.select(*columns, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
 
-    Runs of more than RARE texts form no blocks. What shares only such runs meets in the bands, each text with all others of its band.
-    """
-    by_run = sketches.select("rep", F.explode("runs").alias("run")).groupBy("run").agg(F.collect_list("rep").alias("reps")).filter((F.size("reps") > 1) & (F.size("reps") <= RARE))
-    each = by_run.select("run", F.size("reps").alias("n"), F.explode("reps").alias("rep"))
-    # of runs about as rare only some are taken, so that what a text shares with one text leaves room for what it shares with others
-    about = F.when(F.col("n") <= 4, F.col("n")).otherwise(F.floor(2 * F.log2("n")).cast("int"))
-    some = each.withColumn("about", about).repartition("rep").withColumn("r", F.row_number().over(Window.partitionBy("rep", "about").orderBy("run"))).filter(F.col("r") <= ALIKE)
-    ranked = some.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("about", "run")))
-    first = stored(ranked.filter(F.col("r") <= prefix).select("rep", "run"))
-    joined = first.alias("a").join(first.alias("b"), "run").filter("a.rep < b.rep").groupBy(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).agg(F.count("*").alias("n")).filter(F.col("n") >= shared).select("a", "b")
-    return joined.union(_met(_bands(sketches))).distinct()
 
+def _prefixes(df: DataFrame, key: str, text: str, reps: DataFrame, similarity: float) -> DataFrame:
+    """(key, rep): the runs of each text's shortest prefix that can't miss a partner, in the order of their counts over the collection."""
 
-def _matched(pairs: DataFrame, sets: DataFrame, as_set: Callable, similarity: float) -> DataFrame:
-    """(a, b, similarity) of the pairs whose sets are similar: the partners of each a in a prefix tree. sets: rep, s.
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, t in zip(b.column(0), b.column(1).to_pylist()):
+                own = runs(t or "")
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(own), b.column(0).type), pa.array(own.view(np.int64)), pa.array([len(own)] * len(own), pa.int64())], names=["rep", "key", "size"])
+
+    texts = df.select(F.col(key).alias("k"), F.col(text).alias("t")).dropDuplicates(["k"]).join(reps.select("k", "no"), "k").select("no", "t")
+    each = stored(texts.mapInArrow(run, "rep bigint, key bigint, size bigint"))
+    ranked = each.join(each.groupBy("key").agg(F.count("*").alias("n")), "key").withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("n", "key")))
+    return ranked.filter(F.col("r") <= F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1).select("key", "rep")
+
+
+def _blocks(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(h, i, j, rep, part): blocks in which every pair of candidates meets, in parts of bounded size. sizes: rep, n_chars.
 
-    The partners of one a are dealt out in parts, so that no task holds an unbounded block.
+    A text's root is the least of itself and its partners. A pair meets in the block of the greater of its two roots: a family in
+    which all know each other is one block, whatever its number of pairs.
     """
-    kind = sets.schema["rep"].dataType.simpleString()
-    dealt = pairs.withColumn("part", F.floor(F.row_number().over(Window.partitionBy("a").orderBy("b")) / BLOCK))
-    rows = dealt.join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
-    blocks = rows.groupBy("a", "part").agg(F.collect_list(F.struct("b", "sb")).alias("others")).join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
+    both = pairs.union(pairs.select("b", "a"))
+    roots = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    at = pairs.join(roots.toDF("a", "ra"), "a").join(roots.toDF("b", "rb"), "b").select(F.greatest("ra", "rb").alias("h"), "a", "b")
+    members = stored(at.select("h", F.explode(F.array("a", "b")).alias("rep")).distinct().join(sizes, "rep"))
+    size = members.groupBy("h").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_chars") / BLOCK_CHARS)).cast("int").alias("parts"))
+    return _dealt(members.join(size, "h").withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")), ["h", "rep", "part"])
+
+
+def _matched(blocks: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, similarity) of the similar pairs of each block, by its prefix tree. texts: rep, t."""
+    held = blocks.join(texts, "rep").groupBy("h", "i", "j").agg(F.collect_list(F.struct("rep", "part", "t")).alias("members"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, s = [], [], []
-            for rep, own, others in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                mine = as_set(own)
-                if len(mine):
-                    for other, both, size in Tree([(x["b"], as_set(x["sb"])) for x in others]).matches(mine, similarity):
-                        a.append(rep)
-                        b.append(other)
-                        s.append(both / (len(mine) + size - both))
-            yield pa.RecordBatch.from_arrays([pa.array(a, batch.column(0).type), pa.array(b, batch.column(0).type), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
+            for i, j, members in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                sets = [runs(x["t"] or "") for x in members]
+                for x, y, n in Tree(sets).similar(similarity):
+                    if i == j or members[x]["part"] != members[y]["part"]:
+                        a.append(members[x]["rep"])
+                        b.append(members[y]["rep"])
+                        s.append(n / (len(sets[x]) + len(sets[y]) - n))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
 
-    return blocks.select("a", "sa", "others").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
+    return held.select("i", "j", "members").mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
-def _siblings(pairs: DataFrame) -> DataFrame:
-    """(a, b), a < b: texts with the same nearest relative, the least or the greatest of their partners and themselves.
+def near_duplicates(df: DataFrame, key: str, text: str, similarity: float = SIMILARITY, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(members: rep, key, n_chars of every row; links: a, b, similarity between representatives, a < b).
 
-    Versions of one text whose prefixes are taken up by what each shares with a third one meet there.
+    key identifies a text; a row given twice counts once for the links. Rows whose texts are equal without white space have
+    the same representative, the least key; null counts as empty. Texts with fewer characters than a run have no runs and no links.
+    The bands are made for a similarity of at least SIMILARITY; for less take exact.
     """
-    both = pairs.union(pairs.select("b", "a")).groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"), F.greatest(F.max("b"), F.first("a")).alias("high"))
-    hubs = stored(both.select(F.col("a").alias("k"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("low").alias("hub")), F.struct(F.lit(1).alias("side"), F.col("high").alias("hub")))).alias("h")).select("k", "h.*"))
-    return hubs.alias("x").join(hubs.alias("y"), ["side", "hub"]).filter("x.k < y.k").select(F.col("x.k").alias("a"), F.col("y.k").alias("b"))
-
-
-def near_duplicates(df: DataFrame, key: str, text: str, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(members: rep, key, n_chars of every row; links: a, b, similarity between representatives).
-
-    Rows whose texts are equal without white space have the same representative, the least key. Texts
-    with fewer characters than a run have no runs and no links.
-    """
-    # numbers for the rows, fixed by being stored; a sketch is known by its row's number and its level
+    ship(df.sparkSession)
+    # numbers for the rows, fixed by being stored
     own = stored(_read(df, key, text).withColumn("no", F.monotonically_increasing_id()))
-    reps = stored(own.groupBy("class").agg(F.min("k").alias("rep")))
-    members = stored(own.select("k", "class", "n_chars").join(reps, "class").select("rep", F.col("k").alias(key), "n_chars"))
-    sketches = own.join(reps.select(F.col("rep").alias("k")), "k", "left_semi").select("no", F.inline("sketches")).withColumn("rep", 4 * F.col("no") + F.col("level"))
-    rough = _matched(stored(candidates(sketches.select("rep", "runs"))), sketches.select("rep", F.col("packed").alias("s")), lambda x: np.frombuffer(x, np.uint32), ROUGH * similarity)
-    keys = own.select("no", "k")
-    rough = rough.select(F.expr("a div 4").alias("na"), F.expr("b div 4").alias("nb")).distinct()
-    rough = rough.join(keys.toDF("na", "ka"), "na").join(keys.toDF("nb", "kb"), "nb").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
-    rough = stored(rough)
-    rough = stored(rough.union(_siblings(rough)).distinct())
-    needed = rough.select(F.col("a").alias("rep")).union(rough.select(F.col("b"))).distinct()
-    texts = stored(df.select(F.col(key).alias("rep"), F.col(text).alias("s")).join(needed, "rep", "left_semi"))
-    return members, _matched(rough, texts, lambda x: runs(x or ""), similarity)
-
-
-def found(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key_a < key_b of all pairs of similar rows; classes of equal texts of more than LISTED rows only with their first row."""
-    members, links = near_duplicates(df, key, text)
-    wide = members.filter(F.col("n_chars") >= RUN).groupBy("rep").agg(F.count("*").alias("n"))
-    small = members.join(wide.filter(F.col("n") > 1), "rep")
+    reps = stored(own.groupBy("class").agg(F.min(F.struct("k", "no", "n_chars")).alias("r")).select("class", "r.*"))
+    members = own.select("k", "class", "n_chars").join(reps.select("class", F.col("k").alias("rep")), "class").select("rep", F.col("k").alias(key), "n_chars")
+    banded = _prefixes(df, key, text, reps, similarity) if exact else own.join(reps.select("no"), "no", "left_semi").select(F.explode("keys").alias("key"), F.col("no").alias("rep"))
+    pairs = stored(_met(banded).distinct())
+    blocks = stored(_blocks(pairs, reps.select(F.col("no").alias("rep"), "n_chars")))
+    needed = reps.join(blocks.select(F.col("rep").alias("no")).distinct(), "no", "left_semi").select("k", "no")
+    texts = df.select(F.col(key).alias("k"), F.col(text).alias("t")).join(needed, "k").dropDuplicates(["no"]).select(F.col("no").alias("rep"), "t")
+    found = _matched(blocks, texts, similarity)
+    names = reps.select("no", "k")
+    named = found.join(names.toDF("a", "ka"), "a").join(names.toDF("b", "kb"), "b")
+    return members, named.groupBy(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).agg(F.max("similarity").alias("similarity"))
+
+
+def found(df: DataFrame, key: str, text: str, exact: bool = False) -> DataFrame:
+    """key_a < key_b of all pairs of similar rows; classes of equal texts of more than LISTED rows only with their first row, as links() and members() give all.
+
+    Copies of one text are not expanded beyond that; no link between different texts is left out.
+    """
+    members, links = near_duplicates(df, key, text, exact=exact)
+    wide = members.filter(F.col("n_chars") >= RUN).groupBy("rep").agg(F.count_distinct(key).alias("n"))
+    small = members.select("rep", key).distinct().join(wide.filter(F.col("n") > 1), "rep")
     listed = small.filter(F.col("n") <= LISTED)
     within = listed.alias("a").join(listed.alias("b"), "rep").filter(F.col(f"a.{key}") < F.col(f"b.{key}")).select(F.col(f"a.{key}").alias("x"), F.col(f"b.{key}").alias("y"))
     star = small.filter((F.col("n") > LISTED) & (F.col(key) != F.col("rep"))).select(F.col("rep").alias("x"), F.col(key).alias("y"))
     # between classes: all members of either for small ones, else the representative
-    ends = members.join(wide, "rep").filter((F.col("n") <= LISTED) | (F.col(key) == F.col("rep"))).select("rep", F.col(key).alias("k"))
+    ends = members.select("rep", key).distinct().join(wide, "rep").filter((F.col("n") <= LISTED) | (F.col(key) == F.col("rep"))).select("rep", F.col(key).alias("k"))
     across = links.join(ends.select(F.col("rep").alias("a"), F.col("k").alias("x")), "a").join(ends.select(F.col("rep").alias("b"), F.col("k").alias("y")), "b").select("x", "y")
     every = within.union(star).union(across)
     return every.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b")).distinct()
 
 
+def links(df: DataFrame, key: str, text: str) -> DataFrame:
+    """rep_a < rep_b, similarity: the links between different texts, each text by the least key that holds it (see members)."""
+    _, found = near_duplicates(df, key, text)
+    return found.select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b"), F.round("similarity", 6).alias("similarity"))
+
+
+def members(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, rep: every row with the least key whose text is equal without white space; null counts as empty."""
+    ship(df.sparkSession)
+    own = stored(_read(df, key, text).select("k", "class"))
+    return own.join(own.groupBy("class").agg(F.min("k").alias("rep")), "class").select(F.col("k").alias(key), "rep").distinct()
+
+
 def groups(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per input row: key, group_id (the least key reachable over links), n_links (of its text to other texts)."""
-    members, links = near_duplicates(df, key, text)
-    edges = stored(links.select("a", "b"))
-    both = stored(edges.union(edges.select("b", "a")))
-    labels = stored(both.groupBy("a").agg(F.count("*").alias("n_links"), F.least(F.min("b"), F.first("a")).alias("label")))
-    while True:  # labels only fall; a round halves the distance by also following the label's own label
-        near = both.join(labels.select(F.col("a").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-        step = labels.join(near, "a").select("a", "n_links", F.least("label", "other").alias("new"), "label")
-        jump = step.join(step.select(F.col("a").alias("new"), F.col("new").alias("further")), "new", "left")
-        after = stored(jump.select("a", "n_links", F.least("new", F.coalesce("further", "new")).alias("label"), F.col("label").alias("old")))
-        moved = not after.filter("label < old").isEmpty()
-        labels = after.select("a", "n_links", "label")
-        if not moved:
-            break
-    return members.join(labels.withColumnRenamed("a", "rep"), "rep", "left").select(key, F.coalesce("label", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    """One row per key: key, group_id (the least key reachable over links), n_links (of its text to other texts)."""
+    own, found = near_duplicates(df, key, text)
+    edges = stored(found.select("a", "b"))
+    labels = components(edges, "a", "b", stored).toDF("rep", "label")
+    n = edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
+    one = own.select("rep", key).distinct()
+    return one.join(labels, "rep", "left").join(n, "rep", "left").select(key, F.coalesce("label", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -52,6 +52,14 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(table(spark, d, "resolutions"), "res_no", "raw_text")
 
 
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.links(table(spark, d, "resolutions"), "res_no", "raw_text")
+
+
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.members(table(spark, d, "resolutions"), "res_no", "raw_text")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return ocr.found(table(spark, d, "resolutions"), table(spark, d, "page_results"))
 
@@ -98,7 +106,7 @@ def p10_masked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_sentences, p2_found, p2_mapped, p3_found, p3_forms, p4_found, p4_groups, p5_found, p5_paragraphs, p6_found, p6_pieces, p7_found, p7_shares, p8_ids, p9_found, p9_containers, p10_found, p10_masked)}
+    return {f.__name__: f for f in (p1_found, p1_sentences, p2_found, p2_mapped, p3_found, p3_forms, p4_found, p4_groups, p4_links, p4_members, p5_found, p5_paragraphs, p6_found, p6_pieces, p7_found, p7_shares, p8_ids, p9_found, p9_containers, p10_found, p10_masked)}
 
 
 _P4 = """
@@ -108,6 +116,20 @@ n AS (SELECT res_no, count(*) AS n FROM g GROUP BY 1),
 c AS (SELECT a.res_no AS a, b.res_no AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.res_no < b.res_no GROUP BY 1, 2)
 SELECT a AS res_no_a, b AS res_no_b FROM c JOIN n x ON x.res_no = a JOIN n y ON y.res_no = b WHERE c >= 0.6::DOUBLE * (x.n + y.n - c)"""
 
+_P4_TEXTS = """t AS (SELECT res_no, coalesce(replace(replace(raw_text, ' ', ''), chr(10), ''), '') AS s FROM resolutions),
+m AS (SELECT res_no, s, min(res_no) OVER (PARTITION BY s) AS rep FROM t),
+g AS (SELECT DISTINCT rep, md5(substring(s, i, 10)) AS g FROM (SELECT rep, s, unnest(range(1, length(s) - 8)) AS i FROM m WHERE rep = res_no)),
+n AS (SELECT rep, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.rep < b.rep GROUP BY 1, 2),
+l AS (SELECT a, b, round(c::DOUBLE / (x.n + y.n - c), 6) AS similarity FROM c JOIN n x ON x.rep = a JOIN n y ON y.rep = b WHERE c >= 0.6::DOUBLE * (x.n + y.n - c))"""
+_P4_LINKS = f"WITH {_P4_TEXTS} SELECT a AS rep_a, b AS rep_b, similarity FROM l"
+_P4_MEMBERS = f"WITH {_P4_TEXTS} SELECT res_no, rep FROM m"
+_P4_GROUPS = f"""
+WITH RECURSIVE {_P4_TEXTS}, e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+w AS (SELECT rep, rep AS other FROM (SELECT DISTINCT rep FROM m) UNION SELECT w.rep, e.b FROM w JOIN e ON e.a = w.other),
+k AS (SELECT rep, min(other) AS group_id FROM w GROUP BY 1), d AS (SELECT a AS rep, count(*) AS n FROM e GROUP BY 1)
+SELECT res_no, group_id, coalesce(d.n, 0) AS n_links FROM m JOIN k USING (rep) LEFT JOIN d USING (rep)"""
+
 _P6 = """
 WITH l AS (SELECT res_no, unnest(string_split(raw_text, chr(10))) AS line, generate_subscripts(string_split(raw_text, chr(10)), 1) AS i FROM resolutions),
 b AS (SELECT *, trim(line, ' ') = '' AS blank FROM l), g AS (SELECT *, i - row_number() OVER (PARTITION BY res_no ORDER BY i) AS island FROM b WHERE NOT blank),
@@ -123,4 +145,4 @@ SELECT res_no FROM w WHERE 10 * (n - d) >= 3 * n"""
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express; the other operators are tested by brute force, round trips and held-out accuracy."""
-    return {"p4_found": _P4, "p6_found": _P6, "p7_found": _P7}
+    return {"p4_found": _P4, "p4_groups": _P4_GROUPS, "p4_links": _P4_LINKS, "p4_members": _P4_MEMBERS, "p6_found": _P6, "p7_found": _P7}

@@ -172,11 +172,65 @@ def test_tree_is_exact():
     import numpy as np
 
     rng = np.random.default_rng(1)
+    core = rng.integers(0, 1 << 40, 40).astype(np.uint64)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(60)]
-    tree = neardup.Tree(list(enumerate(sets)))
-    for own in sets[:20]:
-        want = {i for i, s in enumerate(sets) if len(np.intersect1d(own, s)) >= 0.6 * len(np.union1d(own, s))}
-        assert {i for i, _, _ in tree.matches(own, 0.6)} == want
+    sets += [np.unique(np.concatenate([rng.choice(core, 30, False), rng.integers(0, 1 << 40, rng.integers(1, 12)).astype(np.uint64)])) for _ in range(60)] + [core, core, np.zeros(0, np.uint64)]
+    want = {(i, j, len(np.intersect1d(x, y))) for (i, x), (j, y) in itertools.combinations(enumerate(sets), 2) if len(np.intersect1d(x, y)) >= 0.6 * max(1, len(np.union1d(x, y)))}
+    got = list(neardup.Tree(sets).similar(0.6))
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def similar_pairs(texts):
+    sets = [set(s[i : i + 10] for i in range(len(s) - 9)) for s in (t.replace(" ", "") for t in texts)]
+    return {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if sets[a] and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+
+
+def overlapping(kind):
+    """Texts whose similarities are all along the scale: windows sliding over shared sentences, boilerplate, chains of edits, copies."""
+    rng = random.Random(3)
+    sentence = lambda: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(9))
+    if kind == "windows":
+        line = [sentence() for _ in range(70)]
+        return [" ".join([*line[i : i + 12], sentence()]) for i in range(58) for _ in range(4)]
+    if kind == "boilerplate":
+        common, own = [sentence() for _ in range(12)], [sentence() for _ in range(40)]
+        return [" ".join([*rng.sample(common, rng.randint(5, 12)), *rng.sample(own, rng.randint(1, 6))]) for _ in range(240)]
+    if kind == "chains":
+        texts = []
+        for _ in range(8):
+            now = [sentence() for _ in range(10)]
+            for _ in range(25):
+                now = [*now]
+                now[rng.randrange(10)] = sentence()
+                texts.append(" ".join(now))
+        return texts
+    base = [sentence() for _ in range(9)]
+    return [" ".join([*base, sentence()]) for _ in range(30)] * 3 + ["", "   ", "short", "short"]
+
+
+@pytest.mark.parametrize("kind", ["windows", "boilerplate", "chains", "copies"])
+def test_recall_on_overlapping_texts(spark, kind):
+    texts = overlapping(kind)
+    want = similar_pairs(texts)
+    got = {(r["k_a"], r["k_b"]) for r in neardup.found(frame(spark, texts), "k", "t").collect()}
+    assert got <= want and len(got) >= 0.995 * len(want) and len(want) > 500
+
+
+@pytest.mark.parametrize("kind", ["windows", "boilerplate"])
+def test_exact_mode_misses_nothing(spark, kind):
+    texts = overlapping(kind)
+    got = {(r["k_a"], r["k_b"]) for r in neardup.found(frame(spark, texts), "k", "t", exact=True).collect()}
+    assert got == similar_pairs(texts)
+
+
+def test_links_and_members_hold_all(spark):
+    texts = overlapping("copies")
+    df = frame(spark, texts)
+    rep = {r["k"]: r["rep"] for r in neardup.members(df, "k", "t").collect()}
+    links = {(r["rep_a"], r["rep_b"]) for r in neardup.links(df, "k", "t").collect()}
+    assert len(rep) == len(texts)
+    long = [i for i, t in enumerate(texts) if len(t) > 20]
+    assert {(a, b) for a, b in itertools.combinations(long, 2) if rep[a] == rep[b] or (min(rep[a], rep[b]), max(rep[a], rep[b])) in links} == similar_pairs(texts)
 
 
 # 5
