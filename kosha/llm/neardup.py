@@ -2,8 +2,9 @@
 
 1. Equal texts (without white space) become one class; its first row stands for it.
 2. Candidates: every text gives BANDS keys, each of the least values of ROWS random orders of all its
-   distinct character runs. Texts with a key in common are candidates, each with all others of the key; a pair
-   of the similarity has none in common with a chance of 4 in 10,000, a pair of 0.7 with one of 10^-7. With exact=True the
+   distinct character runs. Texts with a key in common are candidates, each with all others of the key, unless
+   one bit of each least value tells that they are far apart; a pair of the similarity has no key in common with a chance of 4 in
+   10,000, a pair of 0.7 with one of 10^-7. With exact=True the
    candidates are instead those of a prefix join: all runs in one order by their count in the collection, rarest first, and the
    shortest prefix of each text that can't miss a partner. That misses nothing, but its blocks grow with the
    square of the collection where texts are made from templates.
@@ -34,6 +35,8 @@ from .common import bare, distinct, mix, window_hashes
 RUN, SIMILARITY = 10, 0.6
 #: Random orders in a band, and bands.
 ROWS, BANDS = 5, 96
+#: Of the ROWS * BANDS least values one bit each is kept; a pair of the similarity differs in a fifth of the bits on average, and in more than so many with a chance of 3 in 100,000.
+DIFFER = 132
 #: Members and characters in one part of a block; more are dealt out in parts, of which each two meet.
 BLOCK, BLOCK_CHARS = 256, 1_000_000
 #: Members up to which all pairs of a class of equal texts are listed; larger classes are linked to their first member.
@@ -99,40 +102,50 @@ class Tree:
                     todo.append((side, end, others[near], both[near], left[near]))
 
 
-def band_keys(own: np.ndarray) -> np.ndarray:
-    """BANDS keys of a set of hashes. A random order is cut into BANDS ranges, whose least values are those of as many orders; an empty range takes the next one's."""
+def band_keys(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BANDS keys of a set of hashes, and a bit of each least value, packed into 64-bit words.
+
+    A random order is cut into BANDS ranges, whose least values are those of as many orders; an empty range takes the next one's.
+    """
     if not len(own):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    bits = np.zeros(-(-ROWS * BANDS // 64) * 64, np.uint8)
     keys = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     starts = np.arange(BANDS, dtype=np.uint64) * np.uint64((1 << 64) // BANDS)
-    for salt in _SALTS:
+    for i, salt in enumerate(_SALTS):
         v = np.sort(mix(own ^ salt))
         at = np.searchsorted(v, starts)
         at[at == len(v)] = 0
         keys = mix(keys * np.uint64(31) + v[at])
-    return keys
+        bits[i * BANDS : (i + 1) * BANDS] = v[at] & np.uint64(1)
+    return keys, np.packbits(bits).view(np.uint64)
 
 
 _SALTS = np.random.default_rng(11).integers(1, 1 << 63, ROWS, dtype=np.uint64)
 
 
 def _read(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(k, class, n_chars, keys) of every row: the 16-byte hash and length of its text without white space (null counts as empty), its band keys."""
+    """(k, class, n_chars, keys, bits) of every row: the 16-byte hash and length of its text without white space (null counts as empty), its band keys and bits."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes, sizes, keys, counts = [], [], [], [0]
+            hashes, sizes, keys, bits = [], [], [], []
             for t in b.column(1).to_pylist():
                 values = bare(t or "")
                 hashes.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
                 sizes.append(len(values))
-                keys.append(band_keys(distinct(window_hashes(values, RUN))))
-                counts.append(counts[-1] + len(keys[-1]))
-            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(flat))], names=["k", "class", "n_chars", "keys"])
+                k, w = band_keys(distinct(window_hashes(values, RUN)))
+                keys.append(k)
+                bits.append(w)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.binary()), pa.array(sizes, pa.int64()), _lists(keys), _lists(bits)], names=["k", "class", "n_chars", "keys", "bits"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, class binary, n_chars bigint, keys array<bigint>")
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, class binary, n_chars bigint, keys array<bigint>, bits array<bigint>")
+
+
+def _lists(words: list[np.ndarray]) -> pa.Array:
+    counts = np.cumsum([0, *map(len, words)])
+    return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(np.concatenate(words).view(np.int64) if words else np.zeros(0, np.int64)))
 
 
 def _met(banded: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -151,6 +164,13 @@ def _dealt(df: DataFrame, columns: list[str]) -> DataFrame:
     return other.select(*columns, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
 
 
+def _near(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs that differ in at most DIFFER bits. bits: rep, bits."""
+    both = pairs.join(bits.toDF("a", "x"), "a").join(bits.toDF("b", "y"), "b")
+    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    return both.filter(differ <= DIFFER).select("a", "b")
+
+
 def _prefixes(df: DataFrame, key: str, text: str, reps: DataFrame, similarity: float) -> DataFrame:
     """(key, rep): the runs of each text's shortest prefix that can't miss a partner, in the order of their counts over the collection."""
 
@@ -212,7 +232,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, similarity: float = SIMI
     reps = stored(own.groupBy("class").agg(F.min(F.struct("k", "no", "n_chars")).alias("r")).select("class", "r.*"))
     members = own.select("k", "class", "n_chars").join(reps.select("class", F.col("k").alias("rep")), "class").select("rep", F.col("k").alias(key), "n_chars")
     banded = _prefixes(df, key, text, reps, similarity) if exact else own.join(reps.select("no"), "no", "left_semi").select(F.explode("keys").alias("key"), F.col("no").alias("rep"))
-    pairs = stored(_met(banded).distinct())
+    met = _met(banded).distinct()
+    pairs = stored(met if exact else _near(met, own.select(F.col("no").alias("rep"), "bits")))
     blocks = stored(_blocks(pairs, reps.select(F.col("no").alias("rep"), "n_chars")))
     needed = reps.join(blocks.select(F.col("rep").alias("no")).distinct(), "no", "left_semi").select("k", "no")
     texts = df.select(F.col(key).alias("k"), F.col(text).alias("t")).join(needed, "k").dropDuplicates(["no"]).select(F.col("no").alias("rep"), "t")
