@@ -44,14 +44,27 @@ def link_key(url: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(url, r"/(?:d/|item/|[0-9]{4}/)([A-Za-z0-9_-]+)$", 1), F.lit("")), F.trim(url))
 
 
+#: Fixed value: numbering and marks before a subject.
+AGENDA = r"\A(?:[ \t\n\r0-9๐-๙]+(?:[.．][ \t\n\r0-9๐-๙]*)*[ \t\n\r.)]*|(?:เรื่อง|วาระที่|ระเบียบวาระที่)[ \t\n\r]*)+"
+
+
 def strip_agenda(title: Column) -> Column:
-    """Without the numbering, "เรื่อง" and spaces at the start, repeatedly."""
-    return F.regexp_replace(title, r"\A(?:[0-9๐-๙]+(?:\.[0-9๐-๙]+)*\.?|เรื่อง|[ ])+", "")
+    """Without the numbering and the marks at the start, in any order, repeatedly."""
+    return F.regexp_replace(title, AGENDA, "")
+
+
+#: Fixed value: the heading of a resolution's first page, up to its subject.
+HEADING = r"มติคณะกรรมการสภาวิชาการ.{0,80}?เรื่อง\s(.{10,300})"
+#: Words that say nothing of a subject.
+EMPTY_WORDS = ("การ", "ความ", "ของ", "และ", "หรือ", "ที่", "ใน", "เพื่อ", "กับ", "ให้", "จาก", "โดย", "ตาม", "เป็น", "มี", "ได้", "ต่อ", "ด้วย", "แก่", "แห่ง", "ซึ่ง", "นี้", "เรื่อง", "ขอ", "ทาง", "อัน", "ณ", "พ.ศ.", "ปี")
 
 
 def subject_line(text: Column, most: int = 300, within: int = 4000) -> Column:
-    """The first line of the first characters that says something: not blank, a # line or a table."""
-    return F.substring(F.trim(F.regexp_extract(F.substring(text, 1, within), r"(?m)^[ ]*([^ #<\n][^\n]*)$", 1)), 1, most)
+    """The subject in the heading of the first page (within the first characters), else the first line that is not blank, a # line or a table."""
+    head = F.substring(text, 1, within)
+    named = F.nullif(F.regexp_extract(collapse_ws(head), HEADING, 1), F.lit(""))
+    first = F.trim(F.regexp_extract(head, r"(?m)^[ ]*([^ #<\n][^\n]*)$", 1))
+    return F.substring(F.coalesce(strip_agenda(named), first), 1, most)
 
 
 def row_signature(row: Column) -> Column:
@@ -108,15 +121,20 @@ def prefix_related(a: Column, b: Column, share: float = 0.7, least: int = 4) ->
 
 
 def coverage(title: Column, subject: Column) -> Column:
-    """The share of the title's words that occur in the subject; 1 without words."""
-    words = F.filter(F.split(collapse_ws(title), " "), lambda w: w != "")
-    return F.when(F.size(words) == 0, 1.0).otherwise(F.size(F.filter(words, lambda w: F.contains(subject, w))) / F.size(words))
+    """The share of the title's telling words that stand in the subject, white space aside; 1 without such words.
+
+    Numbering, single characters, numbers, signs and EMPTY_WORDS tell nothing.
+    """
+    telling = lambda w: (F.length(w) >= 2) & ~w.isin(*EMPTY_WORDS) & ~w.rlike("^[0-9๐-๙]+$") & w.rlike("[0-9A-Za-zก-๛À-￿]")
+    words = F.filter(F.split(collapse_ws(strip_agenda(title)), " "), telling)
+    hay = F.replace(F.coalesce(subject, F.lit("")), F.lit(" "), F.lit(""))
+    return F.when(F.size(words) == 0, 1.0).otherwise(F.size(F.filter(words, lambda w: F.contains(hay, w))) / F.size(words))
 
 
 def context_class(text: Column, at: Column, reach: int = 300) -> Column:
     """table or prose, by what stands around a place (from 0)."""
     near = F.substring(text, F.greatest(at - reach, F.lit(0)) + 1, F.lit(2 * reach))
-    return F.when(F.contains(near, F.lit("<td>")) | (F.length(near) - F.length(F.replace(near, F.lit("|"), F.lit(""))) >= 6), "table").otherwise("prose")
+    return F.when(near.rlike("(?i)<t[dr]|<table") | (F.length(near) - F.length(F.replace(near, F.lit("|"), F.lit(""))) >= 3), "table").otherwise("prose")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -5,6 +5,9 @@ All keep the document's own order and give pieces in code points. Null and empty
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -57,11 +60,11 @@ def merge_short(units: Column, least: int = 15) -> Column:
     return F.aggregate(units, start, step, end)
 
 
-def chunk_rows(df: DataFrame, key: str, text: str, split: Callable[[Column], Column]) -> DataFrame:
-    """key, chunk_index over the whole document, page, chunk: pages first, then the splitter within each; no shuffle."""
+def chunk_rows(df: DataFrame, key: str, text: str, split: Callable[[Column], Column], keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, chunk_index over the whole document, page, chunk and the document's columns to keep: pages first, then the splitter within each; no shuffle."""
     cut = F.transform(pages(F.col(text)), lambda p: F.transform(split(p["body"]), lambda c: F.struct(p["page"].alias("page"), c.alias("chunk"))))
-    rows = df.select(key, F.posexplode(F.flatten(cut)).alias("chunk_index", "c"))
-    return rows.select(key, "chunk_index", "c.page", "c.chunk")
+    rows = df.select(key, *keep, F.posexplode(F.flatten(cut)).alias("chunk_index", "c"))
+    return rows.select(key, *keep, "chunk_index", "c.page", "c.chunk")
 
 
 def semantic_groups(df: DataFrame, doc: str, order: str, vector: str, threshold: float = 0.5) -> DataFrame:
@@ -112,31 +115,32 @@ def _recursive(text: str, size: int, overlap: int, separators: tuple[str, ...] =
     return out
 
 
-def _words(text: str, size: int, overlap: int) -> list[str]:
-    """Whole words up to size; the next chunk goes back by whole words up to the overlap."""
-    import re
-
-    words = re.findall(r"\S+\s*", text)
-    out, at = [], 0
-    while at < len(words):
-        end, n = at, 0
-        while end < len(words) and (n + len(words[end]) <= size or end == at):
-            n += len(words[end])
-            end += 1
-        out.append("".join(words[at:end]))
-        if end >= len(words):
-            break
-        back, n = end, 0
-        while back > at and n + len(words[back - 1]) <= overlap:
-            back -= 1
-            n += len(words[back])
-        at = end if back <= at else back
+def word_spans(sizes: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
+    """(first, end) of the chunks over words of the given lengths, found by bisection in the running total.
+
+    A chunk takes the words that fit, one at least. The next one starts at the last word from which the overlap is reached;
+    where that is the chunk's own start, at its end.
+    """
+    total = list(itertools.accumulate(sizes, initial=0))
+    out: list[tuple[int, int]] = []
+    first = 0
+    while first < len(sizes):
+        end = max(first + 1, bisect.bisect_right(total, total[first] + size) - 1)
+        out.append((first, end))
+        back = bisect.bisect_right(total, total[end] - overlap) - 1
+        first = end if end == len(sizes) or back <= first else back
     return out
 
 
+def words(text: str, size: int, overlap: int) -> list[str]:
+    """Chunks of whole words, each with the white space after it; white space before the first word is left out."""
+    parts = re.findall("[^ \t\n\r\f\v]+[ \t\n\r\f\v]*", text)
+    return ["".join(parts[a:b]) for a, b in word_spans(list(map(len, parts)), size, overlap)]
+
+
 def python_chunks(df: DataFrame, key: str, text: str, how: str, size: int = 512, overlap: int = 50) -> DataFrame:
     """key, chunk_index, chunk by the recursive or the word-aware splitter, whose state has no expression form."""
-    split = {"recursive": _recursive, "words": _words}[how]
+    split = {"recursive": _recursive, "words": words}[how]
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

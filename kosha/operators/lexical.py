@@ -49,11 +49,26 @@ def weighted_postings(df: DataFrame, key: str, text: str) -> DataFrame:
     return posted.join(term_stats(posted, n), "term").select("term", key, weight.alias("weight"))
 
 
-def bm25(queries: DataFrame, qkey: str, qtext: str, weighted: DataFrame, key: str, k: int) -> DataFrame:
-    """qkey, key, score, rank of the k best chunks that share a term with the query; ties by key."""
+def bm25(queries: DataFrame, qkey: str, qtext: str, weighted: DataFrame, key: str, k: int, docs: DataFrame | None = None) -> DataFrame:
+    """qkey, key, score, rank of the k best chunks; ties by key.
+
+    With docs (all chunks of the index) every query gets min(k, chunks) rows: chunks that share no term with it score 0 and
+    come in the order of their keys. Without, only chunks that share a term are ranked.
+    """
     terms = queries.select(qkey, F.explode(tokens(F.col(qtext))).alias("term")).groupBy(qkey, "term").agg(F.count("*").alias("qtf"))
-    scored = weighted.join(terms, "term").groupBy(qkey, key).agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
-    return top_k(scored.withColumn("score", F.round("score", 6)), qkey, key, k)
+    scored = weighted.join(terms, "term").groupBy(qkey, key).agg(F.round(F.sum(F.col("qtf") * F.col("weight")), 6).alias("score"))
+    if docs is None:
+        return top_k(scored, qkey, key, k)
+    # of a query with fewer than k chunks above 0 as many more are needed; those it has already are among the hits
+    scored = stored(scored)
+    hits = scored.groupBy(qkey).agg(F.count_if(F.col("score") > 0).alias("above"), F.count("*").alias("n"))
+    short = stored(queries.select(qkey).distinct().join(hits, qkey, "left").fillna(0, ["above", "n"]).filter(F.col("above") < k))
+    most = short.agg(F.max("n")).first()[0]
+    if most is None:
+        return top_k(scored, qkey, key, k)
+    first = docs.select(key).distinct().orderBy(key).limit(k + most).agg(F.array_sort(F.collect_list(key)).alias("ids"))
+    none = short.select(qkey).join(F.broadcast(first)).select(qkey, F.explode("ids").alias(key)).join(scored, [qkey, key], "left_anti").withColumn("score", F.lit(0.0))
+    return top_k(scored.unionByName(none), qkey, key, k)
 
 
 def top_k(scored: DataFrame, qkey: str, key: str, k: int) -> DataFrame:

@@ -39,9 +39,8 @@ def per_query(rankings: DataFrame, qrels: DataFrame, ks: tuple[int, ...]) -> Dat
         aggs += [F.count_if(inside).alias(f"hits_{k}"), F.sum(F.when(inside, F.col("hit_no") / F.col("rank")).otherwise(0.0)).alias(f"ap_{k}"), F.sum(F.when(inside, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias(f"dcg_{k}")]
     found = hits.groupBy(*KEYS).agg(*aggs)
     rel = judged(qrels).groupBy("query_id").agg(F.count("*").alias("n_rel"))
-    # every judged query for every combination, of which there are as many as index builds
-    combos = literal_rows(rankings.select("combination_id").distinct())["combination_id"]
-    grid = rel.select("query_id", "n_rel", F.explode(combos).alias("combination_id"))
+    # every judged query for every combination: the judged queries are a hand-made list, the combinations a table that grows
+    grid = rankings.select("combination_id").distinct().select("combination_id", F.explode(literal_rows(rel)).alias("q")).select("combination_id", "q.*")
     out = grid.join(found, list(KEYS), "left")
     cols = [F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("rr")]
     for k in ks:
@@ -71,5 +70,21 @@ def leave_one_out(scores: DataFrame, item: str, key: str, value: str) -> DataFra
     return best.filter("r = 1").select(item, key, value, "others")
 
 
+def contexts(rankings: DataFrame, judgements: DataFrame, text: str, k: int, chars: int) -> DataFrame:
+    """combination_id, query_id, label, resolution_id, t, is_gold, context_has_gold: the first k documents' hits as blocks.
+
+    A ranking is read in order up to the first hit of document k + 1, so later hits of the documents before it are
+    not part of a block. A block is its hits' texts, by line breaks, cut to so many characters; a null text counts as empty.
+    """
+    own = Window.partitionBy(*KEYS)
+    first = rankings.filter(F.col("resolution_id").isNotNull()).withColumn("fr", F.min("rank").over(Window.partitionBy(*KEYS, "resolution_id")))
+    seen = first.withColumn("label", F.dense_rank().over(own.orderBy("fr"))).withColumn("end", F.min(F.when(F.col("label") == k + 1, F.col("rank"))).over(own))
+    kept = seen.filter((F.col("label") <= k) & (F.col("end").isNull() | (F.col("rank") < F.col("end"))))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.coalesce(F.col(text), F.lit("")).alias("x")))), lambda z: z["x"])
+    blocks = kept.groupBy(*KEYS, "label", "resolution_id").agg(F.substring(F.array_join(texts, "\n"), 1, chars).alias("t"))
+    gold = blocks.join(judgements.withColumn("g", F.lit(True)), ["query_id", "resolution_id"], "left").withColumn("is_gold", F.coalesce("g", F.lit(False)))
+    return gold.withColumn("context_has_gold", F.max("is_gold").over(own)).drop("g")
+
+
 def depth_band(rank: Column) -> Column:
     return F.when(rank.isNull(), "none").when(rank <= 10, "1-10").when(rank <= 50, "11-50").when(rank <= 100, "51-100").when(rank <= 1000, "101-1000").otherwise("1001+")

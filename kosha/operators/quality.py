@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,34 +33,86 @@ def token_runs(df: DataFrame, key: str, text: str, times: int = 8) -> DataFrame:
     return islands(words, [key], "pos", "token").filter(F.col("n") >= times)
 
 
+TABLES = "(?is)<table.*?</table>"
+
+
 def numeric_flood(df: DataFrame, key: str, text: str, times: int = 8) -> DataFrame:
-    """Words "N." that count up by one so often: key, first, n. Null and empty texts give none."""
-    words = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit("(?m)(?:^|[ \n>])([0-9]{1,6})\\."), F.lit(1))).alias("pos", "t"))
-    runs = words.withColumn("v", F.col("t").cast("int")).groupBy(key, (F.col("v") - F.col("pos")).alias("island")).agg(F.min("v").alias("first"), F.count("*").alias("n"), F.min("pos").alias("pos"), F.max("pos").alias("last"))
-    # members of one island are consecutive only if their places are
-    return runs.filter((F.col("n") >= times) & (F.col("last") - F.col("pos") + 1 == F.col("n"))).select(key, "first", "n")
+    """Words "N." inside a table that count up by one, word after word, so often: key, table_no, first, n, word_no of the first.
+
+    A word in between ends a run. Null and empty texts, and texts without tables, give none. No shuffle: each table is one fold.
+    """
+    spot = F.struct(F.array().cast("array<struct<first:bigint,n:bigint,at:bigint>>").alias("done"), F.lit(None).cast("bigint").alias("first"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("at"))
+    run = lambda a: F.struct(a["first"].alias("first"), a["n"].alias("n"), (a["at"] - a["n"]).alias("at"))
+    closed = lambda a: F.when(a["n"] >= times, F.array_append(a["done"], run(a))).otherwise(a["done"])
+
+    def step(a: Column, w: Column) -> Column:
+        v = F.nullif(F.regexp_extract(w, r"\A([0-9]{1,15})\.\z", 1), F.lit("")).cast("bigint")
+        goes_on = F.coalesce(v == a["first"] + a["n"], F.lit(False))
+        begun = F.struct(closed(a).alias("done"), v.alias("first"), v.isNotNull().cast("bigint").alias("n"), (a["at"] + 1).alias("at"))
+        return F.when(goes_on, F.struct(a["done"].alias("done"), a["first"].alias("first"), (a["n"] + 1).alias("n"), (a["at"] + 1).alias("at"))).otherwise(begun)
+
+    tables = df.select(key, F.posexplode(F.regexp_extract_all(F.translate(text, "๐๑๒๓๔๕๖๗๘๙", "0123456789"), F.lit(TABLES), F.lit(0))).alias("table_no", "t"))
+    tokens = F.filter(F.split("t", r"\s+"), lambda w: w != "")
+    return tables.select(key, "table_no", F.explode(F.aggregate(tokens, spot, step, closed)).alias("r")).select(key, "table_no", "r.first", "r.n", F.col("r.at").alias("word_no"))
+
+
+#: Fixed value: a person with an academic title, as rosters in tables have them.
+TITLED = r"(?:ผศ|รศ)\.(?:ดร\.)?[ \t]*[ก-ฮะ-๎]+(?:[ \t]+[ก-ฮะ-๎]+){0,3}"
+
+
+def table_name_loops(df: DataFrame, key: str, text: str, names: str = TITLED, least: int = 4, ratio: float = 0.5) -> DataFrame:
+    """Names in so many rows of one table whose rows are nearly the same: key, table_no, name, n, n_rows_different.
+
+    A name counts once a row; rows are compared with digits as 0 and white space as one space.
+    """
+    from kosha.functions.text import collapse_ws, row_signature
+
+    tables = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(TABLES), F.lit(0))).alias("table_no", "t"))
+    rows = tables.select(key, "table_no", F.explode(F.regexp_extract_all("t", F.lit("(?is)<tr>.*?</tr>"), F.lit(0))).alias("row"))
+    found = F.array_distinct(F.transform(F.regexp_extract_all("row", F.lit(names), F.lit(0)), collapse_ws))
+    each = rows.select(key, "table_no", row_signature(F.col("row")).alias("sig"), F.explode(found).alias("name"))
+    n = each.groupBy(key, "table_no", "name").agg(F.count("*").alias("n"), F.count_distinct("sig").alias("n_rows_different"))
+    return n.filter((F.col("n") >= least) & (F.col("n_rows_different") <= ratio * F.col("n")))
+
+
+#: Fixed value: words of rules and marks, whose cycles say nothing.
+BENIGN = r"[\-_=|.*#]*"
 
 
 def cyclic_floods(df: DataFrame, key: str, text: str, times: int = 6, most: int = 8) -> DataFrame:
-    """Word cycles of 2 to most words that run so often, the shortest period first: key, start, period, n."""
+    """Word cycles of 2 to most words that run so often, the shortest period first: key, start, period, n. Cycles of rules and marks alone are none.
+
+    Words are numbers; for each period the stretches in which a word equals the one a period before are found at once, and
+    only places where a stretch is long enough are looked at.
+    """
     kind = df.schema[key].dataType.simpleString()
 
+    def floods(t: str) -> Iterator[tuple[int, int, int]]:
+        words = t.split()
+        _, at = np.unique(np.array(words, dtype=object), return_inverse=True) if words else ((), np.zeros(0, int))
+        plain = np.array([re.fullmatch(BENIGN, w) is None for w in words], bool)
+        left = np.zeros((most + 1, len(words) + 1), np.int64)  # by period and place: words from here on that equal the one a period later
+        for p in range(2, most + 1):
+            same = at[:-p] == at[p:]
+            ends = np.flatnonzero(np.append(~same, True))
+            place = np.arange(len(same))
+            left[p, : len(same)] = ends[np.searchsorted(ends, place)] - place
+        long = left >= (times - 1) * np.arange(most + 1)[:, None]
+        long[:2] = False
+        i = 0
+        for i_next in np.flatnonzero(long.any(0)).tolist():
+            if i_next < i:
+                continue
+            for p in np.flatnonzero(long[:, i_next]).tolist():
+                if plain[i_next : i_next + p].any():
+                    n = int(left[p, i_next]) // p + 1
+                    yield i_next, p, n
+                    i = i_next + p * n
+                    break
+
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for k, t in zip(b["k"], b["t"]):
-                words, i = (t or "").split(), 0
-                while i < len(words):
-                    for p in range(2, most + 1):
-                        n = i
-                        while n + p < len(words) and words[n + p] == words[n]:
-                            n += 1
-                        if (n - i) // p + 1 >= times and len(set(words[i : i + p])) > 1:
-                            rows.append((k, i, p, (n - i) // p + 1))
-                            i = n + p - 1
-                            break
-                    i += 1
-            yield pd.DataFrame(rows, columns=["k", "start", "period", "n"])
+            yield pd.DataFrame([(k, *f) for k, t in zip(b["k"], b["t"]) for f in floods(t or "")], columns=["k", "start", "period", "n"])
 
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, start int, period int, n int").withColumnRenamed("k", key)
 

@@ -2,35 +2,89 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kosha.session import stored
+#: Fixed values of the portable draw: a prime modulus, and a factor and shifts that spread resamples and places.
+MODULUS, FACTOR, BY_RESAMPLE, BY_PLACE = 2147483647, 48271, 7368787, 2750159
 
 
-def draw(seed: Column, n: Column) -> Column:
-    """A portable draw from 0..n-1 by the first 8 hex digits of md5."""
-    return F.conv(F.substring(F.md5(seed), 1, 8), 16, 10).cast("bigint") % n
+def draws(resamples: np.ndarray, n: int) -> np.ndarray:
+    """A matrix of draws from 0..n-1, a row for each resample number; made of squares modulo a prime, so that SQL can repeat it."""
+    b, i = resamples[:, None].astype(np.int64), np.arange(n, dtype=np.int64)[None, :]
+    x = (b * BY_RESAMPLE + i * BY_PLACE + 12345) % MODULUS
+    x = (x * x + FACTOR * i + b) % MODULUS
+    x = (x * x + FACTOR) % MODULUS
+    return (x // 8) % n
 
 
-def bootstrap(diffs: DataFrame, group: str, item: str, diff: str, n_boot: int) -> DataFrame:
+def draws_sql(b: str, i: str, n: str) -> str:
+    """The same draw as SQL, from expressions of BIGINT."""
+    x = f"(({b}) * {BY_RESAMPLE} + ({i}) * {BY_PLACE} + 12345) % {MODULUS}"
+    y = f"(({x}) * ({x}) + {FACTOR} * ({i}) + ({b})) % {MODULUS}"
+    return f"(((({y}) * ({y}) + {FACTOR}) % {MODULUS}) // 8) % ({n})"
+
+
+#: Numbers of a matrix of draws that are in memory at once.
+DRAWN = 4_000_000
+
+
+def away(x: np.ndarray | float, places: int) -> np.ndarray:
+    """Rounded, halves away from zero, as SQL does."""
+    return np.sign(x) * np.floor(np.abs(x) * 10**places + 0.5) / 10**places + 0.0
+
+
+def resampled_means(diffs: np.ndarray, n_boot: int) -> np.ndarray:
+    """The mean of each resample. Differences are whole millionths, so that the sums are exact."""
+    micro = away(diffs * 1e6, 0).astype(np.int64)
+    step = max(1, DRAWN // max(1, len(micro)))
+    sums = [micro[draws(np.arange(a, min(a + step, n_boot)), len(micro))].sum(1) for a in range(0, n_boot, step)]
+    return away(np.concatenate(sums) / len(micro) / 1e6, 9)
+
+
+def bootstrap(diffs: DataFrame, group: str, item: str, diff: str, n_boot: int = 10_000) -> DataFrame:
     """group, n, mean, p, low, high: paired bootstrap of the mean difference, two-sided, percentile interval.
 
-    A resample's mean is a weighted mean: each item's multiplicity is how often it was drawn. Differences
-    of one group are an array (one number per judged query), so that nothing is joined.
+    A group is one number per judged query, in the order of item; its resamples are drawn as matrices. Differences are taken
+    to six decimals. Null differences are left out; a group without any gives no row.
     """
-    sorted_rows = diffs.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(item, diff))).alias("d"))
-    rows = stored(sorted_rows.select(group, F.col(f"d.{diff}").alias("d")))
-    n = F.size("d").cast("bigint")
-    # few rows, much work in each: dealt out to all cores, which adaptive execution would not do for so few bytes
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    each = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition(cores, group, "b")
-    total = F.aggregate(F.sequence(F.lit(0), F.size("d") - 1), F.lit(0.0), lambda s, i: s + F.get("d", draw(F.concat_ws(":", F.col("b"), i), n).cast("int")))
-    means = each.select(group, F.size("d").alias("n"), F.round(total / n, 9).alias("m"))
-    stat = means.groupBy(group, "n").agg(F.avg((F.col("m") <= 0).cast("double")).alias("le"), F.avg((F.col("m") >= 0).cast("double")).alias("ge"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    own = diffs.groupBy(group).agg(F.avg(diff).alias("mean"))
-    return stat.join(own, group).select(group, "n", F.round("mean", 6).alias("mean"), F.round(F.least(F.lit(1.0), 2 * F.least("le", "ge")), 6).alias("p"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    kind = diffs.schema[group].dataType.simpleString()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        d = rows.sort_values(["i"])["d"].to_numpy()
+        m = resampled_means(d, n_boot)
+        p = min(1.0, 2 * min((m <= 0).mean(), (m >= 0).mean()))
+        low, high = np.percentile(m, [2.5, 97.5])
+        return pd.DataFrame([(rows["g"].iloc[0], len(d), *(float(away(x, 6)) for x in (d.mean(), p, low, high)))], columns=["g", "n", "mean", "p", "low", "high"])
+
+    own = diffs.filter(F.col(diff).isNotNull()).select(F.col(group).alias("g"), F.col(item).alias("i"), F.col(diff).cast("double").alias("d"))
+    # few groups, much work in each: one task a group, not as few as their bytes ask for
+    parts = own.sparkSession.sparkContext.defaultParallelism
+    return own.repartition(parts, "g").groupBy("g").applyInPandas(run, f"g {kind}, n int, mean double, p double, low double, high double").withColumnRenamed("g", group)
+
+
+def power(diffs: DataFrame, group: str, item: str, diff: str, effects: list[float], trials: int = 200, n_boot: int = 500, alpha: float = 0.05) -> DataFrame:
+    """group, effect, power: how often a bootstrap test finds an effect that is put into resamples of the centred differences."""
+    kind = diffs.schema[group].dataType.simpleString()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        d = rows.sort_values(["i"])["d"].to_numpy()
+        centred = away(d - d.mean(), 6)
+        picked = centred[draws(np.arange(n_boot, n_boot + trials), len(d))]
+        out = []
+        for e in effects:
+            found = 0
+            for own in picked + e:
+                m = resampled_means(own, n_boot)
+                found += min(1.0, 2 * min((m <= 0).mean(), (m >= 0).mean())) < alpha
+            out.append((rows["g"].iloc[0], e, round(found / trials, 6)))
+        return pd.DataFrame(out, columns=["g", "effect", "power"])
+
+    own = diffs.filter(F.col(diff).isNotNull()).select(F.col(group).alias("g"), F.col(item).alias("i"), F.col(diff).cast("double").alias("d"))
+    return own.repartition(own.sparkSession.sparkContext.defaultParallelism, "g").groupBy("g").applyInPandas(run, f"g {kind}, effect double, power double").withColumnRenamed("g", group)
 
 
 def holm(df: DataFrame, family: list[str], key: str, p: str, alpha: float = 0.05) -> DataFrame:
@@ -50,6 +104,12 @@ def mde(sd: Column, n: Column, alpha: float = 0.05, tests: Column | int = 1) ->
     return (z + 0.8416212) * sd / F.sqrt(n)
 
 
+def needed(sd: Column, delta: float, alpha: float = 0.05, tests: Column | int = 1) -> Column:
+    """The number of items for which a difference of delta is found with power 0.8; null for a delta of 0."""
+    one = mde(sd, F.lit(1), alpha, tests)
+    return F.ceil(F.try_divide(one * one, F.lit(delta * delta)))
+
+
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """The interval of a share; null without trials."""
     p = F.try_divide(hits.cast("double"), n.cast("double"))

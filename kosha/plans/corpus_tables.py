@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kosha.functions import text as tx
-from kosha.operators import quality
+from kosha.operators import dictionaries, quality
 from kosha.plans.registry import query
 from kosha.plans.retrieval_queries import chunks
 from kosha.session import literal_rows, table
 from kosha.sources import tables
 
 _ROWS = r"<tr><td>([0-9]{8})</td><td>([^<]*)</td><td>([0-9]+\([0-9-]+\))</td></tr>"
-_PEOPLE = r"(?:^|[ \n(])(?:(?:ผศ|รศ|ศ|ดร|อ)\.|(?:นางสาว|นาย|นาง|คุณ))[ ]?(?:ดร\.[ ]?)?([ก-๎]+ [ก-๎]+)"
 
 
 @query(f"""
@@ -35,28 +34,39 @@ def without_tables(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "resolutions").select("res_no", body.alias("body"), (F.length("raw_text") - F.length(body)).cast("bigint").alias("cut"))
 
 
-@query("""
-WITH t AS (SELECT res_no, unnest(regexp_extract_all(raw_text, '<td>([^<]+)</td>', 1)) AS name FROM resolutions)
-SELECT res_no, name, count(*) AS n FROM t WHERE length(name) >= 12 GROUP BY 1, 2 HAVING count(*) >= 2""")
+_FLAT = r"trim(regexp_replace({0}, '[ \t\n\r]+', ' ', 'g'), ' ')"
+
+
+@query(rf"""
+WITH t AS (SELECT res_no, unnest(l) AS t, generate_subscripts(l, 1) - 1 AS table_no FROM (SELECT res_no, regexp_extract_all(raw_text, '(?is)<table.*?</table>') AS l FROM resolutions)),
+r AS (SELECT res_no, table_no, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT res_no, table_no, regexp_extract_all(t, '(?is)<tr>.*?</tr>') AS l FROM t)),
+n AS (SELECT res_no, table_no, i, w, unnest(list_distinct(list_transform(regexp_extract_all(w, '<td>([^<]{{12,}})</td>', 1), lambda x: {_FLAT.format('x')}))) AS name FROM r)
+SELECT res_no, table_no, name, count(*) AS n, count(DISTINCT {_FLAT.format("regexp_replace(translate(w, '๐๑๒๓๔๕๖๗๘๙', '0123456789'), '[0-9]', '0', 'g')")}) AS n_rows_different FROM n GROUP BY 1, 2, 3 HAVING count(*) >= 2""")
 def table_name_loops(spark: SparkSession, d: str) -> DataFrame:
-    """Names that stand in several cells of one text's tables."""
-    t = table(spark, d, "resolutions").select("res_no", F.explode(F.regexp_extract_all("raw_text", F.lit("<td>([^<]+)</td>"), F.lit(1))).alias("name"))
-    return t.filter(F.length("name") >= 12).groupBy("res_no", "name").agg(F.count("*").alias("n")).filter("n >= 2")
+    """Cells of 12 characters or more in several rows of one table, however different the rows are (the operator's own thresholds, of four rows and half of them different, find none here)."""
+    got = quality.table_name_loops(table(spark, d, "resolutions"), "res_no", "raw_text", "(?<=<td>)[^<]{12,}(?=</td>)", 2, 1.0)
+    return got.withColumn("table_no", F.col("table_no").cast("bigint"))
+
+
+_RANK = "CASE trim(replace({0}, 'ดร.', '')) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in dictionaries.RANKS) + " ELSE trim(replace({0}, 'ดร.', '')) END || CASE WHEN contains({0}, 'ดร.') THEN 'ดร.' ELSE '' END"
+_FOUND = " UNION ALL ".join(f"SELECT {{0}} AS id, unnest(regexp_extract_all({{1}}, '{p}', 1)) AS t, unnest(regexp_extract_all({{1}}, '{p}', 2)) AS given, unnest(regexp_extract_all({{1}}, '{p}', 3)) AS surname FROM {{2}}" for p in (dictionaries.TITLED.replace("{", "{{").replace("}", "}}"), dictionaries.IN_CELLS.replace("{", "{{").replace("}", "}}")))
+_PEOPLE = lambda key, text, src: f"SELECT id, {_RANK.format('t')} AS title, given, surname FROM ({_FOUND.format(key, text, src)}) WHERE NOT list_contains({list(dictionaries.NO_NAMES)!r}, given)"
 
 
-@query(f"SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '{_PEOPLE}', 1))) AS people FROM documents WHERE text IS NOT NULL")
+@query(f"WITH p AS ({_PEOPLE('doc_id', 'text', 'documents')}) SELECT doc_id, coalesce(people, []) AS people FROM documents LEFT JOIN (SELECT id AS doc_id, list_sort(list_distinct(list(title || given || ' ' || surname))) AS people FROM p GROUP BY 1) USING (doc_id) WHERE text IS NOT NULL")
 def people_mentions(spark: SparkSession, d: str) -> DataFrame:
-    """Given name and surname after a title, distinct and sorted."""
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(_PEOPLE), F.lit(1))))
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", found.alias("people"))
+    """The people with an academic title, ranks in their short form, distinct and sorted."""
+    names = F.transform(dictionaries.people(F.col("text")), lambda p: F.concat(p["title"], p["given"], F.lit(" "), p["surname"]))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.array_sort(F.array_distinct(names)).alias("people"))
 
 
-@query(f"WITH p AS (SELECT source, unnest(regexp_extract_all(text, '{_PEOPLE}', 1)) AS name FROM documents WHERE text IS NOT NULL), n AS (SELECT name, source, count(*) AS n FROM p GROUP BY ALL) SELECT name, sum(n)::BIGINT AS total, count(DISTINCT source) AS n_sources, max(n) AS most FROM n GROUP BY 1")
+@query(f"""WITH p AS (SELECT DISTINCT id, title, given || ' ' || surname AS name FROM ({_PEOPLE('doc_id', 'text', 'documents')})), n AS (SELECT name, title, count(*) AS n FROM p GROUP BY ALL)
+SELECT name, sum(n)::BIGINT AS total, count(*) AS n_titles, arg_max(title, (n, title)) AS top_title FROM n GROUP BY 1""")
 def people_dictionary(spark: SparkSession, d: str) -> DataFrame:
-    """Names with their counts, over sources first."""
-    p = table(spark, d, "documents").select("source", F.explode(F.regexp_extract_all("text", F.lit(_PEOPLE), F.lit(1))).alias("name"))
-    n = p.groupBy("name", "source").agg(F.count("*").alias("n"))
-    return n.groupBy("name").agg(F.sum("n").alias("total"), F.count_distinct("source").alias("n_sources"), F.max("n").alias("most"))
+    """People by name, the title left out of the key: documents, titles, and the title most used (the last of those on ties)."""
+    p = table(spark, d, "documents").select("doc_id", F.explode(dictionaries.people(F.col("text"))).alias("p"))
+    n = p.groupBy(F.concat_ws(" ", "p.given", "p.surname").alias("name"), F.col("p.title").alias("title")).agg(F.count("*").alias("n"))
+    return n.groupBy("name").agg(F.sum("n").alias("total"), F.count("*").alias("n_titles"), F.max_by("title", F.struct("n", "title")).alias("top_title"))
 
 
 @query()

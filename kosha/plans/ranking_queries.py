@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from kosha.operators import metrics, stats
 from kosha.plans.registry import query
-from kosha.session import stored, table
+from kosha.session import built, stored, table
 
 KS = (5, 10)
 
@@ -23,7 +23,8 @@ m AS (SELECT combination_id, query_id, n_rel, round(coalesce(1.0::DOUBLE / first
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.per_query(metrics.cleaned(table(spark, d, "rankings")), table(spark, d, "qrels"), KS)
+    """The scores of every ranking; some twenty queries read them, so they are stored once."""
+    return built(spark, "scores", d, lambda: metrics.per_query(metrics.cleaned(table(spark, d, "rankings")), table(spark, d, "qrels"), KS))
 
 
 @query(f"WITH {_PER} SELECT * FROM m")
@@ -148,9 +149,11 @@ def _diffs(spark: SparkSession, d: str) -> DataFrame:
     return s.filter(F.col("combination_id") != first).join(base, "query_id").select("combination_id", "query_id", F.round(F.col("recall_10") - F.col("base"), 6).alias("diff"))
 
 
-N_BOOT = 200
-_BOOT = f"""{_DIFFS}, l AS (SELECT combination_id, list(diff ORDER BY query_id) AS ds, count(*) AS n, avg(diff) AS mean FROM df GROUP BY 1), bm AS (SELECT combination_id, n, mean, b, round(list_sum(list_transform(range(0, n), lambda i: ds[1 + ('0x' || substring(md5(b::VARCHAR || ':' || i::VARCHAR), 1, 8))::BIGINT % n])) / n, 9) AS m FROM l, (SELECT unnest(range(0, {N_BOOT})) AS b)),
-bo AS (SELECT combination_id, n::INT AS n, round(any_value(mean), 6) AS mean, round(least(1.0, 2 * least(avg((m <= 0)::INT), avg((m >= 0)::INT))), 6) AS p, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM bm GROUP BY 1, 2)"""
+N_BOOT = 10_000
+_BOOT = f"""{_DIFFS}, l AS (SELECT combination_id, query_id, (sign(diff) * floor(abs(diff) * 1e6 + 0.5))::BIGINT AS v, row_number() OVER (PARTITION BY combination_id ORDER BY query_id) - 1 AS i FROM df),
+ns AS (SELECT combination_id, count(*) AS n FROM l GROUP BY 1), dr AS (SELECT n, b, {stats.draws_sql('b', 'i', 'n')} AS j FROM (SELECT DISTINCT n FROM ns), (SELECT unnest(range(0, {N_BOOT}))::BIGINT AS b), LATERAL (SELECT unnest(range(0, n)) AS i)),
+bm AS (SELECT combination_id, n, b, round(sum(v)::DOUBLE / n / 1e6, 9) AS m FROM ns JOIN dr USING (n) JOIN l USING (combination_id) WHERE l.i = dr.j GROUP BY 1, 2, 3),
+bo AS (SELECT combination_id, n::INT AS n, round(any_value(mean), 6) AS mean, round(least(1.0, 2 * least(avg((m <= 0)::INT), avg((m >= 0)::INT))), 6) AS p, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM bm JOIN (SELECT combination_id, avg(diff) AS mean FROM df GROUP BY 1) USING (combination_id) GROUP BY 1, 2)"""
 
 
 @query(f"WITH {_BOOT} SELECT * FROM bo")
@@ -220,13 +223,12 @@ def score_ties(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("combination_id").agg(F.sum("n").alias("n_rows"), F.count_if(F.col("n") > 1).alias("tie_groups"), F.max("n").alias("biggest"))
 
 
-@query(f"""WITH {_BASE}, x AS (SELECT r.combination_id, r.query_id, r.rank, r.resolution_id, c.text, dense_rank() OVER (PARTITION BY r.combination_id, r.query_id ORDER BY fr, r.resolution_id) AS doc_no FROM (SELECT *, min(rank) OVER (PARTITION BY combination_id, query_id, resolution_id) AS fr FROM r WHERE resolution_id IS NOT NULL) r JOIN (SELECT chunk_id, first(text) AS text FROM chunks GROUP BY 1) c USING (chunk_id))
-SELECT combination_id, query_id, count(DISTINCT resolution_id) AS n_docs, length(string_agg(text, chr(10) ORDER BY doc_no, rank)) AS n_chars, md5(substring(string_agg(text, chr(10) ORDER BY doc_no, rank), 1, 4000)) AS head FROM x WHERE doc_no <= 3 GROUP BY 1, 2""")
+@query(f"""WITH {_BASE}, x AS (SELECT *, dense_rank() OVER (PARTITION BY combination_id, query_id ORDER BY fr) AS label FROM (SELECT *, min(rank) OVER (PARTITION BY combination_id, query_id, resolution_id) AS fr FROM r WHERE resolution_id IS NOT NULL)),
+y AS (SELECT * FROM x ANTI JOIN (SELECT combination_id, query_id, min(rank) AS cut FROM x WHERE label = 4 GROUP BY ALL) e ON x.combination_id = e.combination_id AND x.query_id = e.query_id AND x.rank > e.cut),
+b AS (SELECT combination_id, query_id, label, resolution_id, substring(string_agg(coalesce(text, ''), chr(10) ORDER BY rank), 1, 4000) AS t FROM y LEFT JOIN (SELECT chunk_id, min(text) AS text FROM chunks GROUP BY 1) USING (chunk_id) WHERE label <= 3 GROUP BY ALL)
+SELECT combination_id, query_id, label::INT AS label, resolution_id, length(t) AS n_chars, md5(t) AS block, q.query_id IS NOT NULL AS is_gold, bool_or(q.query_id IS NOT NULL) OVER (PARTITION BY combination_id, b.query_id) AS context_has_gold FROM b LEFT JOIN q USING (query_id, resolution_id)""")
 def context_assembly(spark: SparkSession, d: str) -> DataFrame:
-    """The texts of the first three documents' chunks, by document and rank, as one context of up to 4,000 characters."""
-    from kosha.plans.retrieval_queries import chunks
-
-    r = metrics.cleaned(table(spark, d, "rankings")).filter("resolution_id is not null").withColumn("fr", F.min("rank").over(Window.partitionBy("combination_id", "query_id", "resolution_id")))
-    x = r.join(chunks(spark, d).select("chunk_id", "text"), "chunk_id").withColumn("doc_no", F.dense_rank().over(Window.partitionBy("combination_id", "query_id").orderBy("fr", "resolution_id"))).filter("doc_no <= 3")
-    agg = x.groupBy("combination_id", "query_id").agg(F.count_distinct("resolution_id").alias("n_docs"), F.array_join(F.array_sort(F.collect_list(F.struct("doc_no", "rank", "text")))["text"], "\n").alias("t"))
-    return agg.select("combination_id", "query_id", "n_docs", F.length("t").cast("bigint").alias("n_chars"), F.md5(F.substring("t", 1, 4000)).alias("head"))
+    """A block of up to 4,000 characters for each of the first three documents; reading a ranking ends at the first hit of a fourth one."""
+    c = table(spark, d, "chunks").groupBy("chunk_id").agg(F.min("text").alias("text"))
+    blocks = metrics.contexts(metrics.cleaned(table(spark, d, "rankings")).join(c, "chunk_id", "left"), metrics.judged(table(spark, d, "qrels")), "text", 3, 4000)
+    return blocks.select("combination_id", "query_id", "label", "resolution_id", F.length("t").cast("bigint").alias("n_chars"), F.md5("t").alias("block"), "is_gold", "context_has_gold")

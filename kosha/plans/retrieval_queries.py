@@ -8,37 +8,44 @@ from pyspark.sql import functions as F
 from kosha.functions import text as tx
 from kosha.operators import dense, entities, fusion, lexical
 from kosha.plans.registry import query
-from kosha.session import literal_rows, stored, table
+from kosha.session import built, literal_rows, stored, table
 
 TOP, ARM = 10, 50
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """The index without repeated rows."""
-    return table(spark, d, "chunks").groupBy("chunk_id", "resolution_id").agg(F.first("text").alias("text"), F.min("chunk_index").alias("chunk_index"), F.min("page").alias("page"))
+    """The index without repeated rows; of rows that differ in the rest the least text, index and page."""
+    return table(spark, d, "chunks").groupBy("chunk_id", "resolution_id").agg(F.min("text").alias("text"), F.min("chunk_index").alias("chunk_index"), F.min("page").alias("page"))
 
 
-def _bm25(spark: SparkSession, d: str, k: int, docs: DataFrame | None = None) -> DataFrame:
-    docs = stored(chunks(spark, d) if docs is None else docs)
-    return lexical.bm25(table(spark, d, "queries"), "query_id", "query", stored(lexical.weighted_postings(docs, "chunk_id", "text")), "chunk_id", k)
+def index_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The same, stored once for all queries of an application, as the index is built once and queried often."""
+    return built(spark, "chunks", d, lambda: chunks(spark, d))
+
 
+def _postings(spark: SparkSession, d: str) -> DataFrame:
+    """Weighted postings, sorted by term, so that a scan for a query's terms passes over the rest."""
+    return built(spark, "postings", d, lambda: lexical.weighted_postings(index_chunks(spark, d), "chunk_id", "text").repartition("term").sortWithinPartitions("term"))
 
-def _hash_vectors(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
-    """Dense hashed bags of words; a text without words is a zero vector."""
-    n = dense.hash_counts(df, key, text, dim).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.col("n").cast("double")))).alias("m"))
-    full = df.select(key).join(n, key, "left")
-    return full.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("v"))
+
+def _bm25(spark: SparkSession, d: str, k: int, docs: DataFrame | None = None) -> DataFrame:
+    """The k best chunks of each query, with those of score 0 where fewer share a word; a filtered index has its own statistics."""
+    queries = table(spark, d, "queries")
+    if docs is None:
+        return lexical.bm25(queries, "query_id", "query", _postings(spark, d), "chunk_id", k, index_chunks(spark, d))
+    docs = stored(docs)
+    return lexical.bm25(queries, "query_id", "query", stored(lexical.weighted_postings(docs, "chunk_id", "text")), "chunk_id", k, docs)
 
 
 def _dense_arm(spark: SparkSession, d: str, k: int) -> DataFrame:
     """Queries against chunks by the cosine of hashed bags of words."""
-    c = _hash_vectors(chunks(spark, d), "chunk_id", "text")
-    q = _hash_vectors(table(spark, d, "queries").select(F.concat(F.lit("q:"), F.col("query_id").cast("string")).alias("chunk_id"), F.col("query").alias("text")), "chunk_id", "text")
+    c = built(spark, "vectors", d, lambda: dense.hash_vectors(index_chunks(spark, d), "chunk_id", "text", 64))
+    q = dense.hash_vectors(table(spark, d, "queries").select(F.concat(F.lit("q:"), F.col("query_id").cast("string")).alias("chunk_id"), F.col("query").alias("text")), "chunk_id", "text", 64)
     got = dense.cosine_top_k(q, c, "chunk_id", "v", k)
     return got.select(F.substring("query_key", 3, 20).cast("int").alias("query_id"), "chunk_id", "score", "rank")
 
 
-_C = "c AS (SELECT chunk_id, resolution_id, first(text) AS text, min(chunk_index) AS chunk_index, min(page) AS page FROM chunks GROUP BY ALL)"
+_C = "c AS (SELECT chunk_id, resolution_id, min(text) AS text, min(chunk_index) AS chunk_index, min(page) AS page FROM chunks GROUP BY ALL)"
 _TOK = r"coalesce(list_filter(regexp_split_to_array(lower(text), '[ \n\t]+'), lambda t: t <> ''), [])"
 
 
@@ -50,7 +57,8 @@ r AS (SELECT term, count(*) AS df, ln((SELECT n FROM n) - count(*) + 0.5) - ln(c
 i AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r),
 w AS (SELECT term, chunk_id, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avgdl FROM n))) AS weight FROM p JOIN i USING (term)),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_TOK}) AS term FROM (SELECT query_id, query AS text FROM queries)) GROUP BY ALL),
-bs AS (SELECT query_id, chunk_id, round(sum(qtf * weight), 6) AS score FROM qt JOIN w USING (term) GROUP BY ALL),
+bp AS (SELECT query_id, chunk_id, round(sum(qtf * weight), 6) AS score FROM qt JOIN w USING (term) GROUP BY ALL),
+bs AS (SELECT q.query_id, t.chunk_id, coalesce(score, 0) AS score FROM queries q CROSS JOIN t LEFT JOIN bp ON bp.query_id = q.query_id AND bp.chunk_id = t.chunk_id),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bs)"""
 
 
@@ -142,7 +150,7 @@ s AS (SELECT query_id, resolution_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) A
 SELECT query_id, resolution_id, score, best_rank, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, resolution_id) AS rank FROM s) WHERE rank <= {TOP}""")
 def rrf_merge_docs(spark: SparkSession, d: str) -> DataFrame:
     hits = _dense_arm(spark, d, ARM).withColumn("arm", F.lit(0)).union(_bm25(spark, d, ARM).select("query_id", "chunk_id", "score", "rank").withColumn("arm", F.lit(1)))
-    docs = hits.join(chunks(spark, d).select("chunk_id", "resolution_id"), "chunk_id")
+    docs = hits.join(index_chunks(spark, d).select("chunk_id", "resolution_id"), "chunk_id")
     return fusion.merge_documents(docs, "query_id", "resolution_id", "arm", TOP).select("query_id", "resolution_id", "score", F.col("best_rank").cast("bigint").alias("best_rank"), "rank")
 
 
@@ -160,7 +168,7 @@ def rerank_overlap(spark: SparkSession, d: str) -> DataFrame:
     """A wider pool, ordered by the number of distinct words shared with the query."""
     from pyspark.sql.window import Window
 
-    pool = _bm25(spark, d, ARM).join(chunks(spark, d).select("chunk_id", "text"), "chunk_id").join(table(spark, d, "queries").select("query_id", "query"), "query_id")
+    pool = _bm25(spark, d, ARM).join(index_chunks(spark, d).select("chunk_id", "text"), "chunk_id").join(table(spark, d, "queries").select("query_id", "query"), "query_id")
     shared = pool.withColumn("shared", F.size(F.array_intersect(lexical.tokens(F.col("text")), lexical.tokens(F.col("query")))).cast("bigint"))
     ranked = shared.withColumn("new_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("shared").desc(), "rank")))
     return ranked.filter(F.col("new_rank") <= TOP).select("query_id", "chunk_id", "shared", "new_rank")
@@ -182,7 +190,7 @@ def phrase_containment(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_C}, {_bm25_sql('c')}, h AS (SELECT query_id, chunk_id, score, rank, coalesce(q.entity IS NOT NULL AND trim(q.entity) <> '' AND {_PHRASE.format('c.text', 'q.entity')}, false) AS hit FROM b JOIN c USING (chunk_id) JOIN queries q USING (query_id) WHERE rank <= {ARM})
 SELECT query_id, chunk_id, score, rank, hit, row_number() OVER (PARTITION BY query_id ORDER BY (rank <= 20) DESC, CASE WHEN rank <= 20 THEN NOT hit ELSE false END, rank) AS new_rank FROM h""")
 def lexical_containment(spark: SparkSession, d: str) -> DataFrame:
-    hits = _bm25(spark, d, ARM).join(chunks(spark, d).select("chunk_id", "text"), "chunk_id").join(table(spark, d, "queries").select("query_id", "entity"), "query_id")
+    hits = _bm25(spark, d, ARM).join(index_chunks(spark, d).select("chunk_id", "text"), "chunk_id").join(table(spark, d, "queries").select("query_id", "entity"), "query_id")
     return fusion.partition_first(hits.withColumn("hit", tx.contains_phrase(F.col("text"), F.col("entity"))), "query_id", F.col("hit"), 20).select("query_id", "chunk_id", "score", "rank", "hit", "new_rank")
 
 

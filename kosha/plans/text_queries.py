@@ -35,19 +35,23 @@ def ws_collapse(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.collapse_ws(F.col("text")).alias("text_ws"), F.octet_length("text").cast("bigint").alias("token_bound"))
 
 
-@query(r"""
-SELECT res_no, coalesce(nullif(regexp_extract(source_url, '/(?:d/|item/|[0-9]{4}/)([A-Za-z0-9_-]+)$', 1), ''), trim(source_url)) AS link, regexp_replace(title, '\A(?:[0-9๐-๙]+(?:\.[0-9๐-๙]+)*\.?|เรื่อง|[ ])+', '') AS subject,
-  substring(trim(regexp_extract(substring(raw_text, 1, 4000), '(?m)^[ ]*([^ #<\n][^\n]*)$', 1)), 1, 300) AS first_line FROM resolutions""")
+_AGENDA = tx.AGENDA
+_SUBJECT = r"substring(coalesce(regexp_replace(nullif(regexp_extract(" + _WS.format("substring(raw_text, 1, 4000)") + f", '{tx.HEADING}', 1), ''), '{_AGENDA}', ''), trim(regexp_extract(substring(raw_text, 1, 4000), '(?m)^[ ]*([^ #<\n][^\n]*)$', 1))), 1, 300)"
+
+
+@query(rf"""
+SELECT res_no, coalesce(nullif(regexp_extract(source_url, '/(?:d/|item/|[0-9]{{4}}/)([A-Za-z0-9_-]+)$', 1), ''), trim(source_url)) AS link, regexp_replace(title, '{_AGENDA}', '') AS subject, {_SUBJECT} AS first_line FROM resolutions""")
 def link_and_subject(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "resolutions").select("res_no", tx.link_key(F.col("source_url")).alias("link"), tx.strip_agenda(F.col("title")).alias("subject"), tx.subject_line(F.col("raw_text")).alias("first_line"))
 
 
-@query(f"""
+@query(rf"""
 SELECT res_no, round(CASE WHEN len(w) = 0 THEN 1.0 ELSE len(list_filter(w, lambda x: contains(s, x)))::DOUBLE / len(w) END, 6) AS coverage
-FROM (SELECT res_no, list_filter(string_split({_WS.format('title')}, ' '), lambda x: x <> '') AS w, substring(raw_text, 1, 4000) AS s FROM resolutions WHERE title IS NOT NULL)""")
+FROM (SELECT res_no, list_filter(string_split({_WS.format(f"regexp_replace(title, '{_AGENDA}', '')")}, ' '), lambda x: length(x) >= 2 AND NOT list_contains({list(tx.EMPTY_WORDS)!r}, x) AND NOT regexp_full_match(x, '[0-9๐-๙]+') AND regexp_matches(x, '[0-9A-Za-zก-๛À-\x{{FFFF}}]')) AS w, replace(coalesce({_SUBJECT}, ''), ' ', '') AS s FROM resolutions WHERE title IS NOT NULL)""")
 def title_body_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each title the subject line of its text supports; the subject stands in the first 4,000 characters by definition."""
     r = table(spark, d, "resolutions").filter("title is not null")
-    return r.select("res_no", F.round(tx.coverage(F.col("title"), F.substring("raw_text", 1, 4000)), 6).alias("coverage"))
+    return r.select("res_no", F.round(tx.coverage(F.col("title"), tx.subject_line(F.col("raw_text"))), 6).alias("coverage"))
 
 
 @query(r"""
@@ -91,7 +95,7 @@ def spelling_blocks(spark: SparkSession, d: str) -> DataFrame:
 def fuzzy_titles(spark: SparkSession, d: str) -> DataFrame:
     """Titles of one meeting against their own agenda text, by the longest common blocks."""
     r = table(spark, d, "resolutions").filter("title is not null")
-    return r.select("res_no", F.round(tx.fuzzy_ratio(F.substring("title", 1, 500), tx.subject_line(F.col("raw_text"))), 6).alias("ratio"))
+    return r.select("res_no", F.round(tx.fuzzy_ratio(F.col("title"), tx.subject_line(F.col("raw_text"))), 6).alias("ratio"))
 
 
 @query(r"""
@@ -115,9 +119,22 @@ def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("source").agg(F.count("*").alias("n"), F.min("l").cast("bigint").alias("least"), F.max("l").cast("bigint").alias("most"), F.round(F.avg("l"), 6).alias("mean"), F.round(F.percentile("l", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("l", F.lit(0.9)), 6).alias("p90"), F.round(F.avg((F.col("l") > 500).cast("int")), 6).alias("cut_share"))
 
 
-@query()
+_PACK = r"""
+WITH RECURSIVE g AS (SELECT res_no, i, CASE WHEN contains(x, chr(2)) THEN string_split(x, chr(2))[1]::INT ELSE 1 END AS page, trim(string_split(x, chr(2))[-1], ' ' || chr(10) || chr(9)) AS body FROM (SELECT res_no, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT res_no, string_split(regexp_replace(raw_text, '(?m)^[ \t]*##[ \t]*Page[ \t]+([0-9]+)[ \t]*$', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS l FROM resolutions))),
+u AS (SELECT res_no, i, page, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(body, '([.!?] )', '\1' || chr(3), 'g'), '([。！？।])', '\1' || chr(3), 'g'), '(\n)', '\1' || chr(3), 'g'), chr(3)), lambda t: t <> '') AS l FROM g WHERE body <> ''),
+m AS (SELECT res_no, i, page, l, 1 AS pos, ''::VARCHAR AS now, []::VARCHAR[] AS done FROM u
+  UNION ALL SELECT res_no, i, page, l, pos + 1, CASE WHEN length(now || l[pos]) >= 15 THEN '' ELSE now || l[pos] END, CASE WHEN length(now || l[pos]) >= 15 THEN list_append(done, now || l[pos]) ELSE done END FROM m WHERE pos <= len(l)),
+s AS (SELECT res_no, i, page, CASE WHEN now = '' THEN done WHEN len(done) = 0 THEN [now] ELSE list_append(done[:-2], done[-1] || now) END AS l FROM m WHERE pos = len(l) + 1),
+k AS (SELECT res_no, i, page, l, 1 AS pos, ''::VARCHAR AS now, []::VARCHAR[] AS done FROM s
+  UNION ALL SELECT res_no, i, page, l, pos + 1, CASE WHEN length(now) + length(l[pos]) <= 512 THEN now || l[pos] ELSE l[pos] END, CASE WHEN length(now) + length(l[pos]) <= 512 OR now = '' THEN done ELSE list_append(done, now) END FROM k WHERE pos <= len(l)),
+f AS (SELECT res_no, i, page, CASE WHEN now = '' THEN done ELSE list_append(done, now) END AS l FROM k WHERE pos = len(l) + 1)
+SELECT res_no, row_number() OVER (PARTITION BY res_no ORDER BY i, j) - 1 AS chunk_index, page, chunk FROM (SELECT res_no, i, page, unnest(l) AS chunk, generate_subscripts(l, 1) AS j FROM f)"""
+
+
+@query(_PACK)
 def chunk_sentence_pack(spark: SparkSession, d: str) -> DataFrame:
-    return ch.chunk_rows(table(spark, d, "resolutions"), "res_no", "raw_text", lambda t: ch.pack(ch.merge_short(ch.sentences(t)), 512))
+    got = ch.chunk_rows(table(spark, d, "resolutions"), "res_no", "raw_text", lambda t: ch.pack(ch.merge_short(ch.sentences(t)), 512))
+    return got.withColumn("chunk_index", F.col("chunk_index").cast("bigint"))
 
 
 @query()
@@ -125,8 +142,19 @@ def chunk_recursive(spark: SparkSession, d: str) -> DataFrame:
     return ch.python_chunks(table(spark, d, "documents"), "doc_id", "text", "recursive")
 
 
-@query()
+_WORDS = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f\v]+[ \t\n\r\f\v]*') AS l FROM documents WHERE text <> ''),
+t AS (SELECT doc_id, n, i, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS total, length(x) AS size FROM (SELECT doc_id, len(l) AS n, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM w)),
+c AS (SELECT doc_id, max(n) AS n, list_prepend(0, list(total ORDER BY i))::BIGINT[] AS total FROM t GROUP BY 1),
+k AS (SELECT doc_id, n, total, 0 AS no, 0::BIGINT AS first, greatest(1, len(list_filter(total, lambda x: x <= 512)) - 1)::BIGINT AS "end" FROM c
+  UNION ALL SELECT doc_id, n, total, no + 1, f, greatest(f + 1, len(list_filter(total, lambda x: x <= total[f + 1] + 512)) - 1)::BIGINT FROM
+    (SELECT doc_id, n, total, no, CASE WHEN len(list_filter(total, lambda x: x <= total["end" + 1] - 50)) - 1 <= first THEN "end" ELSE len(list_filter(total, lambda x: x <= total["end" + 1] - 50)) - 1 END::BIGINT AS f FROM k WHERE "end" < n))
+SELECT k.doc_id, no AS chunk_index, array_to_string(l[first + 1 : "end"], '') AS chunk FROM k JOIN w USING (doc_id)"""
+
+
+@query(_WORDS)
 def chunk_words(spark: SparkSession, d: str) -> DataFrame:
+    """Whole words up to 512 characters, going back by whole words until 50 are reached."""
     return ch.python_chunks(table(spark, d, "documents"), "doc_id", "text", "words")
 
 
@@ -163,18 +191,37 @@ def token_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-WITH s AS (SELECT res_no, regexp_extract_all(raw_text, '(?m)(?:^|[ \n>])([0-9]{1,6})\.', 1) AS l FROM resolutions), w AS (SELECT res_no, unnest(l)::INT AS v, generate_subscripts(l, 1) - 1 AS pos FROM s)
-SELECT res_no, min(v) AS first, count(*) AS n FROM w GROUP BY res_no, v - pos HAVING count(*) >= 4 AND max(pos) - min(pos) + 1 = count(*)""")
+WITH t AS (SELECT res_no, unnest(l) AS t, generate_subscripts(l, 1) - 1 AS table_no FROM (SELECT res_no, regexp_extract_all(""" + _DIGITS.format("raw_text") + r""", '(?is)<table.*?</table>') AS l FROM resolutions)),
+w AS (SELECT res_no, table_no, unnest(l) AS w, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT res_no, table_no, list_filter(regexp_split_to_array(t, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS l FROM t)),
+v AS (SELECT *, try_cast(nullif(regexp_extract(w, '\A([0-9]{1,15})\.\z', 1), '') AS BIGINT) AS v FROM w), c AS (SELECT *, CASE WHEN v = lag(v) OVER o + 1 THEN 0 ELSE 1 END AS cut FROM v WINDOW o AS (PARTITION BY res_no, table_no ORDER BY pos)),
+i AS (SELECT *, sum(cut) OVER (PARTITION BY res_no, table_no ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM c)
+SELECT res_no, table_no, min(v) AS first, count(*) AS n, min(pos) AS word_no FROM i WHERE v IS NOT NULL GROUP BY res_no, table_no, island HAVING count(*) >= 8""")
 def numeric_flood(spark: SparkSession, d: str) -> DataFrame:
-    return quality.numeric_flood(table(spark, d, "resolutions"), "res_no", "raw_text", 4)
+    return quality.numeric_flood(table(spark, d, "resolutions"), "res_no", "raw_text").withColumn("table_no", F.col("table_no").cast("bigint"))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE t AS (SELECT res_no, list_filter(regexp_split_to_array(raw_text, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS l FROM resolutions),
+e AS (SELECT res_no, len(l) AS n, p, i, l[i] = l[i + p] AS same FROM t, (SELECT unnest(range(2, 9)) AS p), LATERAL (SELECT unnest(range(1, len(l) - p + 1)) AS i)),
+g AS (SELECT res_no, n, p, i, i - row_number() OVER (PARTITION BY res_no, p ORDER BY i) AS island FROM e WHERE same),
+r AS (SELECT res_no, n, p, min(i) AS a, max(i) AS b FROM g GROUP BY res_no, n, p, island HAVING count(*) >= 5 * p),
+-- every place in a run from which at least six cycles are left; the first place, then the least period, then on behind its cycles
+c AS (SELECT res_no, p, i, (b - i + 1) // p + 1 AS reps FROM r, LATERAL (SELECT unnest(range(a, b + 1)) AS i) WHERE (b - i + 1) // p + 1 >= 6),
+k AS (SELECT c.* FROM c JOIN t USING (res_no) WHERE NOT list_bool_and(list_transform(l[i : i + p - 1], lambda x: regexp_full_match(x, '[-_=|.*#]*')))),
+o AS (SELECT *, row_number() OVER (PARTITION BY res_no ORDER BY i, p) AS q FROM k),
+s AS (SELECT res_no, i, p, reps FROM o WHERE q = 1 UNION ALL SELECT x.res_no, x.i, x.p, x.reps FROM (SELECT s.res_no, arg_min(struct_pack(i := o.i, p := o.p, reps := o.reps), o.q) AS z FROM s JOIN o ON o.res_no = s.res_no AND o.i >= s.i + s.p * s.reps GROUP BY s.res_no, s.i) y, LATERAL (SELECT y.res_no, y.z.i, y.z.p, y.z.reps) x)
+SELECT res_no, (i - 1)::BIGINT AS "start", p::BIGINT AS period, reps::BIGINT AS n FROM s""")
 def cyclic_flood(spark: SparkSession, d: str) -> DataFrame:
-    return quality.cyclic_floods(table(spark, d, "resolutions"), "res_no", "raw_text")
+    got = quality.cyclic_floods(table(spark, d, "resolutions"), "res_no", "raw_text")
+    return got.select("res_no", *[F.col(c).cast("bigint").alias(c) for c in ("start", "period", "n")])
 
 
-@query()
+@query(r"""
+WITH l AS (SELECT res_no, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT res_no, string_split(raw_text, chr(10)) AS l FROM resolutions WHERE raw_text IS NOT NULL)),
+n AS (SELECT *, CASE WHEN trim(x, ' ' || chr(9) || chr(13)) = lag(trim(x, ' ' || chr(9) || chr(13))) OVER (PARTITION BY res_no ORDER BY i) THEN 0 ELSE 1 END AS new FROM l),
+g AS (SELECT *, sum(new) OVER (PARTITION BY res_no ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM n),
+r AS (SELECT *, count(*) OVER (PARTITION BY res_no, run) AS times, row_number() OVER (PARTITION BY res_no, run ORDER BY i) AS nth, length(first(trim(x, ' ' || chr(9) || chr(13))) OVER (PARTITION BY res_no, run)) AS size FROM g)
+SELECT res_no, string_agg(x, chr(10) ORDER BY i) AS raw_text FROM r WHERE nth = 1 OR times < 4 OR size < 20 GROUP BY 1 UNION ALL SELECT res_no, NULL FROM resolutions WHERE raw_text IS NULL""")
 def loop_excision(spark: SparkSession, d: str) -> DataFrame:
     return quality.without_line_loops(table(spark, d, "resolutions"), "res_no", "raw_text")
 

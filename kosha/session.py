@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,7 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.checkpoint.dir", f"file://{os.path.join(tempfile.gettempdir(), 'kosha-shared')}")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -55,12 +57,12 @@ def literal_rows(df: DataFrame) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. A local session may do without; a cluster is refused then."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = os.path.join(tempfile.gettempdir(), "kosha-shared")
-        os.makedirs(found, exist_ok=True)
-        found = f"file://{found}"
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"file://{os.path.join(tempfile.gettempdir(), 'kosha-shared')}"
     return found.rstrip("/")
 
 
@@ -69,7 +71,8 @@ def _own_dir(spark: SparkSession) -> str:
 
 
 def clean(spark: SparkSession) -> None:
-    """Deletes what stored() wrote for this application; results that still read it must have been written before."""
+    """Deletes what stored() and built() wrote for this application; results that still read it must have been written before."""
+    _BUILT.clear()
     path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -80,6 +83,18 @@ def stored(df: DataFrame) -> DataFrame:
     Unlike a cache the files survive the loss of any executor.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_BUILT: dict[tuple[str, ...], DataFrame] = {}
+
+
+def built(spark: SparkSession, name: str, d: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries of one application read: built and stored at its first use, by its name and the folder of its inputs."""
+    key = (spark.sparkContext.applicationId, name, d)
+    if key not in _BUILT:
+        _BUILT[key] = stored(build())
+    return _BUILT[key]

@@ -25,6 +25,10 @@ def test_chunkers(spark):
     df = spark.createDataFrame([(1, "aa bb cc dd"), (2, None), (3, "")], "k int, t string")
     words = [r["chunk"] for r in ch.python_chunks(df, "k", "t", "words", 6, 3).orderBy("chunk_index").collect()]
     assert words == ["aa bb ", "bb cc ", "cc dd"]
+    # back until the overlap is reached, not until it would be exceeded; a word longer than the size stands alone
+    assert ch.words("aa bb cc dd", 6, 2) == ["aa bb ", "bb cc ", "cc dd"]
+    assert ch.words("aa bb cc dd", 6, 4) == ["aa bb ", "cc dd"]
+    assert ch.words(" a toolongword b", 5, 0) == ["a ", "toolongword ", "b"] and ch.words("  ", 5, 0) == []
     rec = [r["chunk"] for r in ch.python_chunks(df, "k", "t", "recursive", 5, 0).orderBy("chunk_index").collect()]
     assert rec == ["aa bb", "cc dd"]
 
@@ -85,8 +89,16 @@ def test_islands(spark):
     assert [(r["k"], r["n"], r["start"], r["end"]) for r in got] == [(1, 4, 0, 3)]
     cut = {r["k"]: r["t"] for r in quality.without_line_loops(df, "k", "t").collect()}
     assert cut[1].count("x" * 25) == 2 and cut[2] is None and cut[3] == ""
-    flood = spark.createDataFrame([(1, "1. 2. 3. 4. 5. 6. 7. 8. 9. and 4. 6.")], "k int, t string")
-    assert [(r["first"], r["n"]) for r in quality.numeric_flood(flood, "k", "t").collect()] == [(1, 9)]
+    run = " ".join(f"{i}." for i in range(1, 10))
+    flood = spark.createDataFrame([(1, f"{run} <table> x {run} 4. 11. </table>"), (2, f"<table><td> ๓. {run} 10 11. </td></table>"), (3, None), (4, "<table></table>")], "k int, t string")
+    assert {(r["k"], r["first"], r["n"], r["word_no"]) for r in quality.numeric_flood(flood, "k", "t").collect()} == {(1, 1, 9, 2), (2, 1, 9, 2)}
+    row = lambda i, x: f"<tr><td>{i}.</td><td>ผศ.ดร.วุฒิชัย ชาติพัฒนา</td><td>{x}</td></tr>"
+    loop = "<table>" + "".join(row(i, "same") for i in range(5)) + "</table>"
+    roster = "<table>" + "".join(row(i, "abcde"[i]) for i in range(5)) + "</table>"
+    names = spark.createDataFrame([(1, loop), (2, roster), (3, "<table>" + row(1, "a") * 3 + "</table>"), (4, None)], "k int, t string")
+    assert [(r["k"], r["n"], r["n_rows_different"]) for r in quality.table_name_loops(names, "k", "t").collect()] == [(1, 5, 1)]
+    marks = spark.createDataFrame([(1, "- = " * 9 + "a b a b a b a b a b a b c")], "k int, t string")
+    assert [(r["start"], r["period"], r["n"]) for r in quality.cyclic_floods(marks, "k", "t").collect()] == [(18, 2, 6)]
     cyc = spark.createDataFrame([(1, "go " + "a b c " * 7 + "end")], "k int, t string")
     assert [(r["start"], r["period"], r["n"]) for r in quality.cyclic_floods(cyc, "k", "t").collect()] == [(1, 3, 7)]
 

@@ -30,7 +30,7 @@ def test_small_functions(spark):
     assert one(spark, tx.one_char_off(F.col("a"), F.col("b")), a="ab", b="abc") is False
     assert one(spark, tx.prefix_related(F.col("a"), F.col("b")), a="somch", b="somchai") is True
     assert one(spark, tx.prefix_related(F.col("a"), F.col("b")), a="som", b="somc") is False
-    assert one(spark, tx.coverage(F.col("a"), F.col("b")), a="x y", b="has x") == 0.5
+    assert one(spark, tx.coverage(F.col("a"), F.col("b")), a="12. เรื่อง xx yy 7 การ", b="has x x") == 0.5
     assert one(spark, tx.coverage(F.col("a"), F.col("b")), a=" ", b="") == 1.0
     assert one(spark, tx.is_bad_output(F.col("a")), a="aaaaab") is True
     assert one(spark, tx.is_bad_output(F.col("a")), a=None) is True
