@@ -7,7 +7,7 @@ from kosha import __main__ as cli
 from kosha.sources import indexes
 
 DOCS = "resolution_id string, raw_text string, year string, session string, title string, source_url string, metadata string, source_path string"
-ROWS = [("a", "## Page 2\nsea and sand", "2566", "1", "t", None, '{"lang": "en", "page": "9"}', "p1"), ("b", "forest and river", None, None, None, None, None, "p2"), ("c", None, None, None, None, None, None, "p3"), ("d", "", None, None, None, None, None, "p4")]
+ROWS = [("a", "## Page 2\nsea and sand", "2566", "1", "t", None, '{"lang": "en", "page": "9"}', "p1"), ("b", "forest and river", None, None, None, None, None, "p2"), ("c", None, None, None, None, None, None, "p3"), ("d", "", None, None, None, None, None, "p4"), ("e", "stone hill", None, None, None, None, None, "p5"), ("f", "wide field", None, None, None, None, None, "p6")]
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +19,7 @@ def test_built_once_and_found(spark, docs, tmp_path):
     root = f"file://{tmp_path}/i"
     one = indexes.build(docs, root, {"type": "fixed_size", "size": 20}, {"type": "hashing", "dim": 16})
     again = indexes.build(docs.orderBy(F.desc("resolution_id")), root, {"type": "fixed_size", "size": 20}, {"type": "hashing", "dim": 16})
-    assert again.path == one.path and again.manifest["stamp"] == one.manifest["stamp"] and one.manifest["n_docs"] == 4 and one.manifest["n_chunks"] == 2
+    assert again.path == one.path and again.manifest["stamp"] == one.manifest["stamp"] and one.manifest["n_docs"] == 6 and one.manifest["n_chunks"] == 4
     meta = {r["resolution_id"]: r["metadata"] for r in one.chunks.collect()}
     assert meta["a"] == {"lang": "en", "page": "2", "year": "2566", "session": "1"} and meta["b"]["page"] == "1"
     other = indexes.build(docs, root, {"type": "sentence"}, {"type": "hashing", "dim": 8})
@@ -28,7 +28,7 @@ def test_built_once_and_found(spark, docs, tmp_path):
     with pytest.raises(LookupError):
         indexes.resolve(known, "recursive", "hashing")
     q = spark.createDataFrame([(1, "sea"), (2, "river"), (3, "")], "query_id int, query string")
-    got = {(r["query_id"], r["rank"]): r["chunk_id"] for r in indexes.retrieve(one, q, "bm25", 5).collect()}
+    got = {(r["query_id"], r["rank"]): r["chunk_id"] for r in indexes.retrieve(one, q, "bm25", 2).collect()}
     assert got == {(1, 1): "a:0", (1, 2): "b:0", (2, 1): "b:0", (2, 2): "a:0", (3, 1): "a:0", (3, 2): "b:0"}
     for how in ("dense", "hybrid"):
         assert {r["chunk_id"] for r in indexes.retrieve(one, q, how, 1).filter("query_id = 2").collect()} == {"b:0"}
@@ -65,6 +65,6 @@ def test_command_line(spark, docs, tmp_path, capsys):
     config["chunkers"] = config["chunkers"][:1]
     (tmp_path / "c.json").write_text(json.dumps(config))
     assert cli.main(["build", str(tmp_path / "c.json")]) == 0
-    assert json.loads(capsys.readouterr().out)["n_chunks"] == 2
+    assert json.loads(capsys.readouterr().out)["n_chunks"] == 4
     assert cli.main(["retrieve", str(tmp_path / "c.json"), "--query", "river", "-k", "1"]) == 0
     assert json.loads(capsys.readouterr().out)["chunk_id"] == "b:0"
