@@ -122,6 +122,43 @@ def hash_vectors(df: DataFrame, key: str, text: str, dim: int = 512) -> DataFram
     return df.select(F.col(key).alias("k"), F.transform(tokens(F.col(text)), lambda t: hash_bucket(t, dim)).alias("b")).mapInArrow(run, f"k {kind}, v array<double>").withColumnRenamed("k", key)
 
 
+def arms(query: Column, document: Column) -> dict[str, Column]:
+    """The texts that the arms of a query-vector study embed; document is one written for the query, null where there is none."""
+    return {"raw": query, "half": F.substring(document, F.lit(1), F.floor(F.length(document) / 2).cast("int")), "concat": F.concat(query, F.lit(" "), document), "query_prompt": F.concat(F.lit("query: "), query), "passage_prompt": F.concat(F.lit("passage: "), query)}
+
+
+def document_tokens(words: Column, most: int = 300) -> Column:
+    """A document's tokens for late interaction: without punctuation, at most so many; the first one where all are punctuation."""
+    kept = F.filter(words, lambda t: ~t.rlike(r"\A[!-/:-@\[-`{-~]+\z"))
+    return F.when(F.size(kept) == 0, F.slice(words, 1, 1)).otherwise(F.slice(kept, 1, most))
+
+
+def query_tokens(words: Column, n: int = 32, mask: str = "[MASK]") -> Column:
+    """A query's tokens for late interaction: cut or filled up with masks to exactly so many."""
+    return F.slice(F.concat(words, F.array_repeat(F.lit(mask), n)), 1, n)
+
+
+def embed(df: DataFrame, key: str, text: str, model: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 64) -> DataFrame:
+    """key, v: vectors of length 1 by a model, loaded once a task by calling model(); null texts count as empty, zero vectors stay."""
+    ship(df.sparkSession)
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = model()
+        for b in (x.slice(i, batch) for x in batches for i in range(0, x.num_rows, batch)):
+            m = _unit(np.asarray(encode([t or "" for t in b.column(1).to_pylist()]), np.float64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel()))], names=["k", "v"])
+
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, v array<double>").withColumnRenamed("k", key)
+
+
+def remote_model(key: str | None) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """The place of a model behind a service: refused without a key, before any job runs; none is offered here."""
+    if not key:
+        raise ValueError("a remote model needs a key")
+    raise NotImplementedError("no remote model is offered")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -106,6 +106,13 @@ class Scan:
         self.reach = max((len(e.name) for es in self.by_prefix.values() for e in es), default=0) + SLACK
         self.found = lru_cache(100_000)(self.at)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "found"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.found = lru_cache(100_000)(self.at)
+
     def names(self, text: str) -> list[str]:
         """The canonical names in a text, distinct and sorted."""
         if not self.pattern:
@@ -156,8 +163,11 @@ def same_field(a: str, b: str) -> bool:
 def contradicts(canonical: str, span: str) -> str | None:
     """What of a programme the text contradicts: level, head or field; None where nothing speaks against it. Only what both sides name can be contradicted."""
     a, b = level(canonical), level(span)
-    if a and b and a != b:
-        return "level"
+    return "level" if a and b and a != b else other_programme(canonical, span)
+
+
+def other_programme(canonical: str, span: str) -> str | None:
+    """head or field, where the text names another one, whatever the level."""
     a, b = head(canonical), head(span)
     if a and b and SequenceMatcher(None, a, b).ratio() < HEAD_LIKE:
         return "head"
@@ -188,7 +198,7 @@ class Programs(Scan):
             return first, first, ratio, None
         wanted = level(span)
         for _, c, s in sorted(scored, reverse=True):
-            right_level = level(c) == wanted if why == "level" else (wanted is None or level(c) in (None, wanted)) and contradicts(c, s) in (None, "level")
+            right_level = level(c) == wanted if why == "level" else (wanted is None or level(c) in (None, wanted)) and other_programme(c, s) is None
             if right_level and same_field(c, s):
                 return c, first, ratio, why
         return None, first, ratio, why
@@ -345,6 +355,6 @@ def detected(queries: DataFrame, key: str, text: str, lists: dict[str, DataFrame
     return out.select(key, "people", "programs", "courses", "faculties", F.when(empty, F.coalesce("by_field", none)).otherwise(none).alias("fields"), (F.size("titled") > 0).alias("has_title"), F.contains("_t", F.lit(FIELD_MARK)).alias("has_mark"))
 
 
-def route(named: DataFrame) -> Column:
-    """The route of a detected query: person, course, program (by name or mark), faculty, program (by field), unmatched."""
+def route() -> Column:
+    """The route of a row of detected(): person, course, program (by name or mark), faculty, program (by field), unmatched."""
     return F.when(F.col("has_title"), "person").when(F.size("courses") > 0, "course").when((F.size("programs") > 0) | F.col("has_mark"), "program").when(F.size("faculties") > 0, "faculty").when(F.size("fields") > 0, "program").otherwise("unmatched")

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kosha.functions import text as tx
-from kosha.operators import entities, quality
+from kosha.operators import dictionaries, entities, quality
 from kosha.plans.registry import query
 from kosha.plans.retrieval_queries import chunks
-from kosha.session import literal_rows, stored, table
+from kosha.session import stored, table
 from kosha.sources import tables
 
 _PATH = r"([0-9]{4})/ครั้งที่ ([0-9]+s?)/([^/]+)\.md$"
@@ -157,17 +157,18 @@ def citation_scores(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT query_id, res_no, substring(title, greatest(strpos(title, entity) - 40, 1), strpos(title, entity) - greatest(strpos(title, entity) - 40, 1) + length(entity) + 40) AS line FROM resolutions JOIN queries ON entity IS NOT NULL AND entity <> '' AND contains(title, entity)")
 def kwic(spark: SparkSession, d: str) -> DataFrame:
     """Entities in titles with forty characters to either side."""
-    q = literal_rows(table(spark, d, "queries").filter("entity is not null").select("query_id", "entity"))
-    each = table(spark, d, "resolutions").filter("title is not null").select("res_no", "title", F.explode(q).alias("q")).filter(F.contains("title", F.col("q.entity")))
-    return each.select("q.query_id", "res_no", entities.kwic(F.col("title"), F.col("q.entity")).alias("line")).filter("line is not null")
+    q, r = table(spark, d, "queries").select("query_id", "entity"), table(spark, d, "resolutions").select("res_no", "title")
+    found = dictionaries.mentions(r, "res_no", "title", q, "entity", flat=False, alone=False).join(q, "entity").join(r, "res_no")
+    return found.select("query_id", "res_no", entities.kwic(F.col("title"), F.col("entity")).alias("line"))
 
 
 @query("""WITH t AS (SELECT query_id, entity_type, entity, 'เรื่อง' AS m FROM queries), e AS (SELECT q.query_id, count(DISTINCT r.year || '/' || r.session) AS n_meetings, count(*) AS n_docs FROM queries q JOIN resolutions r ON q.entity <> '' AND contains(r.title, q.entity) GROUP BY 1) SELECT * FROM e WHERE n_docs >= 2""")
 def qrels_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Queries whose entity is named by at least two titles, with the number of meetings."""
-    q = literal_rows(table(spark, d, "queries").filter("entity <> ''").select("query_id", "entity"))
-    r = table(spark, d, "resolutions").filter("title is not null").select("title", F.concat("year", F.lit("/"), "session").alias("meeting"), F.explode(q).alias("q")).filter(F.contains("title", F.col("q.entity")))
-    return r.groupBy("q.query_id").agg(F.count_distinct("meeting").alias("n_meetings"), F.count("*").alias("n_docs")).filter("n_docs >= 2")
+    q = table(spark, d, "queries").select("query_id", "entity")
+    r = table(spark, d, "resolutions").select("res_no", "title", F.concat("year", F.lit("/"), "session").alias("meeting"))
+    found = dictionaries.mentions(r, "res_no", "title", q, "entity", flat=False, alone=False).join(r.select("res_no", "meeting"), "res_no").join(q, "entity")
+    return found.groupBy("query_id").agg(F.count_distinct("meeting").alias("n_meetings"), F.count("*").alias("n_docs")).filter("n_docs >= 2")
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT a.res_no AS x, b.res_no AS y FROM (SELECT res_no, sha256(raw_text) AS h FROM resolutions) a JOIN (SELECT res_no, sha256(raw_text) AS h FROM resolutions) b ON a.h = b.h) SELECT x AS node, min(y) AS label FROM e GROUP BY x HAVING count(*) > 1""")

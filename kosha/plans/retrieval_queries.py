@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kosha.functions import text as tx
-from kosha.operators import dense, entities, fusion, lexical
+from kosha.operators import dense, dictionaries, entities, fusion, lexical
 from kosha.plans.registry import query
-from kosha.session import built, literal_rows, stored, table
+from kosha.session import built, stored, table
 
 TOP, ARM = 10, 50
 
@@ -179,12 +179,9 @@ _PHRASE = r"regexp_matches(regexp_replace({0}, '[ \t\n\r]+', ' ', 'g'), '(?i)(^|
 
 @query(f"SELECT query_id, res_no FROM resolutions JOIN queries ON entity IS NOT NULL AND trim(entity) <> '' AND {_PHRASE.format('title', 'entity')}")
 def phrase_containment(spark: SparkSession, d: str) -> DataFrame:
-    """Titles that name a query's entity; the queries, a table of fixed size, are a literal."""
-    q = literal_rows(table(spark, d, "queries").filter("entity is not null").select("query_id", "entity"))
-    each = table(spark, d, "resolutions").filter("title is not null").select("res_no", "title", F.explode(q).alias("q"))
-    # a literal test first: most pairs end here
-    near = each.filter(F.contains(F.lower(tx.collapse_ws(F.col("title"))), F.lower(tx.collapse_ws(F.col("q.entity")))))
-    return near.filter(tx.contains_phrase(F.col("title"), F.col("q.entity"))).select("q.query_id", "res_no")
+    """Titles that name a query's entity as a standalone phrase, by one automaton over all entities."""
+    q = table(spark, d, "queries").select("query_id", "entity")
+    return dictionaries.mentions(table(spark, d, "resolutions"), "res_no", "title", q, "entity").join(q, "entity").select("query_id", "res_no")
 
 
 @query(f"""WITH {_C}, {_bm25_sql('c')}, h AS (SELECT query_id, chunk_id, score, rank, coalesce(q.entity IS NOT NULL AND trim(q.entity) <> '' AND {_PHRASE.format('c.text', 'q.entity')}, false) AS hit FROM b JOIN c USING (chunk_id) JOIN queries q USING (query_id) WHERE rank <= {ARM})
@@ -207,12 +204,3 @@ def entity_lookup(spark: SparkSession, d: str) -> DataFrame:
 def metadata_filter(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "resolutions")
     return entities.metadata_filter(r, {"year": "2566", "session": None}).select("res_no").union(entities.metadata_filter(r, {"year": "2567", "session": "3"}).select("res_no"))
-
-
-@query(r"""
-SELECT query_id, CASE WHEN regexp_matches(query, 'ผศ\.|รศ\.|ดร\.|อาจารย์|นาย|นาง|Dr\.|Prof\.') THEN 'person' WHEN regexp_matches(translate(query, '๐๑๒๓๔๕๖๗๘๙', '0123456789'), '[0-9]{8}') THEN 'course' WHEN contains(query, 'หลักสูตร') OR contains(query, 'สาขา') THEN 'program' WHEN regexp_matches(query, 'คณะ|วิทยาลัย|สถาบัน|สำนัก|วิทยาเขต|Faculty|College') THEN 'faculty' ELSE 'unmatched' END AS route FROM queries""")
-def query_routes(spark: SparkSession, d: str) -> DataFrame:
-    """The first rule that applies names the route."""
-    q = F.col("query")
-    route = F.when(q.rlike(r"ผศ\.|รศ\.|ดร\.|อาจารย์|นาย|นาง|Dr\.|Prof\."), "person").when(F.translate(q, tx.THAI_DIGITS, tx.DIGITS).rlike("[0-9]{8}"), "course").when(q.contains("หลักสูตร") | q.contains("สาขา"), "program").when(q.rlike("คณะ|วิทยาลัย|สถาบัน|สำนัก|วิทยาเขต|Faculty|College"), "faculty").otherwise("unmatched")
-    return table(spark, d, "queries").select("query_id", route.alias("route"))

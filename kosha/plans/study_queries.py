@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kosha.operators import fusion, metrics
+from kosha.operators import dictionaries, fusion, metrics
 from kosha.plans.ranking_queries import _BASE, _PER, _scores
 from kosha.plans.registry import query
 from kosha.session import literal_rows, stored, table
@@ -97,11 +97,11 @@ def training_groups(spark: SparkSession, d: str) -> DataFrame:
 SELECT query_id, count(DISTINCT n.resolution_id) AS naming, count(DISTINCT CASE WHEN j.resolution_id IS NOT NULL THEN n.resolution_id END) AS judged, CASE WHEN count(DISTINCT n.resolution_id) = 0 THEN NULL ELSE round(count(DISTINCT CASE WHEN j.resolution_id IS NOT NULL THEN n.resolution_id END)::DOUBLE / count(DISTINCT n.resolution_id), 6) END AS anchor_precision
 FROM queries LEFT JOIN n USING (query_id) LEFT JOIN j USING (query_id, resolution_id) GROUP BY 1""")
 def anchor_precision(spark: SparkSession, d: str) -> DataFrame:
-    """Of the documents that name a query's entity, the share judged relevant; undefined without any. The queries have a fixed number."""
-    q = table(spark, d, "queries")
-    packed = literal_rows(q.filter("entity <> ''").select("query_id", "entity"))
-    r = table(spark, d, "resolutions").filter("title is not null").select("resolution_id", "title").distinct().select("resolution_id", "title", F.explode(packed).alias("q")).filter(F.contains("title", F.col("q.entity")))
-    named = r.select("q.query_id", "resolution_id").distinct().join(metrics.judged(table(spark, d, "qrels")).withColumn("rel", F.lit(1)), ["query_id", "resolution_id"], "left")
+    """Of the documents that name a query's entity, the share judged relevant; undefined without any."""
+    q = table(spark, d, "queries").select("query_id", "entity")
+    r = table(spark, d, "resolutions").select("res_no", "resolution_id", "title")
+    found = dictionaries.mentions(r, "res_no", "title", q, "entity", flat=False, alone=False).join(r.select("res_no", "resolution_id"), "res_no").join(q, "entity")
+    named = found.select("query_id", "resolution_id").distinct().join(metrics.judged(table(spark, d, "qrels")).withColumn("rel", F.lit(1)), ["query_id", "resolution_id"], "left")
     per = named.groupBy("query_id").agg(F.count("*").alias("naming"), F.count("rel").alias("judged"))
     out = q.select("query_id").join(per, "query_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
