@@ -80,3 +80,9 @@ def kwic(text: Column, needle: Column, reach: int = 40) -> Column:
 def citations(answer: Column) -> Column:
     """Distinct numbers in [n], in order of appearance."""
     return F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d{1,9})\]"), F.lit(1)), lambda x: x.cast("int")))
+
+
+def adjunct_title(title: Column, teacher: str = r"อาจารย์[\s​]*พิเศษ", share: str | None = "ร้อยละ") -> Column:
+    """Whether a title files adjunct teachers (and, by default, names their share)."""
+    hit = title.rlike(teacher)
+    return hit if share is None else hit & F.contains(title, F.lit(share))

@@ -12,6 +12,11 @@ from pyspark.sql.window import Window
 MODULUS, FACTOR, BY_RESAMPLE, BY_PLACE = 2147483647, 48271, 7368787, 2750159
 
 
+def hashed(seed: Column, n: Column) -> Column:
+    """A portable choice from 0..n-1 by the first 8 hex digits of md5."""
+    return F.conv(F.substring(F.md5(seed), 1, 8), 16, 10).cast("bigint") % n
+
+
 def draws(resamples: np.ndarray, n: int) -> np.ndarray:
     """A matrix of draws from 0..n-1, a row for each resample number; made of squares modulo a prime, so that SQL can repeat it."""
     b, i = resamples[:, None].astype(np.int64), np.arange(n, dtype=np.int64)[None, :]
@@ -132,4 +137,6 @@ def stratified(df: DataFrame, stratum: str, key: str, n: int) -> DataFrame:
     total = df.count()
     counts = df.groupBy(stratum).agg(F.count("*").alias("size"))
     w = Window.partitionBy(stratum).orderBy(F.md5(F.col(key).cast("string")), key)
-    return df.join(counts, stratum).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= F.greatest(F.lit(1), F.round(n * F.col("size") / F.lit(max(total, 1))))).drop("r", "size")
+    # no quota is over n: a constant limit cuts each stratum before it is shuffled
+    first = df.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= max(1, n))
+    return first.join(counts, stratum).filter(F.col("r") <= F.greatest(F.lit(1), F.round(n * F.col("size") / F.lit(max(total, 1))))).drop("r", "size")

@@ -35,7 +35,7 @@ def id_collisions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "resolutions").groupBy("resolution_id").agg(F.count("*").alias("n")).filter("n > 1 or resolution_id is null")
 
 
-@query("WITH p AS (SELECT year, substring(md5(resolution_id), 1, 2) AS part, count(*) AS n, sha256(string_agg(resolution_id, chr(10) ORDER BY resolution_id)) AS h FROM resolutions GROUP BY 1, 2) SELECT year, sum(n)::BIGINT AS n, substring(sha256(string_agg(h, '' ORDER BY part)), 1, 16) AS docset FROM p GROUP BY 1")
+@query("WITH p AS (SELECT year, substring(md5(resolution_id), 1, 3) AS part, count(*) AS n, sha256(string_agg(resolution_id, chr(10) ORDER BY resolution_id)) AS h FROM resolutions GROUP BY 1, 2) SELECT year, sum(n)::BIGINT AS n, substring(sha256(string_agg(h, '' ORDER BY part)), 1, 16) AS docset FROM p GROUP BY 1")
 def manifest_hash(spark: SparkSession, d: str) -> DataFrame:
     return tables.docset_hash(table(spark, d, "resolutions"), "year", "resolution_id")
 

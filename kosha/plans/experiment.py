@@ -10,8 +10,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from kosha.plans.registry import Registry
-
 
 @dataclass(frozen=True)
 class Strategy:
@@ -59,6 +57,3 @@ class Experiment:
             except Exception as e:  # kept apart by combination
                 self.errors[name] = f"{type(e).__name__}: {e}"
         return done
-
-
-STRATEGIES = Registry()

@@ -150,10 +150,10 @@ def _diffs(spark: SparkSession, d: str) -> DataFrame:
 
 
 N_BOOT = 10_000
-_BOOT = f"""{_DIFFS}, l AS (SELECT combination_id, query_id, (sign(diff) * floor(abs(diff) * 1e6 + 0.5))::BIGINT AS v, row_number() OVER (PARTITION BY combination_id ORDER BY query_id) - 1 AS i FROM df),
-ns AS (SELECT combination_id, count(*) AS n FROM l GROUP BY 1), dr AS (SELECT n, b, {stats.draws_sql('b', 'i', 'n')} AS j FROM (SELECT DISTINCT n FROM ns), (SELECT unnest(range(0, {N_BOOT}))::BIGINT AS b), LATERAL (SELECT unnest(range(0, n)) AS i)),
-bm AS (SELECT combination_id, n, b, round(sum(v)::DOUBLE / n / 1e6, 9) AS m FROM ns JOIN dr USING (n) JOIN l USING (combination_id) WHERE l.i = dr.j GROUP BY 1, 2, 3),
-bo AS (SELECT combination_id, n::INT AS n, round(any_value(mean), 6) AS mean, round(least(1.0, 2 * least(avg((m <= 0)::INT), avg((m >= 0)::INT))), 6) AS p, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM bm JOIN (SELECT combination_id, avg(diff) AS mean FROM df GROUP BY 1) USING (combination_id) GROUP BY 1, 2)"""
+_BOOT = f"""{_DIFFS}, l AS (SELECT combination_id, list((sign(diff) * floor(abs(diff) * 1e6 + 0.5))::BIGINT ORDER BY query_id) AS vs, count(*) AS n, avg(diff) AS mean FROM df GROUP BY 1),
+dr AS (SELECT n, b, list_transform(range(0, n), lambda i: {stats.draws_sql('b', 'i', 'n')} + 1) AS js FROM (SELECT DISTINCT n FROM l), (SELECT unnest(range(0, {N_BOOT}))::BIGINT AS b)),
+bm AS (SELECT combination_id, n, mean, round(list_sum(list_select(vs, js))::DOUBLE / n / 1e6, 9) AS m FROM l JOIN dr USING (n)),
+bo AS (SELECT combination_id, n::INT AS n, round(any_value(mean), 6) AS mean, round(least(1.0, 2 * least(avg((m <= 0)::INT), avg((m >= 0)::INT))), 6) AS p, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM bm GROUP BY 1, 2)"""
 
 
 @query(f"WITH {_BOOT} SELECT * FROM bo")

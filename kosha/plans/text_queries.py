@@ -137,6 +137,21 @@ def chunk_sentence_pack(spark: SparkSession, d: str) -> DataFrame:
     return got.withColumn("chunk_index", F.col("chunk_index").cast("bigint"))
 
 
+_SEMANTIC = _PACK[: _PACK.index(",\nk AS")] + r""",
+z AS (SELECT res_no, i, page, unnest(l) AS u, generate_subscripts(l, 1) AS j FROM s),
+v AS (SELECT *, list_transform(list_filter(regexp_split_to_array(lower(u), '[ \n\t]+'), lambda t: t <> ''), lambda t: ('0x' || substring(md5(t), 25, 8))::BIGINT % 64) AS b FROM z),
+n AS (SELECT *, list_transform(range(0, 64), lambda x: len(list_filter(b, lambda y: y = x))::DOUBLE) AS w FROM v), p AS (SELECT *, lag(w) OVER (PARTITION BY res_no, i ORDER BY j) AS before FROM n),
+c AS (SELECT *, CASE WHEN before IS NULL THEN 0 WHEN list_dot_product(before, w) > 0 AND 4 * list_dot_product(before, w) * list_dot_product(before, w) >= list_dot_product(before, before) * list_dot_product(w, w) THEN 0 ELSE 1 END AS cut FROM p),
+gg AS (SELECT *, sum(cut) OVER (PARTITION BY res_no, i ORDER BY j ROWS UNBOUNDED PRECEDING) AS no FROM c)
+SELECT res_no, row_number() OVER (PARTITION BY res_no ORDER BY i, no) - 1 AS chunk_index, page, string_agg(u, '' ORDER BY j) AS chunk FROM gg GROUP BY res_no, i, page, no"""
+
+
+@query(_SEMANTIC)
+def chunk_by_meaning(spark: SparkSession, d: str) -> DataFrame:
+    got = ch.chunk_rows(table(spark, d, "resolutions"), "res_no", "raw_text", ch.semantic)
+    return got.withColumn("chunk_index", F.col("chunk_index").cast("bigint"))
+
+
 @query()
 def chunk_recursive(spark: SparkSession, d: str) -> DataFrame:
     return ch.python_chunks(table(spark, d, "documents"), "doc_id", "text", "recursive")

@@ -69,8 +69,21 @@ def results_json(rankings: DataFrame) -> DataFrame:
     return nested.select("combination_id", "query_id", name.alias("file_name"), F.to_json(F.struct("query_id", "combination_id", "results", F.size("results").alias("top_k"))).alias("body"))
 
 
-def docset_hash(df: DataFrame, group: str, key: str, parts: int = 256) -> DataFrame:
+def docset_hash(df: DataFrame, group: str, key: str) -> DataFrame:
     """group, n, docset: a hash of the set of keys. Keys are hashed in parts, then the parts in order, so that no group is one task."""
-    part = F.substring(F.md5(key), 1, 2)
+    part = F.substring(F.md5(key), 1, 3)
     each = df.groupBy(group, part.alias("part")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(key)), "\n"), 256).alias("h"))
     return each.groupBy(group).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("part", "h"))).alias("hs")).select(group, "n", F.substring(F.sha2(F.array_join("hs.h", ""), 256), 1, 16).alias("docset"))
+
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df with a number from 0 in the order of a column of distinct values: ranges are sorted on their own, each moved by the sizes of those before."""
+    from pyspark.sql.window import Window
+
+    from kosha.session import stored
+
+    parts = stored(df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # as many rows as partitions
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    return parts.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")

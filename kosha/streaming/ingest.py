@@ -9,28 +9,35 @@ from pyspark.sql.streaming import StreamingQuery
 SCHEMA = "staging_no bigint, pdf string, page bigint, files array<string>, new_text string, staged_at timestamp_ntz"
 
 
-def new_readings(spark: SparkSession, path: str, late: str = "7 days") -> DataFrame:
-    """Rows of arriving files, each staging_no once within the watermark; later rows are dropped from the state, not from the sink's check."""
-    rows = spark.readStream.schema(SCHEMA).parquet(path).withColumn("at", F.col("staged_at").cast("timestamp"))
-    return rows.withWatermark("at", late).dropDuplicatesWithinWatermark(["staging_no"])
+def new_readings(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of arriving files, as they come; append_once() leaves out what was there before, however late it comes again."""
+    return spark.readStream.schema(SCHEMA).parquet(path).withColumn("day", F.to_date("staged_at"))
 
 
 def append_once(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Appends each batch without the keys that the target already holds; a repeated batch adds nothing."""
+    """Appends each batch without repeated rows and without the keys that the target already holds; a batch run again adds nothing.
+
+    The target is partitioned by the day of staging. A reading given again has its day, so only the days of a batch are read of
+    the target, however large it is. Late rows are kept, into the day they belong to.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(target).select("staging_no")
-            batch = batch.join(known, "staging_no", "left_anti")
-        except Exception as e:  # the first batch has no target yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-                raise
-        batch.drop("at").write.mode("append").parquet(target)
+        once = batch.dropDuplicates(["staging_no"])
+        if _exists(spark, target):
+            days = once.select("day").distinct()
+            known = spark.read.schema(f"{SCHEMA}, day date").parquet(target).join(F.broadcast(days.withColumnRenamed("day", "d")), F.col("day").eqNullSafe(F.col("d")), "left_semi")  # a batch has few days
+            once = once.join(known.select("staging_no"), "staging_no", "left_anti")
+        once.write.mode("append").partitionBy("day").parquet(target)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def hourly_counts(spark: SparkSession, path: str, late: str = "2 hours") -> DataFrame:
     """Readings by hour of staging, with late rows up to the watermark."""
     rows = spark.readStream.schema(SCHEMA).parquet(path).withColumn("at", F.col("staged_at").cast("timestamp"))

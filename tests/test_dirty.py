@@ -13,7 +13,7 @@ def dirty(spark):
 
 
 def test_lexical(spark, dirty):
-    assert lexical.tokens is not None
+    assert [r["ts"] for r in dirty.select(lexical.tokens(F.col("t")).alias("ts")).collect()] == [[], [], [], ["x", "y", "x"], ["x", "y", "x"]]
     w = lexical.weighted_postings(dirty.select("k", "t"), "k", "t")
     q = spark.createDataFrame([(1, "x"), (2, None), (3, "")], "q int, t string")
     got = lexical.bm25(q, "q", "t", w, "k", 5).collect()

@@ -9,5 +9,5 @@ def test_names():
 
 @pytest.mark.parametrize("name", ["bm25_topk", "evaluate_multi_k"])
 def test_runs(spark, name):
-    assert e.queries()[name](spark, "/root/testdata/sf0.001").count() >= 0
+    assert e.queries()[name](spark, "/root/testdata/sf0.001").count() > 5
     assert e.entry(spark).columns == ["query_id", "chunk_id", "score", "rank"]
