@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def codepoints(text: str) -> np.ndarray:
@@ -61,3 +64,17 @@ def int_lists(packed: list[bytes]) -> pa.Array:
     offsets = np.zeros(len(packed) + 1, np.int32)
     np.cumsum([len(x) // 4 for x in packed], out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+
+
+def dealt(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Each row once for every pair (i, j), i <= j, of its part with one of the parts (columns part and parts)."""
+    other = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return other.select(*columns, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+
+
+def met(rows: DataFrame, keys: list[str], value: str, block: int) -> DataFrame:
+    """keys, a, b: all pairs a < b of values with equal keys. The values of a key are counted first and dealt out in parts of about block; each two parts are joined on their own."""
+    counted = rows.withColumn("n", F.count("*").over(Window.partitionBy(*keys))).filter(F.col("n") > 1).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    each = dealt(counted.withColumn("part", F.pmod(F.xxhash64(value), "parts").cast("int")), [*keys, value, "part"])
+    both = each.alias("x").join(each.alias("y"), [*keys, "i", "j"]).filter(f"x.{value} < y.{value} and i = j or x.part < y.part")
+    return both.select(*keys, F.least(f"x.{value}", f"y.{value}").alias("a"), F.greatest(f"x.{value}", f"y.{value}").alias("b"))

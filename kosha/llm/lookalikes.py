@@ -15,7 +15,7 @@ import re
 import sys
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from kosha.session import stored
 
+from .common import met
+
 #: Letters that look alike, the Latin one first, then Greek or Cyrillic ones.
 LOOKALIKES = (
     "AΑА", "BΒВ", "CСϹ", "EΕЕ", "HΗН", "IΙІӀ", "JЈ", "KΚК", "MΜМ", "NΝ", "OΟО", "PΡР", "SЅ", "TΤТ", "XΧХ", "YΥҮ", "ZΖ",
@@ -188,17 +190,36 @@ def forms(df: DataFrame, key: str, texts: list[str], digest: bool = False) -> Da
     return df.select(F.col(key).alias("k"), *texts).mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
+#: Variants of one form, and rows of one variant, that are joined in one part.
+BLOCK, MEMBERS = 256, 1000
+
+
 def found(df: DataFrame, key: str, texts: list[str]) -> DataFrame:
     """Pairs of rows whose text has one form but differs: key_a < key_b, field.
 
-    Equal texts are one class; classes of one form are paired first, then their members are listed.
+    Equal texts are one variant. The variants of a form are paired, then their rows listed, both in parts of bounded size, so that
+    neither a form of many variants nor a variant of many rows is one task. classes() gives the same without listing pairs.
     """
     rows = stored(forms(df, key, texts, digest=True))
-    classes = rows.groupBy("field", "form", "raw").agg(F.count("*").alias("n"))
-    several = classes.groupBy("field", "form").agg(F.count("*").alias("classes")).filter("classes > 1").select("field", "form")
-    held = rows.join(several, ["field", "form"], "left_semi")
-    kinds = held.select("field", "form", "raw").distinct()
-    links = kinds.alias("a").join(kinds.alias("b"), ["field", "form"]).filter("a.raw < b.raw").select("field", F.col("a.raw").alias("raw_a"), F.col("b.raw").alias("raw_b"))
-    a = held.select("field", F.col("raw").alias("raw_a"), F.col(key).alias("x"))
-    b = held.select("field", F.col("raw").alias("raw_b"), F.col(key).alias("y"))
-    return links.join(a, ["field", "raw_a"]).join(b, ["field", "raw_b"]).select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"), "field").distinct()
+    variants = rows.groupBy("field", "form", "raw").agg(F.count("*").alias("n"))
+    links = met(variants.select("field", "form", "raw"), ["field", "form"], "raw", BLOCK)
+    size = variants.groupBy("field", "raw").agg(F.ceil(F.sum("n") / MEMBERS).cast("int").alias("parts"))
+    held = rows.select("field", "raw", key).join(size, ["field", "raw"]).select("field", "raw", key, F.pmod(F.xxhash64(key), "parts").cast("int").alias("part"))
+    part = lambda side: links_parts(side, size)
+    each = part("b")(part("a")(links.select("field", F.col("a").alias("raw_a"), F.col("b").alias("raw_b"))))
+    a = held.select("field", F.col("raw").alias("raw_a"), F.col("part").alias("part_a"), F.col(key).alias("x"))
+    b = held.select("field", F.col("raw").alias("raw_b"), F.col("part").alias("part_b"), F.col(key).alias("y"))
+    return each.join(a, ["field", "raw_a", "part_a"]).join(b, ["field", "raw_b", "part_b"]).select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"), "field").distinct()
+
+
+def links_parts(side: str, size: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Each link once for every part of the rows of its variant on one side."""
+    own = size.select("field", F.col("raw").alias(f"raw_{side}"), "parts")
+    return lambda links: links.join(own, ["field", f"raw_{side}"]).withColumn(f"part_{side}", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+
+def classes(df: DataFrame, key: str, texts: list[str]) -> DataFrame:
+    """One row per row and field that isn't null: key, field, group_id (the least key whose text has the same form), n_variants (different strings of the form)."""
+    rows = stored(forms(df, key, texts, digest=True))
+    per = rows.groupBy("field", "form", "raw").agg(F.min(key).alias("least")).groupBy("field", "form").agg(F.min("least").alias("group_id"), F.count("*").alias("n_variants"))
+    return rows.join(per, ["field", "form"]).select(key, "field", "group_id", "n_variants")

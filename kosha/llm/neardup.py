@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from kosha.operators.quality import components
 from kosha.session import ship, stored
 
-from .common import bare, distinct, mix, window_hashes
+from .common import bare, dealt, distinct, met, mix, window_hashes
 
 #: Characters in a run and the least share of common runs.
 RUN, SIMILARITY = 10, 0.6
@@ -148,22 +148,6 @@ def _lists(words: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(np.concatenate(words).view(np.int64) if words else np.zeros(0, np.int64)))
 
 
-def _met(banded: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b, not distinct: all pairs with a key in common. banded: key, rep.
-
-    The texts of a key are counted first and dealt out in parts of about block; each two parts are joined on their own.
-    """
-    counted = banded.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter(F.col("n") > 1).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
-    each = _dealt(counted.withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")), ["key", "rep", "part"])
-    return each.alias("a").join(each.alias("b"), ["key", "i", "j"]).filter("a.rep < b.rep and (i = j or a.part <> b.part)").select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-
-
-def _dealt(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row once for every pair (i, j), i <= j, of its part with one of the parts."""
-    other = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return other.select(*columns, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-
-
 def _near(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     """The pairs that differ in at most DIFFER bits. bits: rep, bits."""
     both = pairs.join(bits.toDF("a", "x"), "a").join(bits.toDF("b", "y"), "b")
@@ -197,7 +181,7 @@ def _blocks(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     at = pairs.join(roots.toDF("a", "ra"), "a").join(roots.toDF("b", "rb"), "b").select(F.greatest("ra", "rb").alias("h"), "a", "b")
     members = stored(at.select("h", F.explode(F.array("a", "b")).alias("rep")).distinct().join(sizes, "rep"))
     size = members.groupBy("h").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_chars") / BLOCK_CHARS)).cast("int").alias("parts"))
-    return _dealt(members.join(size, "h").withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")), ["h", "rep", "part"])
+    return dealt(members.join(size, "h").withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")), ["h", "rep", "part"])
 
 
 def _matched(blocks: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -232,8 +216,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, similarity: float = SIMI
     reps = stored(own.groupBy("class").agg(F.min(F.struct("k", "no", "n_chars")).alias("r")).select("class", "r.*"))
     members = own.select("k", "class", "n_chars").join(reps.select("class", F.col("k").alias("rep")), "class").select("rep", F.col("k").alias(key), "n_chars")
     banded = _prefixes(df, key, text, reps, similarity) if exact else own.join(reps.select("no"), "no", "left_semi").select(F.explode("keys").alias("key"), F.col("no").alias("rep"))
-    met = _met(banded).distinct()
-    pairs = stored(met if exact else _near(met, own.select(F.col("no").alias("rep"), "bits")))
+    both = met(banded, ["key"], "rep", BLOCK).select("a", "b").distinct()
+    pairs = stored(both if exact else _near(both, own.select(F.col("no").alias("rep"), "bits")))
     blocks = stored(_blocks(pairs, reps.select(F.col("no").alias("rep"), "n_chars")))
     needed = reps.join(blocks.select(F.col("rep").alias("no")).distinct(), "no", "left_semi").select("k", "no")
     texts = df.select(F.col(key).alias("k"), F.col(text).alias("t")).join(needed, "k").dropDuplicates(["no"]).select(F.col("no").alias("rep"), "t")

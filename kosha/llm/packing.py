@@ -16,8 +16,8 @@ from pyspark.sql.window import Window
 from kosha.session import stored
 
 CAPACITY = 8192
-#: Ranks within one length are given in so many independent parts, so that no length is a single task.
-PARTS = 64
+#: Items of one length that are ranked in one part, so that no length is a single task, however many items it has.
+PART = 20_000
 
 SEGMENT = T.StructType([T.StructField(n, T.LongType()) for n in ("length", "first", "n", "container", "per")])
 
@@ -78,13 +78,15 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Dat
     spark = sizes.sparkSession
     s = F.coalesce(F.col(size).cast("bigint"), F.lit(0).cast("bigint"))
     last = F.greatest(F.ceil(s / capacity), F.lit(1)) - 1
-    items = stored(
+    pieces = stored(
         sizes.select(F.col(key).alias("k"), s.alias("s"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece_no"))
         .select("k", "piece_no", F.least(F.col("s") - F.col("piece_no") * capacity, F.lit(capacity)).alias("length"))
-        .withColumn("part", F.pmod(F.xxhash64("k", "piece_no"), F.lit(PARTS)))
     )
-    # at most capacity × PARTS rows, whatever the number of documents
-    counts = items.filter("length > 0").groupBy("length", "part").count().collect()
+    # a row per length, at most capacity, and then one per PART items of a length
+    lengths = {r["length"]: r["count"] for r in pieces.filter("length > 0").groupBy("length").count().collect()}
+    by_parts = spark.createDataFrame([(x, -(-n // PART)) for x, n in lengths.items()], "length bigint, parts bigint")
+    items = pieces.filter("length > 0").join(F.broadcast(by_parts), "length").withColumn("part", F.pmod(F.xxhash64("k", "piece_no"), "parts")).drop("parts")
+    counts = items.groupBy("length", "part").count().collect()
     total: dict[int, int] = {}
     starts = []
     for r in sorted(counts, key=lambda r: (r["length"], r["part"])):
@@ -97,14 +99,16 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Dat
     offsets = spark.createDataFrame(starts, "length bigint, part bigint, before bigint")
     ranked = (
         items.withColumn("r", F.row_number().over(Window.partitionBy("length", "part").orderBy("k", "piece_no")) - 1)
-        .join(F.broadcast(offsets), ["length", "part"], "left")  # both sides of the plan are bounded by the capacity
-        .join(F.broadcast(by_length), "length", "left")
+        .join(F.broadcast(offsets), ["length", "part"])  # as many rows as counted above
+        .join(F.broadcast(by_length), "length")
         .withColumn("r", F.col("r") + F.col("before"))
     )
     slot = F.filter("segments", lambda g: (g["first"] <= F.col("r")) & (F.col("r") < g["first"] + g["n"]))[0]
-    return ranked.withColumn("slot", slot).select(F.col("k").alias(key), F.col("piece_no").cast("int").alias("piece_no"), F.col("length").alias("piece_size"), F.expr("slot.container + (r - slot.first) div slot.per").alias("container_id"))
+    placed = ranked.withColumn("slot", slot).select("k", "piece_no", "length", F.expr("slot.container + (r - slot.first) div slot.per").alias("container_id"))
+    none = pieces.filter("length = 0").select("k", "piece_no", "length", F.lit(None).cast("bigint").alias("container_id"))
+    return placed.unionByName(none).select(F.col("k").alias(key), F.col("piece_no").cast("int").alias("piece_no"), F.col("length").alias("piece_size"), "container_id")
 
 
 def found(packed: DataFrame, key: str) -> DataFrame:
-    """The keys of the items that had to be cut."""
-    return packed.filter("piece_no > 0").select(key).distinct()
+    """The keys of the items that had to be cut: those that lie in several containers."""
+    return packed.filter("container_id is not null").groupBy(key).agg(F.min("container_id").alias("a"), F.max("container_id").alias("b")).filter("a < b").select(key)

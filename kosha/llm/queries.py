@@ -44,6 +44,10 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.forms(table(spark, d, "resolutions"), "res_no", ["title", "raw_text"])
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.classes(table(spark, d, "resolutions"), "res_no", ["title", "raw_text"])
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.found(table(spark, d, "resolutions"), "res_no", "raw_text")
 
@@ -90,6 +94,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """By the containers that the documents' pieces were put into."""
     return packing.found(p9_containers(spark, d), "doc_id")
 
 
@@ -106,7 +111,7 @@ def p10_masked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_sentences, p2_found, p2_mapped, p3_found, p3_forms, p4_found, p4_groups, p4_links, p4_members, p5_found, p5_paragraphs, p6_found, p6_pieces, p7_found, p7_shares, p8_ids, p9_found, p9_containers, p10_found, p10_masked)}
+    return {f.__name__: f for f in (p1_found, p1_sentences, p2_found, p2_mapped, p3_found, p3_forms, p3_classes, p4_found, p4_groups, p4_links, p4_members, p5_found, p5_paragraphs, p6_found, p6_pieces, p7_found, p7_shares, p8_ids, p9_found, p9_containers, p10_found, p10_masked)}
 
 
 _P4 = """

@@ -52,7 +52,7 @@ def _lines(text: str) -> float:
     return again / total if total else 0.0
 
 
-def repetition(df: DataFrame, key: str, text: str, lengths: tuple[int, ...] = LENGTHS, lines: bool = True) -> DataFrame:
+def repetition(df: DataFrame, key: str, text: str, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
     """One row per input row: key, n_chars, and for each n of lengths runs_n, repeats_n, share_n and covered_n; line_share.
 
     Text is taken without U+0020 and U+000A. share_n = repeats ÷ runs; covered_n = share of the
@@ -68,7 +68,7 @@ def repetition(df: DataFrame, key: str, text: str, lengths: tuple[int, ...] = LE
             for t in b.column(1).to_pylist():
                 v = bare(t or "")
                 got = [x for n in lengths for x in _runs(v, n)]
-                rows.append([len(v), *got, _lines(t or "") if lines else 0.0])
+                rows.append([len(v), *got, _lines(t or "")])
             cols = list(zip(*rows)) if rows else [[]] * (len(names) + 2)
             yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array(c, pa.float64() if n[0] in "cl" else pa.int64()) for n, c in zip(["n_chars", *names, "line_share"], cols)], names=["k", "n_chars", *names, "line_share"])
 
@@ -80,5 +80,5 @@ def repetition(df: DataFrame, key: str, text: str, lengths: tuple[int, ...] = LE
 
 def found(df: DataFrame, key: str, text: str) -> DataFrame:
     """The keys of the texts of whose runs of 20 characters at least 0.3 repeat an earlier one (compared exactly, as 10·repeats ≥ 3·runs)."""
-    got = repetition(df, key, text, (FOUND_LENGTH,), lines=False)
+    got = repetition(df, key, text)
     return got.filter((F.col(f"runs_{FOUND_LENGTH}") > 0) & (10 * F.col(f"repeats_{FOUND_LENGTH}") >= 3 * F.col(f"runs_{FOUND_LENGTH}"))).select(key).distinct()

@@ -86,7 +86,11 @@ def _cut(n: int, at: np.ndarray, strength: np.ndarray, count: int, limit: int, o
 
 
 def pieces(n: int, at: np.ndarray, strength: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """Spans of at most limit characters that cover 0..n; consecutive ones share up to overlap characters."""
+    """Spans of at most limit characters that cover 0..n; consecutive ones share up to overlap characters.
+
+    Pieces are added while a snapped end leaves one over the limit. With 3 * count + 8 pieces more the targets lie so close that
+    no snapping can; should all fail all the same, the text is cut at a fixed step, within the limit and with the full overlap.
+    """
     if n <= limit:
         return [(0, n)] if n else []
     count = -(-(n - overlap) // (limit - overlap))
@@ -98,7 +102,7 @@ def pieces(n: int, at: np.ndarray, strength: np.ndarray, limit: int = LIMIT, ove
 
 
 def split(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """One row per input row: key, blocks (of more than limit characters) and pieces (start, end, strength of the end).
+    """One row per input row: key, blocks (those that don't fit into one piece) and pieces (start, end, strength of the end).
 
     The least number of pieces that can do is planned with equally spaced ends, each end is snapped to
     the strongest boundary within a quarter of a piece, and a piece is added while one is over
@@ -119,8 +123,13 @@ def split(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int =
                     cut.append([(0, 0, len(t), BLOCK)] if t else [])
                     continue
                 spans = blocks(t)
-                over.append([(i, s, e) for i, (s, e) in enumerate(spans) if e - s > limit])
                 at, strength = boundaries(t, spans)
+                over.append([])
+                for i, (s, e) in enumerate(spans):
+                    # a block's own balanced cut tells whether it fits into one piece
+                    a, z = np.searchsorted(at, s, side="right"), np.searchsorted(at, e)
+                    if len(pieces(e - s, at[a:z] - s, strength[a:z], limit, overlap)) > 1:
+                        over[-1].append((i, s, e))
                 kept = dict(zip(at.tolist(), strength.tolist()))
                 cut.append([(i, s, e, BLOCK if e == len(t) else kept.get(e, 0)) for i, (s, e) in enumerate(pieces(len(t), at, strength, limit, overlap))])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[dict(zip(("block_no", "start_pos", "end_pos"), x)) for x in o] for o in over], big), pa.array([[dict(zip(("piece_no", "start_pos", "end_pos", "strength"), x)) for x in c] for c in cut], small)], names=["k", "oversized", "pieces"])

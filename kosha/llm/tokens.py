@@ -9,6 +9,7 @@ their bytes by a literal rank map. Documents then look their atoms up.
 from __future__ import annotations
 
 import base64
+import heapq
 import os
 import re
 import sys
@@ -84,6 +85,8 @@ _SLOTS, _GROUPS, _FACTOR = 1 << 17, 16381, 1103515245
 def _rank_map(path: str) -> tuple[str, str, str]:
     """(slots, shifts, byte ids) as comma lists: a perfect hash from left·2^16+right to the merged id."""
     known = ranks(path)
+    if max(known.values()) >= 1 << 16:
+        raise ValueError("ids of more than 16 bits can't be packed")
     pairs: dict[int, int] = {}
     for token, rank in known.items():
         for i in range(1, len(token)):
@@ -132,11 +135,54 @@ def merged(raw: Column, path: str) -> Column:
     return F.when(F.octet_length(raw) == 1, start).otherwise(F.aggregate(F.sequence(F.lit(2), F.octet_length(raw)), start, step)).cast("array<int>")
 
 
+#: Bytes of an atom up to which its merges are folded; a fold takes time by the square of the length, a heap nearly in proportion.
+FOLDED = 256
+
+
+def heap_merged(raw: bytes, known: dict[bytes, int]) -> list[int]:
+    """The ids of a byte string of any length: the same merges, the lowest rank first and of equal ones the leftmost, from a heap over a linked list."""
+    n = len(raw)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    alive = [True] * n
+
+    def entry(i: int) -> tuple[int, int, int] | None:
+        j = end[i]
+        rank = known.get(raw[i : end[j]]) if j < n else None
+        return None if rank is None else (rank, i, end[j])
+
+    heap = [e for i in range(n) if (e := entry(i))]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = end[i] if alive[i] else n
+        if j >= n or end[j] != stop:
+            continue  # one of the two has been merged since
+        alive[j], end[i] = False, stop
+        if stop < n:
+            before[stop] = i
+        for k in (i, before[i]):
+            if k >= 0 and (e := entry(k)):
+                heapq.heappush(heap, e)
+    return [known[raw[i : end[i]]] for i in range(n) if alive[i]]
+
+
+def _long_merged(atoms_: DataFrame, path: str) -> DataFrame:
+    """(atom, n, ids) of long atoms, by the heap."""
+    sent = atoms_.sparkSession.sparkContext.broadcast(ranks(path))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([heap_merged(bytes(a), sent.value) for a in b.column(0).to_pylist()], pa.list_(pa.int32()))], names=["atom", "n", "ids"])
+
+    return atoms_.select("atom", "n").mapInArrow(run, "atom binary, n bigint, ids array<int>")
+
+
 def _counted(texts: DataFrame, path: str) -> DataFrame:
-    """(atom, n) of all texts, pre-summed by each task."""
+    """(atom, n) of all texts, pre-summed by each task. The vocabulary is read on the driver; workers get the pairs of bytes that occur in it, at most 65,536."""
+    sent = texts.sparkSession.sparkContext.broadcast(_neighbours(path))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, near = pre_tokens(), _neighbours(path)
+        split, near = pre_tokens(), sent.value
 
         def out(words: Counter) -> pa.RecordBatch:
             got: Counter = Counter()
@@ -186,7 +232,11 @@ def _packed(ids: Iterable[int]) -> bytes:
 def vocabulary(df: DataFrame, text: str, path: str) -> DataFrame:
     """(atom, n, ids) of every distinct atom of the texts, stored."""
     counted = stored(_counted(df.select(F.col(text).alias("t")), path))
-    return stored(counted.withColumn("ids", merged(F.col("atom"), path)))
+    short = F.octet_length("atom") <= FOLDED
+    # few bytes, much work: dealt out to all cores
+    folded = counted.filter(short).repartition(df.sparkSession.sparkContext.defaultParallelism).withColumn("ids", merged(F.col("atom"), path))
+    long = counted.filter(~short)
+    return stored(folded if long.isEmpty() else folded.unionByName(_long_merged(long, path)))
 
 
 def encode(df: DataFrame, key: str, text: str, path: str | None = None, as_counts: bool = False, limit: int = BROADCAST_ATOMS) -> DataFrame:
@@ -202,14 +252,14 @@ def encode(df: DataFrame, key: str, text: str, path: str | None = None, as_count
     short = words.filter(F.octet_length("atom") <= BROADCAST_BYTES)
     top = short.orderBy(F.col("n").desc(), "atom").limit(limit).select("atom", "ids").toArrow()
     known = dict(zip((bytes(x) for x in top.column(0).to_pylist()), map(_packed, top.column(1).to_pylist())))
-    sent = spark.sparkContext.broadcast(known)
+    sent = spark.sparkContext.broadcast((known, _neighbours(path)))
     docs = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = docs.schema["k"].dataType.simpleString()
     whole = len(known) < limit and words.filter(F.octet_length("atom") > BROADCAST_BYTES).isEmpty()
     if not whole:
 
         def rare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            split, near, have = pre_tokens(), _neighbours(path), sent.value
+            split, (have, near) = pre_tokens(), sent.value
             fine: set[str] = set()
             for b in batches:
                 keys, found = [], []
@@ -231,7 +281,7 @@ def encode(df: DataFrame, key: str, text: str, path: str | None = None, as_count
         docs = docs.join(links, docs["k"].eqNullSafe(links["k"]), "left").select(docs["k"], "t", "rare")
 
     def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, memo = pre_tokens(), _Words(sent.value, _neighbours(path))
+        split, memo = pre_tokens(), _Words(*sent.value)
         get = memo.__getitem__
         for b in batches:
             extra = b.column(2).to_pylist() if b.num_columns > 2 else None

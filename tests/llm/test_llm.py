@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 import unicodedata
 
 import pytest
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kosha.llm import lookalikes, mapping, neardup, ocr, packing, pii, repetition, sentences, splitting, tokens
+from kosha.llm import common, lookalikes, mapping, neardup, ocr, packing, pii, repetition, sentences, splitting, tokens
 
 TOKENIZER = f"{tokens.VOCABULARIES}/byte_bpe_50k.json"
 
@@ -107,6 +108,19 @@ def test_lookalikes(spark):
     assert got == {(0, 1), (0, 2), (1, 2), (1, 9), (2, 9)}
 
 
+def test_hot_forms_and_variants(spark, monkeypatch):
+    monkeypatch.setattr(lookalikes, "BLOCK", 2)
+    monkeypatch.setattr(lookalikes, "MEMBERS", 3)
+    ways = ["HOPE x", "ΗΟРЕ x", "ＨＯＰＥ x", "HO​PE x", "HOP​E x"]
+    texts = [ways[i % 5] for i in range(40)] + ["other"] * 3 + [None]
+    df = frame(spark, texts)
+    got = [(r["k_a"], r["k_b"]) for r in lookalikes.found(df, "k", ["t"]).collect()]
+    assert sorted(got) == [(a, b) for a, b in itertools.combinations(range(40), 2) if a % 5 != b % 5]
+    rows = {r["k"]: (r["group_id"], r["n_variants"]) for r in lookalikes.classes(df, "k", ["t"]).collect()}
+    assert rows == {**{i: (0, 5) for i in range(40)}, **{i: (40, 1) for i in (40, 41, 42)}}
+    assert lookalikes.found(df.limit(0), "k", ["t"]).count() == 0 and lookalikes.classes(df.limit(0), "k", ["t"]).count() == 0
+
+
 def test_forms_are_stable():
     model = lookalikes.Model({"^H": 5, "HO": 5, "OP": 5, "PE": 5, "^М": 2, "Мо": 2, "ос": 2, "ск": 2, "кв": 2, "ва": 2})
     assert model.form("Москва") == "Москва" and model.form("Moskva") == "Moskva"
@@ -164,7 +178,7 @@ def test_interleaved_families_of_common_runs(spark):
 
 def test_pairs_of_a_band_in_parts(spark):
     rows = [(key, rep) for key, n in ((1, 23), (2, 2), (3, 1)) for rep in range(n)]
-    got = [tuple(r) for r in neardup._met(spark.createDataFrame(rows, "key long, rep long"), 5).collect()]
+    got = [(r["a"], r["b"]) for r in common.met(spark.createDataFrame(rows, "key long, rep long"), ["key"], "rep", 5).collect()]
     assert sorted(got) == sorted([*itertools.combinations(range(23), 2), (0, 1)])
 
 
@@ -333,6 +347,24 @@ def test_ids(spark, reference, limit):
     assert got == {i: reference(t) for i, t in enumerate(TEXTS)}
 
 
+def test_long_parts(spark, reference):
+    rng = random.Random(2)
+    texts = ["ab" * 3000, "".join(rng.choices("abcde", k=5000)), "x" + "สวัสดี" * 400, "=" * 4000, "".join(rng.choices("ab", k=700)) + " " + "ก" * 900]
+    got = {r["k"]: r["ids"] for r in tokens.encode(frame(spark, texts), "k", "t").collect()}
+    assert got == {i: reference(t) for i, t in enumerate(texts)}
+
+
+def test_heap_merges_equal_the_library(reference):
+    known = tokens.ranks(f"{tokens.VOCABULARIES}/byte_bpe_50k.tiktoken")
+    rng = random.Random(4)
+    for _ in range(200):
+        w = "".join(rng.choices("abcdeth ", k=1)).strip() + "".join(rng.choices("abcdethings", k=rng.randint(1, 60)))
+        assert tokens.heap_merged(w.encode(), known) == reference(w)
+    began = time.time()
+    word = "".join(rng.choices("abcdefgh", k=1_000_000))
+    assert sum(len(x) for x in tokens.heap_merged(word.encode(), known) and [word]) == 1_000_000 and time.time() - began < 60
+
+
 def test_pre_tokens_match_the_pattern():
     import regex
 
@@ -376,6 +408,18 @@ def test_plan(counts):
     assert len(room) == len(rooms)
 
 
+def test_pack_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART", 3)
+    sizes = spark.createDataFrame([(i, i % 4) for i in range(200)], "k int, n int")
+    rows = packing.pack(sizes, "k", "n", 10).collect()
+    used: dict = {}
+    for r in rows:
+        if r["container_id"] is not None:
+            used[r["container_id"]] = used.get(r["container_id"], 0) + r["piece_size"]
+    assert len(rows) == 200 and max(used.values()) == 10 and len(used) == 30 and sum(used.values()) == 300
+    assert packing.found(packing.pack(sizes, "k", "n", 10), "k").count() == 0
+
+
 def test_pack(spark):
     sizes = spark.createDataFrame([(1, 10), (2, 0), (3, None), (4, 25), (5, 10), (6, 10), (7, 10)], "k int, n int")
     rows = packing.pack(sizes, "k", "n", 10).collect()
