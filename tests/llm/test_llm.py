@@ -263,6 +263,44 @@ def test_scanned_text(spark):
     assert ocr.noise(texts.limit(0)).count() == 0
 
 
+def noisy(n=160):
+    """Pages with headers, cut words and misread characters of which one pair (ж for x) is in no table."""
+    rng = random.Random(9)
+    stems = ["exact", "exempt", "axiom", "oxide", "taxi", "maximum", "boxer", "excess", "texture", "luxury", "examine", "explain"]
+    say = lambda i: f"the {stems[i % 12]} of plan {stems[i % 12]} was approved by the committee for the annual budget of the laboratory"
+    rows = []
+    for i in range(n):
+        body = [say(rng.randrange(12)) for _ in range(12)]
+        if i % 8 == 0:
+            at = rng.randrange(12)
+            body[at] = body[at].replace("x", "ж", 1)
+        if i % 10 == 1:
+            body[3] = body[3].replace("annual", "annu@l")
+        if i % 9 == 2:
+            body[5:6] = [body[5][:62] + "-", body[5][62:]]
+        rows.append("\n".join([f"Office of the Council {i}/2567", *body, "", f"Page {i % 9 + 1}"]))
+    return rows
+
+
+def test_confusions_are_learnt_and_partitions_do_not_matter(spark):
+    rows = noisy()
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(rows)], "tbl int, rec long, text string")
+    want = {(i, j) for i, t in enumerate(rows) for j, x in enumerate(t.split("\n")) if "ж" in x or "@" in x}
+    got = []
+    for parts in (1, 8, 60):
+        got.append({tuple(r) for r in ocr.noise(df.repartition(parts)).select("rec", "line", "col", "kind", "c", "r").collect()})
+    assert got[0] == got[1] == got[2]
+    assert {(r[0], r[1]) for r in got[0] if r[3] == "misread"} == want and {chr(r[5]) for r in got[0] if r[3] == "misread" and chr(r[4]) == "ж"} == {"x"}
+    # what doesn't fit into the broadcast lexicon is joined
+    few = {tuple(r) for r in ocr.noise(df, limit=2).select("rec", "line", "col", "kind", "c", "r").collect()}
+    assert few == got[0] and {"drop", "hyphen", "misread"} == {r[3] for r in few}
+
+
+def test_look_alikes_are_no_misreads():
+    assert ocr.looks_alike("е", "e") and ocr.looks_alike("ｅ", "e") and ocr.looks_alike("F", "f") and ocr.looks_alike("๑", "2")
+    assert not ocr.looks_alike("ม", "น") and not ocr.looks_alike("5", "s")
+
+
 def test_copies_of_a_page_are_one_vote(spark):
     headed = [f"Office of the Council\n{''.join(w)} is on the agenda\nand was approved\nby all members\nafter the break" for w in itertools.permutations("abc")]
     copied = ["the board agreed on the plan\nand on its budget\nfor the next year\nwith all members\npresent in the hall"] * 8
