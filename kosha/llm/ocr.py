@@ -41,8 +41,8 @@ DOUBLES = (("ri", "n"), ("ii", "u"), ("rn", "m"), ("vv", "w"), ("cl", "d"), ("li
 #: Weight of each further printed character of a known confusion against the one before.
 FURTHER = 0.5
 #: A confusion is learnt from contexts in which the printed character stands at least so often, if it is found in so many of them, in
-#: such a share of them, and not in a few only (contexts against occurrences).
-LEARNT_PRINTED, LEARNT_CONTEXTS, LEARNT_SHARE, LEARNT_SPREAD = 20, 4, 0.03, 0.08
+#: such a share of them, not in a few only (contexts against occurrences), and after as well as before so many different surroundings.
+LEARNT_PRINTED, LEARNT_CONTEXTS, LEARNT_SHARE, LEARNT_SPREAD, LEARNT_SIDES = 20, 4, 0.03, 0.08, 2
 #: A misread character is seen in its context at most so often against the printed one, which is seen there at least so often.
 RARE_SHARE, LEAST_PRINTED = 0.05, 6
 #: Lines at either end of a page among which headers and footers are, their greatest length, the least edge lines and share of a running one.
@@ -355,7 +355,10 @@ def looks_alike(c: str, r: str) -> bool:
 
 
 def _windows(cp: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, context key, code) of the characters of interest (use) of a text with three characters of margin; one may have several keys."""
+    """(position, context key, code) of the characters of interest (use) of a text with three characters of margin; one may have several keys.
+
+    A key of a context on both sides is even and has 32 bits of either side; those of one side are odd.
+    """
     ctx = cp.copy()
     ctx[((cp >= 48) & (cp <= 57)) | ((cp >= 0xE50) & (cp <= 0xE59))] = 48
     each = mix(ctx.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
@@ -365,15 +368,15 @@ def _windows(cp: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     latin = ((cp >= 65) & (cp <= 90)) | ((cp >= 97) & (cp <= 122))
     odd = cp[at] < 65  # digits and signs only inside words
     at = at[~odd | latin[at - 1] | latin[at + 1]]
-    factor = np.uint64(0x9FB21C651E98DF25)
-    key, code = h[at - 3] * factor + h[at + 1], cp[at].astype(np.int64)
+    upper, lower, one = np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFE), np.uint64(1)
+    key, code = h[at - 3] & upper | h[at + 1] & lower, cp[at].astype(np.int64)
     # a character of a script whose words are two or three characters long also by two characters on one side
     han = at[(cp[at] >= 0x3400) & (cp[at] < 0xA000)]
-    at, key, code = np.concatenate([at, han, han]), np.concatenate([key, h2[han - 2] * factor, mix(h2[han + 1])]), np.concatenate([code, *[cp[han].astype(np.int64)] * 2])
+    at, key, code = np.concatenate([at, han, han]), np.concatenate([key, h2[han - 2] | one, mix(h2[han + 1]) | one]), np.concatenate([code, *[cp[han].astype(np.int64)] * 2])
     for i, (two, _) in enumerate(DOUBLES):
         p = np.flatnonzero((cp[:-1] == ord(two[0])) & (cp[1:] == ord(two[1])))
         p = p[(p >= 3) & (p < len(cp) - 5)]
-        at, key, code = np.concatenate([at, p]), np.concatenate([key, h[p - 3] * factor + h[p + 2]]), np.concatenate([code, np.full(len(p), _DOUBLE_CODE + i)])
+        at, key, code = np.concatenate([at, p]), np.concatenate([key, h[p - 3] & upper | h[p + 2] & lower]), np.concatenate([code, np.full(len(p), _DOUBLE_CODE + i)])
     return at, key, code
 
 
@@ -451,22 +454,22 @@ def _read(texts: DataFrame, edge: list[str], words: dict[str, int], judged: Data
 
 
 def _contexts(counts: DataFrame) -> DataFrame:
-    """(key, seen): the index: contexts with all characters seen there and their counts, at most one entry per character; contexts of one character end here."""
+    """(key, seen): the index: contexts with all characters seen there and their counts, at most one entry per character; contexts without a printed character end here."""
     summed = counts.repartition("key").groupBy("key", "c").agg(F.sum("n").alias("n"))
-    return summed.groupBy("key").agg(F.collect_list(F.struct("c", "n")).alias("seen")).filter((F.size("seen") > 1) & F.exists("seen", lambda x: x["n"] >= LEAST_PRINTED))
+    return summed.groupBy("key").agg(F.collect_list(F.struct("c", "n")).alias("seen")).filter(F.exists("seen", lambda x: x["n"] >= LEAST_PRINTED))
 
 
 def learnt_confusions(contexts: DataFrame) -> dict[int, list[tuple[int, float]]]:
     """What is printed, with weights, by what is read, as the corpus shows it: at most one entry per pair of characters.
 
-    A character is read for another one if it is rare (RARE_SHARE) where that one rules, in enough contexts, in a large enough share of the
-    contexts, and spread over them. The weight of a pair is its rate against that of the best pair of the character read.
+    Only contexts on both sides teach. A character is read for another one if it is rare (RARE_SHARE) where that one rules, in enough contexts, in a large enough share of the
+    contexts, and spread over them and over what stands on either side: a word that differs from another one in one letter is no confusion. The weight of a pair is its rate against that of the best pair of the character read.
     """
     top = F.array_max(F.transform("seen", lambda x: F.struct(x["n"].alias("n"), x["c"].alias("c"))))
-    ruled = contexts.withColumn("top", top).filter(F.col("top.n") >= LEARNT_PRINTED)
+    ruled = contexts.filter("key % 2 = 0").withColumn("top", top).filter(F.col("top.n") >= LEARNT_PRINTED)
     share = ruled.groupBy(F.col("top.c").alias("r")).agg(F.count("*").alias("contexts"), F.sum("top.n").alias("printed"))
-    each = ruled.select(F.col("top.c").alias("r"), F.col("top.n").alias("m"), F.explode("seen").alias("x")).filter((F.col("x.c") != F.col("r")) & (F.col("x.n") <= RARE_SHARE * F.col("m")) & (F.col("x.c") < _DOUBLE_CODE) & (F.col("r") < _DOUBLE_CODE))
-    pairs = each.groupBy(F.col("x.c").alias("c"), "r").agg(F.count("*").alias("n"), F.sum("x.n").alias("read")).filter(F.col("n") >= LEARNT_CONTEXTS).join(share, "r")
+    each = ruled.select(F.col("top.c").alias("r"), F.col("top.n").alias("m"), F.explode("seen").alias("x"), F.shiftright("key", 32).alias("left"), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("right")).filter((F.col("x.c") != F.col("r")) & (F.col("x.n") <= RARE_SHARE * F.col("m")) & (F.col("x.c") < _DOUBLE_CODE) & (F.col("r") < _DOUBLE_CODE))
+    pairs = each.groupBy(F.col("x.c").alias("c"), "r").agg(F.count("*").alias("n"), F.sum("x.n").alias("read"), F.count_distinct("left").alias("lefts"), F.count_distinct("right").alias("rights")).filter((F.col("n") >= LEARNT_CONTEXTS) & (F.least("lefts", "rights") >= LEARNT_SIDES)).join(share, "r")
     kept = pairs.filter((F.col("n") >= LEARNT_SHARE * F.col("contexts")) & (F.col("n") >= LEARNT_SPREAD * F.least("read", "contexts")))
     out: dict[int, list[tuple[int, float]]] = {}
     for r in kept.collect():
