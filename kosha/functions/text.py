@@ -72,11 +72,12 @@ def row_signature(row: Column) -> Column:
     return collapse_ws(F.regexp_replace(F.translate(row, THAI_DIGITS, DIGITS), "[0-9]", "0"))
 
 
-def is_bad_output(text: Column) -> Column:
-    """Recognised text that can't be one: under 5 characters, or more than half of it one character; null counts as bad."""
+def is_bad_output(text: Column, prompt: str | None = None) -> Column:
+    """Recognised text that can't be one: under 5 characters, more than half of it one character, or the prompt itself; null counts as bad."""
     t = F.trim(text)
     most = F.array_max(F.transform(F.array_distinct(F.split(t, "")), lambda c: F.length(t) - F.length(F.replace(t, c, F.lit("")))))
-    return F.coalesce((F.length(t) < 5) | (2 * most > F.length(t)), F.lit(True))
+    echo = F.contains(t, F.lit(prompt)) if prompt else F.lit(False)
+    return F.coalesce((F.length(t) < 5) | (2 * most > F.length(t)) | echo, F.lit(True))
 
 
 def verify_span(span: Column, body: Column) -> Column:
@@ -145,6 +146,18 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, False).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+@F.pandas_udf(T.StringType())
+def longest_block(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The longest piece that stands in both, the first one in the first string; null if either is null."""
+    from difflib import SequenceMatcher
+
+    def one(x: str, y: str) -> str:
+        m = SequenceMatcher(None, x, y, False).find_longest_match(0, len(x), 0, len(y))
+        return x[m.a : m.a + m.size]
+
+    return pd.Series([None if x is None or y is None else one(x, y) for x, y in zip(a, b)], dtype="object")
+
+
 @F.pandas_udf(T.StringType())
 def nfc(a: pd.Series) -> pd.Series:
     """Canonical composition, no-break space as space."""

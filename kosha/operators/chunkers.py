@@ -6,6 +6,7 @@ All keep the document's own order and give pieces in code points. Null and empty
 from __future__ import annotations
 
 import bisect
+import collections
 import itertools
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -80,38 +81,42 @@ def semantic_groups(df: DataFrame, doc: str, order: str, vector: str, threshold:
     return broken.select(doc, order, F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("group_no"))
 
 
-def _recursive(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
-    """Cuts at the coarsest separator present, goes on with finer ones inside long parts, joins neighbours up to the size."""
+def recursive(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
+    """Cuts at the coarsest separator present, goes on with finer ones inside long parts, joins neighbours up to the size.
+
+    A running length goes with the parts that are held, so that each part is added and taken off once.
+    """
     rest = separators
     while rest and rest[0] and rest[0] not in text:
         rest = rest[1:]
     sep = rest[0] if rest else ""
-    parts = [p for p in (text.split(sep) if sep else list(text)) if p]
+    parts = (p for p in (text.split(sep) if sep else text) if p)
     out: list[str] = []
-    held: list[str] = []
-
-    def close(keep: bool) -> None:
-        nonlocal held
-        if held:
-            joined = sep.join(held).strip()
-            if joined:
-                out.append(joined)
-            while keep and held and len(sep.join(held)) > overlap:
-                held = held[1:]
-            if not keep:
-                held = []
+    held: collections.deque[str] = collections.deque()
+    length = 0  # of the held parts, joined
+
+    def drop() -> None:
+        nonlocal length
+        length -= len(held.popleft()) + (len(sep) if held else 0)
+
+    def close() -> None:
+        if joined := sep.join(held).strip():
+            out.append(joined)
 
     for p in parts:
         if len(p) > size:
-            close(False)
-            out += _recursive(p, size, overlap, rest[1:])
+            close()
+            held.clear()
+            length = 0
+            out += recursive(p, size, overlap, rest[1:])
             continue
-        if held and len(sep.join([*held, p])) > size:
-            close(True)
-            while held and len(sep.join([*held, p])) > size:
-                held = held[1:]
+        if held and length + len(sep) + len(p) > size:
+            close()
+            while held and (length > overlap or length + len(sep) + len(p) > size):
+                drop()
+        length += len(p) + (len(sep) if held else 0)
         held.append(p)
-    close(False)
+    close()
     return out
 
 
@@ -160,7 +165,7 @@ def words(text: str, size: int, overlap: int) -> list[str]:
 
 def python_chunks(df: DataFrame, key: str, text: str, how: str, size: int = 512, overlap: int = 50) -> DataFrame:
     """key, chunk_index, chunk by the recursive or the word-aware splitter, whose state has no expression form."""
-    split = {"recursive": _recursive, "words": words}[how]
+    split = {"recursive": recursive, "words": words}[how]
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

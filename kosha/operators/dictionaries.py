@@ -245,6 +245,22 @@ def matches(df: DataFrame, key: str, text: str, programs: Programs) -> DataFrame
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, at bigint, taken string, alike string, likeness double, contradicted string").withColumnRenamed("k", key)
 
 
+def nearest(values: DataFrame, value: str, names: list[tuple[int, str]], least: float = LIKE) -> DataFrame:
+    """value, ref_id, ratio: the name most like each value, from the least likeness on, the least id on ties. names: (id, name) of a list of fixed size; each value is read once."""
+    ship(values.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for v in b.column(0).to_pylist():
+                best = max(((like(v, n, least), -i) for i, n in names), default=(0.0, 0)) if v else (0.0, 0)
+                if best[0]:
+                    rows.append((v, -best[1], round(best[0], 6)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.string(), pa.int32(), pa.float64()))], names=["v", "ref_id", "ratio"])
+
+    return values.select(F.col(value).alias("v")).mapInArrow(run, "v string, ref_id int, ratio double").withColumnRenamed("v", value)
+
+
 def affiliations(df: DataFrame, key: str, text: str, faculties: Faculties) -> DataFrame:
     """key, person, faculty: the person named last before the mark of an affiliation, within reach, and the one faculty named right after it.
 

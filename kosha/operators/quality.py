@@ -79,6 +79,30 @@ def table_name_loops(df: DataFrame, key: str, text: str, names: str = TITLED, le
 BENIGN = r"[\-_=|.*#]*"
 
 
+def word_cycles(words: list[str], times: int = 6, most: int = 8) -> Iterator[tuple[int, int, int]]:
+    """(place, period, cycles) of each cycle, one after the other."""
+    _, at = np.unique(np.array(words, dtype=object), return_inverse=True) if words else ((), np.zeros(0, int))
+    plain = np.array([re.fullmatch(BENIGN, w) is None for w in words], bool)
+    left = np.zeros((most + 1, len(words) + 1), np.int64)  # by period and place: words from here on that equal the one a period later
+    for p in range(2, most + 1):
+        same = at[:-p] == at[p:]
+        ends = np.flatnonzero(np.append(~same, True))
+        place = np.arange(len(same))
+        left[p, : len(same)] = ends[np.searchsorted(ends, place)] - place
+    long = left >= (times - 1) * np.arange(most + 1)[:, None]
+    long[:2] = False
+    i = 0
+    for i_next in np.flatnonzero(long.any(0)).tolist():
+        if i_next < i:
+            continue
+        for p in np.flatnonzero(long[:, i_next]).tolist():
+            if plain[i_next : i_next + p].any():
+                n = int(left[p, i_next]) // p + 1
+                yield i_next, p, n
+                i = i_next + p * n
+                break
+
+
 def cyclic_floods(df: DataFrame, key: str, text: str, times: int = 6, most: int = 8) -> DataFrame:
     """Word cycles of 2 to most words that run so often, the shortest period first: key, start, period, n. Cycles of rules and marks alone are none.
 
@@ -87,32 +111,9 @@ def cyclic_floods(df: DataFrame, key: str, text: str, times: int = 6, most: int
     """
     kind = df.schema[key].dataType.simpleString()
 
-    def floods(t: str) -> Iterator[tuple[int, int, int]]:
-        words = t.split()
-        _, at = np.unique(np.array(words, dtype=object), return_inverse=True) if words else ((), np.zeros(0, int))
-        plain = np.array([re.fullmatch(BENIGN, w) is None for w in words], bool)
-        left = np.zeros((most + 1, len(words) + 1), np.int64)  # by period and place: words from here on that equal the one a period later
-        for p in range(2, most + 1):
-            same = at[:-p] == at[p:]
-            ends = np.flatnonzero(np.append(~same, True))
-            place = np.arange(len(same))
-            left[p, : len(same)] = ends[np.searchsorted(ends, place)] - place
-        long = left >= (times - 1) * np.arange(most + 1)[:, None]
-        long[:2] = False
-        i = 0
-        for i_next in np.flatnonzero(long.any(0)).tolist():
-            if i_next < i:
-                continue
-            for p in np.flatnonzero(long[:, i_next]).tolist():
-                if plain[i_next : i_next + p].any():
-                    n = int(left[p, i_next]) // p + 1
-                    yield i_next, p, n
-                    i = i_next + p * n
-                    break
-
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(k, *f) for k, t in zip(b["k"], b["t"]) for f in floods(t or "")], columns=["k", "start", "period", "n"])
+            yield pd.DataFrame([(k, *f) for k, t in zip(b["k"], b["t"]) for f in word_cycles((t or "").split(), times, most)], columns=["k", "start", "period", "n"])
 
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, start int, period int, n int").withColumnRenamed("k", key)
 
@@ -132,6 +133,52 @@ def without_line_loops(df: DataFrame, key: str, text: str, chars: int = 20, time
     return df.select(key, F.array_join(F.aggregate(both, start, step, close), "\n").alias(text))
 
 
+def without_loops(text: str, times: int = 6, lines: int = 4, chars: int = 20) -> tuple[str, int]:
+    """The text with the first cycle of each loop of words and the first line of each run of lines, and the characters cut.
+
+    What is left of a further, broken cycle goes too. A table that the cut leaves open is closed. Cuts don't overlap and are made from the end.
+    """
+    cuts: list[tuple[int, int]] = []
+    at = 0
+    run: list[tuple[int, int, str]] = []
+    for line in [*text.split("\n"), None]:
+        bare = line.strip(" \t\r") if line is not None else None
+        if run and run[-1][2] != bare:
+            if len(run) >= lines and len(run[0][2]) >= chars:
+                cuts.append((run[0][1], run[-1][1]))
+            run = []
+        if line is not None:
+            run.append((at, at + len(line), bare))
+            at += len(line) + 1
+    spans = [m.span() for m in re.finditer(r"\S+", text)]
+    words = [text[a:b] for a, b in spans]
+    for i, period, n in word_cycles(words, times):
+        end = i + period * n
+        while end < len(words) and words[end] == words[end - period] and end - i - period * n < period:
+            end += 1
+        cut = (spans[i + period - 1][1], spans[end - 1][1])
+        if all(cut[1] <= a or cut[0] >= b for a, b in cuts):
+            cuts.append(cut)
+    out, gone = text, 0
+    for a, b in sorted(cuts, reverse=True):
+        piece = out[a:b]
+        close = "</table>" * max(0, piece.lower().count("</table>") - piece.lower().count("<table"))
+        out, gone = out[:a] + close + out[b:], gone + b - a
+    return out, gone
+
+
+def excised(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, text without its loops, n_cut (see without_loops); null stays null."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            done = [(None, 0) if t is None else without_loops(t) for t in b["t"]]
+            yield pd.DataFrame({"k": b["k"], "t": [x for x, _ in done], "n_cut": [n for _, n in done]})
+
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, t string, n_cut bigint").select(F.col("k").alias(key), F.col("t").alias(text), "n_cut")
+
+
 def duplicates(df: DataFrame, key: str, text: str, group: str) -> DataFrame:
     """Groups of rows with one text: hash, n, n_groups, least key, kind (one or several groups). Null and blank texts are no duplicates."""
     own = df.filter(F.trim(text) != "").select(F.sha2(text, 256).alias("hash"), key, group)

@@ -10,7 +10,7 @@ from kosha.functions import text as tx
 from kosha.operators import dictionaries, quality
 from kosha.plans.registry import query
 from kosha.plans.retrieval_queries import chunks
-from kosha.session import literal_rows, table
+from kosha.session import table
 from kosha.sources import tables
 
 _ROWS = r"<tr><td>([0-9]{8})</td><td>([^<]*)</td><td>([0-9]+\([0-9-]+\))</td></tr>"
@@ -71,12 +71,10 @@ def people_dictionary(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fuzzy_faculties(spark: SparkSession, d: str) -> DataFrame:
-    """The faculty whose name is most like each distinct tag, from a ratio of 0.82; the list has a fixed size."""
-    names = literal_rows(table(spark, d, "faculties").select("faculty_id", "canonical"))
+    """The faculty whose name is most like each distinct tag, from a ratio of 0.82."""
+    names = [(r[0], r[1]) for r in table(spark, d, "faculties").select("faculty_id", "canonical").collect()]
     tags = table(spark, d, "resolutions").select(F.explode("faculties").alias("tag")).filter("tag is not null").groupBy("tag").agg(F.count("*").alias("n"))
-    each = tags.select("tag", "n", F.explode(names).alias("f")).withColumn("ratio", F.round(tx.fuzzy_ratio(F.col("tag"), F.col("f.canonical")), 6))
-    best = each.groupBy("tag", "n").agg(F.max_by(F.struct("f.faculty_id", "ratio"), F.struct("ratio", -F.col("f.faculty_id"))).alias("b"))
-    return best.filter("b.ratio >= 0.82").select("tag", "n", "b.faculty_id", "b.ratio")
+    return tags.join(dictionaries.nearest(tags.select("tag"), "tag", names).withColumnRenamed("ref_id", "faculty_id"), "tag")
 
 
 @query("WITH c AS (SELECT chunk_id, resolution_id, first(text) AS text, min(page) AS page FROM chunks GROUP BY ALL) SELECT split_part(resolution_id, '/', 1) AS year, count(*) AS n_chunks, count(DISTINCT resolution_id) AS n_docs, count_if(page IS NULL) AS without_page, round(avg(length(text)), 6) AS mean, round(quantile_cont(length(text)::DOUBLE, 0.5), 6) AS p50, round(quantile_cont(length(text)::DOUBLE, 0.99), 6) AS p99 FROM c GROUP BY 1")

@@ -24,8 +24,8 @@ def index_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _postings(spark: SparkSession, d: str) -> DataFrame:
-    """Weighted postings, sorted by term, so that a scan for a query's terms passes over the rest."""
-    return built(spark, "postings", d, lambda: lexical.weighted_postings(index_chunks(spark, d), "chunk_id", "text").repartition("term").sortWithinPartitions("term"))
+    """Weighted postings in ranges of term and chunk, so that a scan for a query's terms passes over the rest and a term that half of the chunks hold is several parts."""
+    return built(spark, "postings", d, lambda: lexical.weighted_postings(index_chunks(spark, d), "chunk_id", "text").repartitionByRange("term", "chunk_id").sortWithinPartitions("term"))
 
 
 def _bm25(spark: SparkSession, d: str, k: int, docs: DataFrame | None = None) -> DataFrame:

@@ -95,7 +95,7 @@ def spelling_blocks(spark: SparkSession, d: str) -> DataFrame:
 def fuzzy_titles(spark: SparkSession, d: str) -> DataFrame:
     """Titles of one meeting against their own agenda text, by the longest common blocks."""
     r = table(spark, d, "resolutions").filter("title is not null")
-    return r.select("res_no", F.round(tx.fuzzy_ratio(F.col("title"), tx.subject_line(F.col("raw_text"))), 6).alias("ratio"))
+    return r.select("res_no", F.round(tx.fuzzy_ratio(F.col("title"), tx.subject_line(F.col("raw_text"))), 6).alias("ratio"), F.length(tx.longest_block(F.col("title"), tx.subject_line(F.col("raw_text")))).alias("longest"))
 
 
 @query(r"""

@@ -111,7 +111,7 @@ def build(docs: DataFrame, root: str, chunker: dict, embedder: dict) -> Index:
     rows.write.mode("overwrite").parquet(f"{path}/text")
     text = spark.read.parquet(f"{path}/text")
     embed(text, "chunk_id", "text", embedder).withColumnRenamed("v", "vector").write.mode("overwrite").parquet(f"{path}/vectors")
-    lexical.weighted_postings(text, "chunk_id", "text").repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    lexical.weighted_postings(text, "chunk_id", "text").repartitionByRange("term", "chunk_id").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
     manifest = {"chunker": chunker, "embedder": embedder, "n_docs": docs.count(), "n_chunks": text.count(), "docset": set_hash(docs, ["resolution_id"]), "ids": set_hash(text, ["chunk_id"]), "seconds": round(time.time() - began, 3), "stamp": time.time_ns()}
     _write(spark, f"{path}/{MANIFEST}", json.dumps(manifest, ensure_ascii=False))
     return load(spark, path)
@@ -152,6 +152,8 @@ def resolve(known: list[tuple[str, dict]], chunker: str, embedder: str, dim: int
 
 #: Retrievers whose rows come from a store of their own, to which a filter in this process can't be applied.
 EXTERNAL = ("served",)
+#: Depth at which the arms of a served index are fused.
+SERVED_DEPTH = 200
 
 
 def guard(how: str, columns: list[str], wanted: dict[str, list[str]] | None) -> None:
@@ -170,6 +172,11 @@ def retrieve(index: Index, queries: DataFrame, how: str = "hybrid", k: int = 10,
     filtered chunks. entity_lookup gives the first chunk of every document that matches, whatever k, and nothing without a filter.
     """
     guard(how, tags.columns if tags is not None else [], wanted)
+    if how == "served":
+        # the stored arms alone, deep, of an index that says what it is made of
+        if not {"docset", "ids", "embedder"} <= set(index.manifest):
+            raise ValueError(f"{index.path} does not say what it is made of")
+        return retrieve(index, queries, "hybrid", k, depth=max(SERVED_DEPTH, k))
     spark, chunks = queries.sparkSession, index.chunks
     if wanted:
         chunks = chunks.join(tags.filter(entities.entity_filter(wanted)).select("resolution_id"), "resolution_id", "left_semi")

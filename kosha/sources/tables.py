@@ -25,7 +25,7 @@ def read_corpus(spark: SparkSession, root: str, limit: int | None = None) -> Dat
     """source_path, raw_text, year, session, title of the Markdown files below root; limit only for a development subset.
 
     A meeting's manifest.json (a list of file, title, url) overrides the title; a missing or broken one is
-    empty. A byte order mark is dropped. Files of no bytes are skipped by the scan.
+    empty. A link stands in the manifest, else in the file's own _LINK.txt. A byte order mark is dropped. Files of no bytes are skipped by the scan.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
     own = files.withColumn("source_path", F.url_decode(F.regexp_replace("path", r"\+", "%2B")))
@@ -38,7 +38,9 @@ def read_corpus(spark: SparkSession, root: str, limit: int | None = None) -> Dat
     listed = F.from_json(F.decode("content", "UTF-8"), "array<struct<file:string,title:string,url:string>>", {"mode": "PERMISSIVE"})
     names = found.select(F.regexp_extract(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"([0-9]{4}/ครั้งที่ [0-9]+s?)/manifest.json$", 1).alias("meeting"), F.explode(listed).alias("m")).select("meeting", "m.*").groupBy("meeting", "file").agg(F.min("title").alias("listed"), F.min("url").alias("source_url"))
     keyed = docs.withColumn("meeting", F.concat("year", F.lit("/ครั้งที่ "), "session")).withColumn("file", F.concat("stem", F.lit(".md")))
-    return keyed.join(names, ["meeting", "file"], "left").select("source_path", "raw_text", "source_url", "year", "session", F.coalesce("listed", "stem").alias("title"))
+    links = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*_LINK.txt").load(root)
+    links = links.select(F.regexp_extract(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"([0-9]{4}/ครั้งที่ [0-9]+s?)/(?:.+)_LINK.txt$", 1).alias("meeting"), F.concat(F.regexp_extract(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"([^/]+)_LINK.txt$", 1), F.lit(".md")).alias("file"), F.trim(F.regexp_replace(F.decode("content", "UTF-8"), r"\A\uFEFF|\s+\z", "")).alias("link"))
+    return keyed.join(names, ["meeting", "file"], "left").join(links, ["meeting", "file"], "left").select("source_path", "raw_text", F.coalesce("source_url", "link").alias("source_url"), "year", "session", F.coalesce("listed", "stem").alias("title"))
 
 
 def save_index(chunks: DataFrame, path: str, buckets: int | None = None) -> None:
@@ -87,3 +89,28 @@ def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
     own = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
     return parts.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+
+
+def read_gold(spark: SparkSession, path: str) -> DataFrame:
+    """query_id, query, entity_type, entity, resolution_id: a hand-made list of queries with their relevant ids, JSON or YAML, numbered in order; a row per id, one without an id where there is none."""
+    from pathlib import Path
+
+    text = Path(path).read_text(encoding="utf-8-sig")
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+
+        listed = yaml.safe_load(text)
+    else:
+        import json
+
+        listed = json.loads(text)
+    rows = [(i, x["query"], x.get("entity_type"), x.get("entity"), r) for i, x in enumerate(listed or ()) for r in x.get("relevant_resolution_ids") or [None]]
+    return spark.createDataFrame(rows, "query_id int, query string, entity_type string, entity string, resolution_id string")
+
+
+def save_vector_documents(docs: DataFrame, path: str, key: str, vectors: str) -> None:
+    """Documents of several vectors as a column of nested arrays; refused if one is empty or of mixed sizes."""
+    bad = docs.filter((F.coalesce(F.size(vectors), F.lit(0)) <= 0) | (F.size(F.array_distinct(F.transform(vectors, lambda v: F.size(v)))) > 1)).select(key).limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0][0]!r} has no vectors, or vectors of several sizes")
+    docs.select(key, vectors).write.mode("errorifexists").parquet(path)

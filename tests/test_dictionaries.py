@@ -129,3 +129,10 @@ def test_models(spark):
     words = spark.createDataFrame([(["a", ",", "b"],), ([",", "."],), ([],)], "w array<string>")
     assert [r[0] for r in words.select(dense.document_tokens(F.col("w"))).collect()] == [["a", "b"], [","], []]
     assert [len(r[0]) for r in words.select(dense.query_tokens(F.col("w"), 4)).collect()] == [4, 4, 4]
+
+
+def test_nearest(spark):
+    names = [(1, "คณะวิทยาการสมุทร"), (2, "คณะวิทยาการสมุทธ"), (3, "วิทยาลัยการบิน")]
+    df = spark.createDataFrame([("คณะวิทยาการสมุทร",), ("คณะวิทยาการสมุท",), ("x",), ("",)], "t string")
+    got = {r["t"]: (r["ref_id"], r["ratio"]) for r in dc.nearest(df, "t", names).collect()}
+    assert got["คณะวิทยาการสมุทร"] == (1, 1.0) and got["คณะวิทยาการสมุท"][0] == 1 and len(got) == 2

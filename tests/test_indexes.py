@@ -30,7 +30,7 @@ def test_built_once_and_found(spark, docs, tmp_path):
     q = spark.createDataFrame([(1, "sea"), (2, "river"), (3, "")], "query_id int, query string")
     got = {(r["query_id"], r["rank"]): r["chunk_id"] for r in indexes.retrieve(one, q, "bm25", 2).collect()}
     assert got == {(1, 1): "a:0", (1, 2): "b:0", (2, 1): "b:0", (2, 2): "a:0", (3, 1): "a:0", (3, 2): "b:0"}
-    for how in ("dense", "hybrid"):
+    for how in ("dense", "hybrid", "served"):
         assert {r["chunk_id"] for r in indexes.retrieve(one, q, how, 1).filter("query_id = 2").collect()} == {"b:0"}
     tags = spark.createDataFrame([("a", ["x"]), ("b", ["y"]), ("c", None)], "resolution_id string, faculties array<string>")
     assert [r["chunk_id"] for r in indexes.retrieve(one, q.filter("query_id = 1"), "bm25", 5, {"faculties": ["y"]}, tags).collect()] == ["b:0"]

@@ -146,3 +146,27 @@ def test_experiment(spark):
     r.add("a", 1)
     with pytest.raises(ValueError):
         r.add("a", 2)
+
+
+def test_loops_are_cut():
+    loop = "begin <table><tr> " + "a b c " * 8 + "a b end"
+    got, n = quality.without_loops(loop)
+    assert got == "begin <table><tr> a b c end" and n == len(loop) - len(got)
+    lines = "x\n" + "the same long line of text\n" * 5 + "y"
+    assert quality.without_loops(lines) == ("x\nthe same long line of text\ny", len(lines) - len("x\nthe same long line of text\ny"))
+    table = "<table> " + "p q " * 7 + "</table> " * 0 + "z"
+    assert quality.without_loops(table)[0] == "<table> p q z"
+    open_ = "<table> " + "p q</table> " * 7 + "z"
+    assert quality.without_loops(open_)[0].count("</table>") >= 1 and quality.without_loops("")[0] == ""
+
+
+def test_recursive_is_linear():
+    import time
+
+    began = time.time()
+    out = ch.recursive("a" * 300_000, 512, 50)
+    assert time.time() - began < 5 and all(len(x) <= 512 for x in out)
+    assert ch.recursive("ab\n\ncd ef", 5, 0) == ["ab", "cd ef"] and ch.recursive("", 5, 0) == []
+    words = " ".join(f"w{i}" for i in range(400))
+    got = ch.recursive(words, 60, 20)
+    assert all(len(x) <= 60 for x in got) and all(a.split()[-1] in b.split() for a, b in zip(got, got[1:]))

@@ -12,10 +12,11 @@ def test_corpus(spark, tmp_path):
     d.mkdir(parents=True)
     (d / "เรื่อง+ก.md").write_text("﻿# Document: x\nbody", encoding="utf-8")
     (d / "b.md").write_text("x", encoding="utf-8")
+    (d / "เรื่อง+ก_LINK.txt").write_text("https://x/1\n", encoding="utf-8")
     (tmp_path / "other.md").write_text("x", encoding="utf-8")
     (d / "manifest.json").write_text(json.dumps([{"file": "b.md", "title": "B", "url": "u"}]), encoding="utf-8")
     rows = {r["title"]: r for r in tables.read_corpus(spark, str(tmp_path)).collect()}
-    assert set(rows) == {"เรื่อง+ก", "B"} and rows["เรื่อง+ก"]["raw_text"].startswith("# Document") and rows["B"]["source_url"] == "u" and rows["B"]["session"] == "3s"
+    assert set(rows) == {"เรื่อง+ก", "B"} and rows["เรื่อง+ก"]["raw_text"].startswith("# Document") and rows["B"]["source_url"] == "u" and rows["B"]["session"] == "3s" and rows["เรื่อง+ก"]["source_url"] == "https://x/1"
 
 
 def test_index_and_results(spark, tmp_path):
@@ -56,3 +57,14 @@ def test_stream(spark, tmp_path):
     write([(2, "p", 2, ["f"], "late", "2025-01-01 01:00:00"), (3, "p", 3, ["f"], "c", "2025-01-01 02:00:00")])
     go()
     assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "out")).select("staging_no").collect()) == [1, 2, 3]
+
+
+def test_gold_and_vectors(spark, tmp_path):
+    (tmp_path / "g.json").write_text(json.dumps([{"query": "a", "entity_type": "t", "relevant_resolution_ids": ["x", "y"]}, {"query": "b"}]), encoding="utf-8")
+    assert [(r["query_id"], r["resolution_id"]) for r in tables.read_gold(spark, str(tmp_path / "g.json")).orderBy("query_id", "resolution_id").collect()] == [(0, "x"), (0, "y"), (1, None)]
+    docs = spark.createDataFrame([(1, [[1.0, 0.0]]), (2, [[1.0, 0.0], [0.0, 1.0]])], "k int, v array<array<double>>")
+    tables.save_vector_documents(docs, str(tmp_path / "v"), "k", "v")
+    assert spark.read.parquet(str(tmp_path / "v")).count() == 2
+    for bad in ([(1, [])], [(1, [[1.0], [1.0, 2.0]])], [(1, None)]):
+        with pytest.raises(ValueError):
+            tables.save_vector_documents(spark.createDataFrame(bad, "k int, v array<array<double>>"), str(tmp_path / "w"), "k", "v")
