@@ -2,7 +2,8 @@
 
 A multi-pattern automaton over the names in the lists finds the mentions embedded in a value, and the
 longest ones that don't overlap win. A value whose mentions leave the meaning open goes to token-set
-similarity (tokens: pairs of neighbouring characters), with the edit distance deciding among the nearest.
+similarity (tokens: pairs of neighbouring characters), with the edit distance deciding among the nearest: the most
+similar names of all, and of every entry that is about as similar its most similar one.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ REMARKS = ("สถาบันเทคโนโลยีธาราวดี",
 PROGRAM_WORD = "หลักสูตร"
 #: Share of edits against the longer string from which a value means no entry.
 MOST_EDITS = 0.34
-#: Nearest names by token sets that the edit distance is taken to.
-NEAREST = 12
+#: Nearest names by token sets that the edit distance is taken to, beside the nearest one of every entry that is about as similar; least similarity of token sets.
+NEAREST, LEAST, CLOSE = 12, 0.3, 0.1
 
 _IGNORED = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤﻿︀-️]")
 _TONE_FIRST = re.compile("([่-๋])([ัิ-ู])")
@@ -79,10 +80,11 @@ def edits(a: str, b: str) -> int:
 class Names:
     """Ways to write each entry, with the entry meant (0: a thing that is no entry)."""
 
-    def __init__(self, forms: dict[str, int], noise: Sequence[str]) -> None:
+    def __init__(self, forms: dict[str, int], noise: Sequence[str], part: float = 0.0) -> None:
+        """part: share of a value that a mention must have to decide against a rest that means nothing; 0 where a mention can't be half a name."""
         import ahocorasick
 
-        self.forms = forms
+        self.forms, self.part = forms, part
         self.noise = {compact(x) for x in noise} - set(forms) - {""}
         self.auto = ahocorasick.Automaton()
         for w in [*forms, *self.noise]:
@@ -96,6 +98,8 @@ class Names:
         for i, w in enumerate(self.list):
             self.matrix[i, [self.at[g] for g in self.tokens(w)]] = 1
         self.sizes = self.matrix.sum(1)
+        self.by_entry = np.argsort(self.ids, kind="stable")
+        self.starts = np.flatnonzero(np.concatenate([[True], np.diff(self.ids[self.by_entry]) != 0])) if len(self.ids) else np.zeros(0, np.int64)
 
     @staticmethod
     def tokens(w: str) -> set[str]:
@@ -118,9 +122,11 @@ class Names:
         if not hits:
             return 0, 1.0
         score = 2 * self.matrix[:, hits].sum(1) / (self.sizes + len(own))
-        near = np.argsort(-score, kind="stable")[:NEAREST]
-        if score[near[0]] < 0.3:
+        near = set(np.argsort(-score, kind="stable")[:NEAREST].tolist())
+        if score.max() < LEAST:
             return 0, 1.0
+        grouped, ends = score[self.by_entry], [*self.starts[1:].tolist(), len(score)]
+        near.update(int(self.by_entry[a + int(grouped[a:b].argmax())]) for a, b, top in zip(self.starts.tolist(), ends, np.maximum.reduceat(grouped, self.starts).tolist()) if top >= max(LEAST, score.max() - CLOSE))
         best = min((edits(self.list[i], text) / max(len(text), len(self.list[i])), -float(score[i]), int(i)) for i in near)
         return int(self.ids[best[2]]), best[0]
 
@@ -154,7 +160,7 @@ class Names:
             return min(near)[1]
         if entries:
             longest = max(entries, key=len)
-            if len(longest) >= 0.5 * len(text):
+            if len(longest) >= self.part * len(text):
                 return self.forms[longest]
         return 0
 
@@ -193,7 +199,8 @@ def program_names(rows: Sequence[dict], units: Sequence[str]) -> Names:
         ids = [i for (_, x), i in held.items() if x == f]
         for link in (*LINKS, ""):
             forms.setdefault(compact(link + f), ids[0] if len(ids) == 1 else 0)
-    return Names(forms, [*REMARKS, *units])
+    # a field may stand beside a degree that no list knows: then it must be most of the value
+    return Names(forms, [*REMARKS, *units], 0.5)
 
 
 _MADE: dict = {}

@@ -81,7 +81,7 @@ _BEFORE = re.compile(rf"(?P<c>{_any(BEFORE_NAME)})[ :\n]*\Z")
 _AFTER = re.compile(rf"[ \n]*(?P<c>{_any(AFTER_NAME)}|[.,(（)）:;”\"])")
 #: Words that are no part of a name although they look like one.
 _NO_NAME = re.compile(rf"(?:{_any(('The', 'Please', 'Contact', 'Reply', 'Her', 'His', 'Send', 'For', 'Course', 'Order', 'Room', 'Unit', 'Subject', 'However', 'Meanwhile', 'After', 'On', 'In', 'At', 'By', 'An', 'Follow', 'See', 'Asset', 'Faculty', 'College', 'Institute', 'Office', 'Campus', 'University', 'Committee', 'Council', 'Department', 'Building', 'Hall', 'Centre', 'Center', 'Library', 'Central', 'Registry', 'Street', 'Road', 'Lane', 'Close', 'Old', 'Pier'))})\b|(?:คณะ|ฝ่าย|กอง|สำนัก|ศูนย์|หน่วย|กลุ่มงาน|สภา|ที่ประชุม|กรรมการ|ประธาน|ผู้|หัวหน้า|รองอธิการ|งาน|ระบบ|ราย|แผน|หลักสูตร|วิชา|การ|ความ|ทุน|โครง|อาคาร|เอกสาร|ข้อ|เกณฑ์|มาตรฐาน|ผล|ร่าง|ค่า|บันทึก|สัญญา|เรือ(?!ง)|เครื่อง|พื้นที่|หอพัก|กิจกรรม|ภาระ|ตาราง|แบบ|ชุด|คู่มือ|ระเบียบการ|ประกาศ|สิทธิ|เส้นทาง|ให้|ได้|และ|ที่|ใน|จาก|ตาม|โดย|เพื่อ|เมื่อ|ด้วย|สำหรับ|พร้อม|ซึ่ง|ร่วม|จำนวน|เวลา|เลข|รหัส|บัตร|หนังสือ|โทร|อีเมล|ทั้งนี้|อนึ่ง|ต่อมา|เบื้องต้น|อย่างไร|นอกจาก|ภายใน|ยัง|เป็น|แจ้ง|ขอ)")
-_ODD = re.compile(r"[^\n -~ก-๎฿๏-๛一-鿿぀-ヿऀ-ॿ、。「」！，？：（）“”–—]")
+_ODD = re.compile(r"[^\n -~ก-๎฿๏๚๛一-鿿぀-ヿऀ-ॿ、。「」！，？：（）“”–—]")
 
 
 @lru_cache(1)

@@ -79,6 +79,14 @@ def test_programs(value, want):
     assert mapping.program_names(PROGRAMS, ["คณะศิลป์"]).meant(value) == want
 
 
+def test_longest_mention_decides_whatever_stands_beside_it():
+    rows = [{"faculty_id": 1, "canonical": "คณะเกษตรแม่นยำ", "prefix_type": "คณะ", "aliases": None}, {"faculty_id": 2, "canonical": "คณะเกษตรแม่นยำและน้ำ", "prefix_type": "คณะ", "aliases": ["Faculty of Water"]}]
+    names = mapping.faculty_names(rows)
+    assert names.meant("ส่งต่อให้หน่วยงานปลายทางพิจารณาตามระเบียบที่กำหนดไว้ คือ คณะเกษตรแม่นยำ") == 1
+    assert names.meant("to be sent on without delay to the Faculty of Water for all further steps") == 2
+    assert names.meant("คณะเกษตรแม่นยำและน้ำ ชั้นสอง") == 2 and names.meant("คณะเกษตรแม่นยัมและน้ำ") == 2 and names.meant("กองคลัง") == 0
+
+
 def test_map_values(spark):
     faculties = [{"faculty_id": 5, "canonical": "คณะประมง", "prefix_type": "คณะ", "aliases": None}]
     df = spark.createDataFrame([(1, ["คณะ ประมง", None, "ประมง", "x"], 0), (2, None, 0), (3, [], 0)], "res_no int, f array<string>, item int")
@@ -499,6 +507,13 @@ def test_masking(spark):
     assert rows[1]["masked"] is None and rows[2]["masked"] == ""
 
 
+def test_digits_of_other_scripts():
+    w = pii.trained()
+    for text in ("ติดต่อ นายวิพล บุญโสภิต ที่หมายเลข ๐๖๐-๐๐๐-๘๔๐๘", "โทรศัพท์ ๐ ๒๐๐๐ ๔๕๐๐ ต่อ ๒๘๗"):
+        assert [k for _, _, k in pii.passages(text, w)][-1] == "phone"
+    assert not [k for _, _, k in pii.passages("ครุภัณฑ์หมายเลข ๗๔๕๖๑-๑๒๖-๙๔๓ หนังสืออ้างอิง ISBN 978-0-00-๖๘๙๕๖-๓", w)]
+
+
 def test_nothing_is_lost():
     assert unicodedata.normalize("NFC", pii.cleaned("plain ไทย")[0]) == "plain ไทย"
 
