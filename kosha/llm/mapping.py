@@ -127,9 +127,16 @@ class Names:
             return 0, 1.0
         grouped, ends = score[self.by_entry], [*self.starts[1:].tolist(), len(score)]
         near.update(int(self.by_entry[a + int(grouped[a:b].argmax())]) for a, b, top in zip(self.starts.tolist(), ends, np.maximum.reduceat(grouped, self.starts).tolist()) if top >= max(LEAST, score.max() - CLOSE))
-        best = min((edits(self.list[i], text) / max(len(text), len(self.list[i])), -float(score[i]), int(i)) for i in near)
+        best = min((self.distance(self.list[i], text), -float(score[i]), int(i)) for i in near)
         return int(self.ids[best[2]]), best[0]
 
+    @staticmethod
+    def distance(name: str, text: str) -> float:
+        """Share of edits against the longer one; of names that name a degree and a field the field alone must be half right too, as degrees are long and much alike."""
+        share = edits(name, text) / max(len(text), len(name))
+        a, b = name.partition(LINKS[0])[2], text.partition(LINKS[0])[2]
+        return 1.0 if a and b and share and 2 * edits(a, b) > max(len(a), len(b)) else share
+
     def meant(self, value: str) -> int:
         """The entry that the value means, or 0."""
         text = compact(value)
