@@ -1,6 +1,7 @@
 """Small cases and brute-force comparisons of the text operators."""
 
 import itertools
+import math
 import random
 import time
 import unicodedata
@@ -488,6 +489,70 @@ def test_held_out_accuracy():
     assert right / (right + missed) > 0.97 and right / (right + wrong) > 0.97
 
 
+#: Written by hand, in other words than those the weights are fitted to.
+BY_HAND = [
+("Kindly forward the signed copy to Ms. Helena Castor at helena.castor@archive.example before noon.",["name:Helena Castor","email:helena.castor@archive.example"]),
+("If in doubt, ring Dr. Tomas Verhoeven on +44 20 7946 0958.",["name:Tomas Verhoeven","phone:+44 20 7946 0958"]),
+("The parcel goes to 17 Juniper Lane, North Haven 40211.",["address:17 Juniper Lane, North Haven 40211"]),
+("Mr Okonkwo said the file of Mrs. Lucia Ferrante is complete.",["name:Okonkwo","name:Lucia Ferrante"]),
+("Her passport AB 1234567 expired last year.",["id_number:AB 1234567"]),
+("Student ID 61234567 was struck off the list, while course 61234567 stays.",["id_number:61234567"]),
+("Signed by Prof. Ingrid Halvorsen, fax 02-345-6789.",["name:Ingrid Halvorsen","phone:02-345-6789"]),
+("Write to j_doe (at) mail (dot) example for details.",["email:j_doe (at) mail (dot) example"]),
+("Order no. 4102938475610 was shipped to room H-732.",[]),
+("The Central Registry and the Faculty of Ocean Studies met on 12 March.",[]),
+("กรุณาส่งสำเนาให้ นางสาวพิมพ์ชนก ศรีสุวรรณ ภายในวันศุกร์",["name:พิมพ์ชนก ศรีสุวรรณ"]),
+("โปรดโทร. 081-234-5678 หรือเขียนถึง somchai.k@univ.example",["phone:081-234-5678","email:somchai.k@univ.example"]),
+("นายธนพล ใจดี ลาออกจากตำแหน่งเมื่อวานนี้",["name:ธนพล ใจดี"]),
+("ที่อยู่ปัจจุบันคือ 99/12 หมู่ 4 ต.บางพลี อ.บางพลี จ.สมุทรปราการ 10540",["address:99/12 หมู่ 4 ต.บางพลี อ.บางพลี จ.สมุทรปราการ 10540"]),
+("บัตรประชาชนเลขที่ 1-2345-67890-12-3 ใช้ยืนยันตัวตน",["id_number:1-2345-67890-12-3"]),
+("ที่ประชุมขอบคุณ ผศ.ดร.กมลชนก วัฒนะ ที่ให้ข้อมูล",["name:กมลชนก วัฒนะ"]),
+("ครุภัณฑ์หมายเลข 12345-678-901 ชำรุด",[]),
+("คณะกรรมการพิจารณาแผนประกันคุณภาพ",[]),
+("请与申请人林若川联系，电话02-2222-3333。",["name:林若川","phone:02-2222-3333"]),
+("連絡先は青野海斗、電話03-1234-5678です。",["name:青野海斗","phone:03-1234-5678"]),
+("Dear Mr. Anselm Brody, your appeal was heard.",["name:Anselm Brody"]),
+("Please ask Khun Malee about the key.",["name:Malee"]),
+("Reach us at office line 053-123456 or drop by.",["phone:053-123456"]),
+("The minutes were taken by Assoc. Prof. Dr. Narin K. Vongsa.",["name:Narin K. Vongsa"]),
+]
+
+
+def test_sentences_written_by_hand():
+    weights = pii.trained()
+    right = missed = wrong = 0
+    for text, want in BY_HAND:
+        got = {f"{k}:{text[s:e]}" for s, e, k in pii.passages(text, weights)}
+        right, missed, wrong = right + len(got & set(want)), missed + len(set(want) - got), wrong + len(got - set(want))
+    assert right / (right + missed) > 0.9 and right / (right + wrong) > 0.9
+
+
+def chains(spans):
+    free = lambda c: all(spans[a][1] <= spans[b][0] for a, b in itertools.pairwise(c))
+    return [c for n in range(len(spans) + 1) for c in itertools.combinations(range(len(spans)), n) if free(c)]
+
+
+def test_neighbours_score_together():
+    rng = random.Random(8)
+    for _ in range(100):
+        spans = sorted({(s, s + rng.randint(1, 9), rng.choice(pii.KINDS)) for s in (rng.randint(0, 160) for _ in range(7))}, key=lambda x: (x[1], x[0]))
+        scores = [rng.uniform(-2, 2) for _ in spans]
+        weights = {f"pair|{a}>{b}": rng.uniform(-2, 2) for a in pii.KINDS for b in pii.KINDS}
+        value = lambda c: sum(scores[i] for i in c) + sum(weights.get(pii.pair_feature(spans[a], spans[b]), 0.0) for a, b in itertools.pairwise(c))
+        every = chains(spans)
+        got = pii.best(spans, scores, weights)
+        assert value(got) == pytest.approx(max(map(value, every)))
+        z = sum(math.exp(value(c)) for c in every)
+        p, expected = pii._marginals(spans, scores, weights)
+        assert p == pytest.approx([sum(math.exp(value(c)) for c in every if i in c) / z for i in range(len(spans))])
+        want: dict = {}
+        for c in every:
+            for a, b in itertools.pairwise(c):
+                if f := pii.pair_feature(spans[a], spans[b]):
+                    want[f] = want.get(f, 0.0) + math.exp(value(c)) / z
+        assert {k: v for k, v in expected.items() if v > 1e-12} == pytest.approx({k: v for k, v in want.items() if v > 1e-12})
+
+
 def test_viterbi_is_the_best_choice():
     rng = random.Random(4)
     for _ in range(200):
