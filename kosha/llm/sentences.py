@@ -22,16 +22,20 @@ ABBREVIATIONS = (
     "e.g", "i.e", "cf", "vs", "viz", "approx", "No", "Nos", "Fig", "Figs", "Sec", "Secs", "Ch", "Vol", "Art", "Eq", "Ref", "pp", "p", "Dr", "Mr", "Mrs", "Ms", "Prof", "Assoc", "Asst", "St", "Rd", "Ave", "Gen", "Hon", "Rev",
     "Jan", "Feb", "Mar", "Apr", "Jun", "Jul", "Aug", "Sep", "Sept", "Oct", "Nov", "Dec", "B.E", "A.D", "डॉ",
 )
-#: Words that open a Thai sentence and are followed by its subject after a space.
+#: Words that open a Thai sentence, of prose as of minutes; its subject may follow after a space.
 CONNECTIVES = (
     "อย่างไรก็ตาม", "นอกจากนี้", "ทั้งนี้", "อนึ่ง", "ต่อมา", "เบื้องต้น", "ด้วยเหตุนี้", "ดังนั้น", "ในการนี้", "ในวาระเดียวกัน", "ในที่สุด", "ในขณะเดียวกัน", "ในส่วนของงบประมาณ", "สำหรับประเด็นดังกล่าว",
+    "อย่างไรก็ดี", "กระนั้น", "ถึงกระนั้น", "แม้กระนั้น", "ในทางกลับกัน", "ในทางตรงกันข้าม", "ยิ่งไปกว่านั้น", "มิฉะนั้น", "ตัวอย่างเช่น", "โดยทั่วไป", "โดยปกติ", "ประการแรก", "ประการที่สอง", "ประการสุดท้าย", "สุดท้ายนี้", "กล่าวโดยสรุป", "ในเวลาต่อมา", "หลังจากนั้น", "เพราะฉะนั้น", "ปัจจุบัน", "ปัจจุบันนี้", "วันรุ่งขึ้น", "ในอดีต", "ในอนาคต", "น่าเสียดายที่",
     "สำหรับเรื่องนี้", "ภายหลังการอภิปราย", "ภายหลังการหารือ", "ภายหลัง", "จากนั้น", "อีกทั้ง", "ในโอกาสนี้", "โดยสรุป", "กล่าวคือ",
 )
-#: Beginnings of the names of persons and bodies that act in minutes: with one of them after a space a Thai sentence begins.
+#: Pronouns, and beginnings of the names of persons and bodies that act: with one of them after a space a Thai sentence begins.
 ACTORS = (
     "คณะ", "กรรมการ", "อนุกรรมการ", "ที่ประชุม", "ประธาน", "รองประธาน", "เลขานุการ", "ฝ่าย", "กอง", "สำนัก", "ศูนย์", "งาน", "กลุ่มงาน", "หน่วย(?!กิต)", "สภา", "อธิการบดี", "รองอธิการบดี", "ผู้", "หัวหน้า", "คณบดี", "รองคณบดี",
+    "ข้าพเจ้า", "ผม", "ดิฉัน", "ฉัน", "พวกเรา", "เรา(?!ะ)", "พวกเขา", "เขา(?!้)", "เธอ", "ท่าน", "มัน(?!ธ|ต)", "ชาวบ้าน", "ประชาชน", "รัฐบาล", "บริษัท", "โรงเรียน", "ครู(?!ช)", "แพทย์", "นักวิจัย", "ตำรวจ", "ชาวนา", "เด็ก",
     "ภาควิชา", "วิทยาลัย", "สถาบัน", "วิทยาเขต", "มหาวิทยาลัย", "ห้องสมุด", "นาย", "นาง", "อาจารย์", "นักศึกษา", "บัณฑิตวิทยาลัย", "สมาคม", "ตัวแทน", "เจ้าหน้าที่", "คู่ความร่วมมือ",
 )
+#: Particles that end a Thai sentence before a space.
+ENDINGS = ("ครับ", "ค่ะ", "คะ", "หรือไม่", "หรือเปล่า", "ไหม", "เถอะ")
 _UNSEEN = "[\u00ad\u200b-\u200d\u2060\ufeff]*"
 
 
@@ -52,6 +56,7 @@ _CLOSE = r"""[)\]"'”’»]"""
 _NEXT = rf"""(?=[ \n]+["'“‘(\[「『]?[A-ZÀ-Þ{_THAI}{_NAGARI}{_CJK}])"""
 _BOUNDARIES = (
     rf"(?<=[ \n])(?={_UNSEEN}{_OPENER})",
+    rf"(?<=(?:{'|'.join(ENDINGS)})[ \n])(?=[{_THAI}])",
     rf"(?<=[^{_THAI}{_NAGARI}{_UNSEEN[1:-2]} \n]{_UNSEEN[:-1]}{{0,2}}[.…]{_CLOSE}{{0,2}}){_NEXT}",
     rf"""(?<=[?!]{_CLOSE}{{0,2}})(?=[ \n]+["'“‘(\[「『]?[^ \na-z{SPACE}])""",
     rf"""(?<={QUOTED}["”’]{{1,2}}){_NEXT}""",

@@ -43,6 +43,30 @@ def test_sentences(spark, want):
     assert ends(spark, " ".join(want)) == want
 
 
+#: Written by hand, prose of other kinds than minutes; each inner list is one text, sentence by sentence.
+PROSE = [
+    ["เมื่อวานฝนตกหนักมากในตัวเมือง", "ชาวบ้านช่วยกันขนของขึ้นที่สูง", "ปัจจุบันน้ำลดลงแล้ว"],
+    ["วันนี้อากาศดีมากนะครับ", "ขอเชิญทุกท่านที่สวนหลังบ้าน"],
+    ["ผมเกิดที่เชียงใหม่", "เราย้ายมากรุงเทพเมื่อปีก่อน", "หลังจากนั้น ผมเริ่มทำงานที่ร้านหนังสือ"],
+    ["คุณจะไปด้วยกันหรือไม่", "ถ้าไปก็รอที่สถานี"],
+    ["นักวิจัยทดลองกับหนู 24 ตัว", "โดยทั่วไป ผลเป็นไปตามที่คาด", "อย่างไรก็ดี ยังต้องทดลองซ้ำ"],
+    ["The ship left at 6 a.m. with Capt. Ruiz aboard.", "Nobody knew why!", "Was it the storm?", "Perhaps."],
+    ["It cost $3.50 vs. $4.00 last year.", "See www.example.org/a.b for more.", 'She said "Stop. Now." and left.'],
+    ["昨日は雨だった。", "「行くの？」と彼は聞いた。", "私は首を振った！"],
+    ["我昨天去了书店。", "他问：“你看过吗？”", "我说没有。"],
+    ["मैं कल दिल्ली गया।", "क्या आप वहाँ थे?", "डॉ. शर्मा भी आए।"],
+]
+
+
+def test_prose_written_by_hand(spark):
+    right = missed = wrong = 0
+    for want in PROSE:
+        glue = "" if want[0][0] > "⺀" else " "
+        got = ends(spark, glue.join(want))
+        right, missed, wrong = right + len(set(got) & set(want)), missed + len(set(want) - set(got)), wrong + len(set(got) - set(want))
+    assert right / (right + missed) >= 0.9 and right / (right + wrong) >= 0.9, (right, missed, wrong)
+
+
 def test_sentence_places(spark):
     text = "# Document: a.\n\n(1) First one.\n(2) Second\nline here.\n\n<table><tr><td>A. B</td></tr></table>\n  \nLast"
     assert ends(spark, text) == ["(1) First one.", "(2) Second\nline here.", "Last"]
