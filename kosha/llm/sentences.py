@@ -39,24 +39,42 @@ ENDINGS = ("ครับ", "ค่ะ", "คะ", "หรือไม่", "ห
 _UNSEEN = "[\u00ad\u200b-\u200d\u2060\ufeff]*"
 
 
-def _loose(word: str) -> str:
-    """The word with invisible characters allowed between its letters, and in each of the ways to write it that look the same."""
-
-    def units(part: str) -> str:
-        ways = {"ำ": "(?:ำ|ํา)", "แ": "(?:แ|เเ)"}
-        return _UNSEEN.join(ways.get(u) or (f"(?:{u}|{u[::-1]})" if len(u) == 2 else u) for u in re.findall("[ัิ-ู][่-๋]|.", part))
-
-    head, _, tail = word.partition("(?!")
-    return units(head) + (f"(?!{_UNSEEN}{units(tail[:-1])})" if tail else "")
-
-
-_CONNECTIVE = "(?:" + "|".join(map(_loose, CONNECTIVES)) + ")"
-_OPENER = "(?:" + "|".join(map(_loose, (*CONNECTIVES, *ACTORS))) + ")"
+def _units(part: str) -> list[str]:
+    """The letters of a word as patterns, each in all ways to write it that look the same."""
+    ways = {"ำ": "(?:ำ|ํา)", "แ": "(?:แ|เเ)"}
+    return [ways.get(u) or (f"(?:{u}|{u[::-1]})" if len(u) == 2 else u) for u in re.findall("[ัิ-ู][่-๋]|.", part)]
+
+
+def _any_of(words: tuple[str, ...]) -> str:
+    """Any of the words with invisible characters allowed between its letters, as one pattern in which common beginnings stand once: few branches are tried at a place."""
+    tree: dict = {}
+    for w in words:
+        head, _, tail = w.partition("(?!")
+        node = tree
+        for u in _units(head):
+            node = node.setdefault(u, {})
+        node[""] = "|".join(_UNSEEN + _UNSEEN.join(_units(t)) for t in tail[:-1].split("|")) if tail else ""
+
+    def pattern(node: dict) -> str:
+        ways = []
+        for u, below in sorted(node.items(), reverse=True):
+            if u == "":
+                ways.append(f"(?!{below})" if below else "")
+            else:
+                rest = pattern(below)
+                ways.append(u + (_UNSEEN + rest if rest and list(below) != [""] else rest))
+        return ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
+
+    return pattern(tree)
+
+
+_CONNECTIVE = _any_of(CONNECTIVES)
+_OPENER = _any_of((*CONNECTIVES, *ACTORS))
 _CLOSE = r"""[)\]"'”’»]"""
 _NEXT = rf"""(?=[ \n]+["'“‘(\[「『]?[A-ZÀ-Þ{_THAI}{_NAGARI}{_CJK}])"""
 _BOUNDARIES = (
     rf"(?<=[ \n])(?={_UNSEEN}{_OPENER})",
-    rf"(?<=(?:{'|'.join(ENDINGS)})[ \n])(?=[{_THAI}])",
+    rf"(?<=[{''.join(sorted({x[-1] for x in ENDINGS}))}][ \n])(?<=(?:{'|'.join(ENDINGS)})[ \n])(?=[{_THAI}])",
     rf"(?<=[^{_THAI}{_NAGARI}{_UNSEEN[1:-2]} \n]{_UNSEEN[:-1]}{{0,2}}[.…]{_CLOSE}{{0,2}}){_NEXT}",
     rf"""(?<=[?!]{_CLOSE}{{0,2}})(?=[ \n]+["'“‘(\[「『]?[^ \na-z{SPACE}])""",
     rf"""(?<={QUOTED}["”’]{{1,2}}){_NEXT}""",
