@@ -100,12 +100,12 @@ _MASKS = (
     (r"(?m)^( *(?:\(?[0-9๐-๙]{1,3}\)|\([a-zก-ฮ]\)|[-•*–—·])) ", rf"$1{AFTER_MARKER}"),
     (r"(?m)^(#[^\n]*)\n", rf"$1{AFTER_HEADING}"),
     # decimals, versions, URLs and addresses, dots inside abbreviations
-    (r"(?<=[0-9A-Za-z๐-๙])\.(?=[0-9A-Za-z๐-๙])", DOT),
-    (r"(?<=\b(?:" + "|".join(x.replace(".", f"[.{DOT}]") for x in ABBREVIATIONS) + r"))\.", DOT),
+    (r"\.(?=[0-9A-Za-z๐-๙])(?<=[0-9A-Za-z๐-๙]\.)", DOT),
+    (r"\.(?<=\b(?:" + "|".join(x.replace(".", f"[.{DOT}]") for x in ABBREVIATIONS) + r")\.)", DOT),
     # initials
-    (r"(?<=(?<![A-Za-z.])[A-Z])\.(?= )", DOT),
+    (rf"\.(?= )(?<=(?<![A-Za-z.{DOT}])[A-Z]\.)", DOT),
     (rf"({_CONNECTIVE}{_UNSEEN})[ \n]", rf"$1{SPACE}"),
-    (rf"(?<={SPACE})[ \n](?=[^ \n])", SPACE),
+    (rf"[ \n](?<={SPACE}[ \n])(?=[^ \n])", SPACE),
 )
 
 
