@@ -80,12 +80,15 @@ def clean(spark: SparkSession) -> None:
 def stored(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes df as Parquet to the shared folder and reads it back.
 
-    Unlike a cache the files survive the loss of any executor.
+    Unlike a cache the files survive the loss of any executor. They are deleted when the application ends, or before by clean().
     """
     spark = df.sparkSession
     ship(spark)
     path = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if getattr(spark.sparkContext, "_kosha_own", None) is None:
+        own = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+        spark.sparkContext._kosha_own = own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
     return spark.read.schema(df.schema).parquet(path)
 
 
