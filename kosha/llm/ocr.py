@@ -506,10 +506,11 @@ def _judged(contexts: DataFrame, wrong: dict[int, list[tuple[int, float]]]) -> D
 def noise(texts: DataFrame, limit: int = LEXICON) -> DataFrame:
     """(tbl, rec, line, col, kind, c, r): dropped lines, cut words and misread characters (code c, printed r).
 
-    texts: tbl (0 or 1; 2 for texts that are only counted), rec, text. Null and empty texts give no rows; rows read twice give theirs once.
+    texts: tbl (0 or 1; 2 for texts that are only counted), rec, text. Null and empty texts and rows without a number give no rows; rows read twice give theirs once.
     Copies of one text are counted once. Nothing depends on how the rows are partitioned: counts are of the whole corpus before anything is judged.
     """
     ship(texts.sparkSession)
+    texts = texts.filter("tbl is not null and rec is not null and text is not null")
     own = texts.filter("tbl < 2")
     edge, words, rest = lexicon(own, limit)
     once = texts.groupBy("text").agg(F.min("tbl").alias("tbl"), F.min("rec").alias("rec")).select("tbl", "rec", "text")

@@ -613,3 +613,25 @@ def test_later_names_of_a_list():
         got = {text[s:e] for s, e, kind in pii.passages(text, pii.trained()) if kind == "name"}
         assert got == {n for n in names if n in text}
     assert not pii._listed("担当は未定。青野と", 8) and not pii._listed("担当は\n青野と", 6)
+
+
+# all
+
+
+def test_dirty_input(spark):
+    """Nulls in any column, empty, blank and very long texts, repeated rows, ties, empty tables and clashing names."""
+    long = "สวัสดี hello world. " * 3000
+    rows = [(1, None, "x", 5), (2, "", "x", None), (3, "  \n", "x", 0), (4, long, "x", 9000), (4, long, "x", 9000), (5, long + "end", "x", 8192), (None, "short text", "x", 3), (None, None, None, None), (6, "short text", None, 3), (7, "ＳＨＯＲＴ", " ", 1)]
+    dirty = spark.createDataFrame(rows, "k long, t string, rep string, n long")
+    for c in ("class", "no", "key", "a", "b", "h", "field", "form", "part", "length"):
+        dirty = dirty.withColumn(c, F.lit("z"))
+    lists = ("faculties", [{"faculty_id": 1, "canonical": "short", "prefix_type": None, "aliases": None}])
+    counts = {
+        "found": lambda d: neardup.found(d, "k", "t"), "exact": lambda d: neardup.found(d, "k", "t", exact=True), "links": lambda d: neardup.links(d, "k", "t"), "groups": lambda d: neardup.groups(d, "k", "t"),
+        "looks": lambda d: lookalikes.found(d, "k", ["t", "rep"]), "classes": lambda d: lookalikes.classes(d, "k", ["t"]), "cut": lambda d: packing.found(packing.pack(d, "k", "n"), "k"), "pieces": lambda d: packing.pack(d, "k", "n"),
+        "ids": lambda d: tokens.encode(d, "k", "t", limit=5), "repeats": lambda d: repetition.repetition(d, "k", "t"), "passages": lambda d: pii.find(d, "k", "t"), "masked": lambda d: pii.masked(d, "k", "t"),
+        "noise": lambda d: ocr.noise(d.select(F.lit(0).alias("tbl"), F.col("k").alias("rec"), F.col("t").alias("text"))), "mapped": lambda d: mapping.map_values(d.withColumn("arr", F.array("t", "rep")), "k", "arr", "faculties", lists),
+    }
+    got = {n: f(dirty).count() for n, f in counts.items()}
+    assert got == {"found": 1, "exact": 1, "links": 1, "groups": 8, "looks": 0, "classes": 8, "cut": 1, "pieces": 12, "ids": 10, "repeats": 10, "passages": 0, "masked": 10, "noise": 0, "mapped": 16}
+    assert all(f(dirty.limit(0)).count() == 0 for f in counts.values())
