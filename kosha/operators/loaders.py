@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -47,17 +48,21 @@ def _mapped(df: DataFrame, key: str, columns: list[str], f: Callable, out: str)
 
 
 def mapping_spans(text: str) -> list[tuple[int, int]]:
-    """The grid after each mapping heading: the tables that follow one another closely, else a stretch of fixed length."""
+    """The grid after each mapping heading: the chain of tables that begins close behind it, else a stretch of fixed length.
+
+    Tables closer than GAP to the one before are one chain, whose end every table in it knows.
+    """
     tables = [m.span() for m in re.finditer(TABLE, text, _FLAGS)]
+    chain_end: list[int] = []
+    for i in reversed(range(len(tables))):
+        linked = i + 1 < len(tables) and tables[i + 1][0] - tables[i][1] <= GAP
+        chain_end.insert(0, chain_end[0] if linked else tables[i][1])
+    starts = [a for a, _ in tables]
     spans = []
     for h in re.finditer(MAPPING, text, re.I):
-        end = h.end()
-        for a, b in tables:
-            if a >= end:
-                if a - end > GAP:
-                    break
-                end = b
-        spans.append((h.start(), end if end > h.end() else min(len(text), h.start() + WITHOUT_TABLE)))
+        first = bisect_left(starts, h.end())
+        near = first < len(starts) and starts[first] - h.end() <= GAP
+        spans.append((h.start(), chain_end[first] if near else min(len(text), h.start() + WITHOUT_TABLE)))
     return spans
 
 
@@ -132,23 +137,33 @@ def bundle(text: str | None) -> tuple[str, int, list[int], str | None]:
     if n < 2:
         return "single", n, [], None
     bare = re.sub(TABLE, lambda m: " " * len(m[0]), text, flags=_FLAGS)
-    at: list[int] = []
-    due, since, why = 1, 0, "no full run of numbers"
-    for m in re.finditer(ITEM, bare):
-        number = int(m[1].translate(_DIGITS))
-        goes_on = number == due or number == 1 and at and re.search(LEVEL, bare[since : m.start()])
-        if not goes_on and number != 1:
-            continue
-        at = [*at, m.start(1)] if goes_on else [m.start(1)]
-        due, since = number + 1, m.end()
-        if len(at) == n:
+    numbered = [(int(m[1].translate(_DIGITS)), m) for m in re.finditer(ITEM, bare)]
+    held: list[re.Match] = []
+    why = "no full run of numbers"
+    # every number 1 begins a section; a section goes on with the one before it only below the header of a level
+    for first, section in _sections(numbered):
+        levels = bool(held) and re.search(LEVEL, bare[held[-1].end() : first.start()])
+        held = [*held, *section] if levels else section
+        if len(held) >= n:
+            at = [m.start(1) for m in held[:n]]
             why = _unlike_items([text[a:b] for a, b in zip(at, [*at[1:], len(text)])])
             if why is None:
                 return "split", n, at, None
-            at, due = [], 1
+            held = []
     return "mismatch", n, [], why
 
 
+def _sections(numbered: list[tuple[int, re.Match]]) -> Iterator[tuple[re.Match, list[re.Match]]]:
+    """(first item, items that count on from it) of each stretch from a number 1 to the next; numbers out of turn are passed over."""
+    ones = [i for i, (k, _) in enumerate(numbered) if k == 1]
+    for a, b in zip(ones, [*ones[1:], len(numbered)]):
+        own: list[re.Match] = []
+        for k, m in numbered[a:b]:
+            if k == len(own) + 1:
+                own.append(m)
+        yield own[0], own
+
+
 def _unlike_items(bodies: list[str]) -> str | None:
     """Why these parts are no curricula of a bundle; None if they are."""
     if any(re.search(DECLARED, b[:80]) for b in bodies):
