@@ -394,7 +394,7 @@ def _read(texts: DataFrame, edge: list[str], words: dict[str, int], judged: Data
     def counted(chars: list, lines: list, use: np.ndarray) -> pa.RecordBatch:
         _, key, code = _windows(np.concatenate([gap, *chars, gap]), use)
         both = key ^ mix(code.astype(np.uint64))
-        order = np.argsort(both, kind="stable")
+        order = np.argsort(both)
         first = np.flatnonzero(np.concatenate([[True], both[order][1:] != both[order][:-1]])) if len(order) else np.zeros(0, np.int64)
         n = np.diff(np.append(first, len(order)))
         k, c = key[order[first]], code[order[first]]
