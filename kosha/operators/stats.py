@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,6 +28,12 @@ def draws(resamples: np.ndarray, n: int) -> np.ndarray:
     return (x // 8) % n
 
 
+@lru_cache(4)
+def _drawn(first: int, end: int, n: int) -> np.ndarray:
+    """A block of draws, kept for the next group of as many items."""
+    return draws(np.arange(first, end), n).astype(np.int32)
+
+
 def draws_sql(b: str, i: str, n: str) -> str:
     """The same draw as SQL, from expressions of BIGINT."""
     x = f"(({b}) * {BY_RESAMPLE} + ({i}) * {BY_PLACE} + 12345) % {MODULUS}"
@@ -46,7 +54,7 @@ def resampled_means(diffs: np.ndarray, n_boot: int) -> np.ndarray:
     """The mean of each resample. Differences are whole millionths, so that the sums are exact."""
     micro = away(diffs * 1e6, 0).astype(np.int64)
     step = max(1, DRAWN // max(1, len(micro)))
-    sums = [micro[draws(np.arange(a, min(a + step, n_boot)), len(micro))].sum(1) for a in range(0, n_boot, step)]
+    sums = [micro[_drawn(a, min(a + step, n_boot), len(micro))].sum(1) for a in range(0, n_boot, step)]
     return away(np.concatenate(sums) / len(micro) / 1e6, 9)
 
 
