@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kosha.session import stored
+
 #: Fixed values of the portable draw: a prime modulus, and a factor and shifts that spread resamples and places.
 MODULUS, FACTOR, BY_RESAMPLE, BY_PLACE = 2147483647, 48271, 7368787, 2750159
 
@@ -79,6 +84,76 @@ def bootstrap(diffs: DataFrame, group: str, item: str, diff: str, n_boot: int =
     return own.repartition(parts, "g").groupBy("g").applyInPandas(run, f"g {kind}, n int, mean double, p double, low double, high double").withColumnRenamed("g", group)
 
 
+#: Keys of a block: all pairs of two blocks are one piece of work.
+BLOCK = 1024
+
+
+def blocks(df: DataFrame, group: str, key: str, item: str, value: str) -> DataFrame:
+    """group, key, v, block, at: the values of each key in the order of item, the keys of a group dealt into blocks in their order. Null groups, keys and items are left out; a key has a value for every item."""
+    v = F.transform(F.array_sort(F.collect_list(F.struct(F.col(item).alias("i"), F.col(value).cast("double").alias("x")))), lambda s: s["x"])
+    own = df.dropna(subset=[group, key, item]).groupBy(group, key).agg(v.alias("v"))
+    n = F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1
+    return stored(own.withColumn("n", n).select(group, key, "v", F.floor(F.col("n") / BLOCK).cast("int").alias("block"), (F.col("n") % BLOCK).alias("at")))
+
+
+def paired(dealt: DataFrame, group: str, key: str, names: list[str], measure: Callable[[np.ndarray, np.ndarray], list[np.ndarray]]) -> DataFrame:
+    """group, key, block, skip and an array for each name: figures of a key with the later keys of its group, a row for each block of those, without its first skip keys.
+
+    measure: a matrix of figures for each name from the values of two blocks (a row each key). Pairs are as many as keys squared and are kept in this form.
+    """
+    kind = {c: dealt.schema[c].dataType.simpleString() for c in (group, key)}
+
+    def run(t: pa.Table) -> pa.Table:
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        sides = [t.filter(pc.equal(t["block"], b)).sort_by("at") for b in (i, j)]
+        if pc.count_distinct(pc.list_value_length(t["v"])).as_py() != 1:
+            raise ValueError("a key has no value for an item")
+        x, y = (s["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(s), -1) for s in sides)
+        figures = measure(x, y)
+        skip = np.arange(1, len(x) + 1) if i == j else np.zeros(len(x), int)
+        places = np.triu_indices(len(x), 1, len(y)) if i == j else np.indices((len(x), len(y))).reshape(2, -1)
+        ends = pa.array(np.concatenate([[0], np.cumsum(len(y) - skip)]), pa.int32())
+        arrays = [pa.ListArray.from_arrays(ends, pa.array(f[places[0], places[1]], pa.float64())) for f in figures]
+        return pa.Table.from_arrays([sides[0][group], sides[0][key], pa.array(np.full(len(x), j), pa.int32()), pa.array(skip, pa.int32()), *arrays], [group, key, "block", "skip", *names])
+
+    last = F.max("block").over(Window.partitionBy(group))
+    met = dealt.withColumn("last", last).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("last")))).select(group, key, "v", "block", "at", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    # few groups, much work in each: dealt to more tasks than their bytes ask for
+    dealt_out = met.repartition(4 * met.sparkSession.sparkContext.defaultParallelism, group, "i", "j")
+    out = f"{group} {kind[group]}, {key} {kind[key]}, block int, skip int, " + ", ".join(f"{n} array<double>" for n in names)
+    return dealt_out.groupBy(group, "i", "j").applyInArrow(run, out)
+
+
+@lru_cache(8)
+def _counted(first: int, end: int, n: int) -> np.ndarray:
+    """How often each resample of a block draws each item."""
+    places = draws(np.arange(first, end), n) + n * np.arange(end - first)[:, None]
+    return np.bincount(places.ravel(), minlength=(end - first) * n).reshape(-1, n).astype(float)
+
+
+def tested(x: np.ndarray, y: np.ndarray, n_boot: int) -> list[np.ndarray]:
+    """Mean and p of bootstrap() for the difference of each row of x and each of y, values of six decimals.
+
+    The sum of a resample of differences is the difference of two sums of the same resample, so that each row is resampled once; equal rows are taken once.
+    """
+    (a, ia), (b, ib) = (np.unique(np.rint(m * 1e6), axis=0, return_inverse=True) for m in (x, y))
+    n = a.shape[1]
+    mean = np.stack([((own - b) / 1e6).mean(1) for own in a])
+    small = np.arange(1, n // 1000 + 3)
+    least = int(small[away(small / n / 1e6, 9) > 0][0])  # a sum nearer to 0 has a mean that is rounded to 0
+    kind = np.int32 if n * max(np.abs(a).max(), np.abs(b).max()) + least < 2**31 else np.int64
+    below, above = np.zeros(mean.shape, np.int64), np.zeros(mean.shape, np.int64)
+    step = max(1, min(5000, DRAWN // n))
+    for first in range(0, n_boot, step):
+        counted = _counted(first, min(first + step, n_boot), n)
+        sa, sb = ((m @ counted.T).astype(kind) for m in (a, b))  # whole numbers below 2**53: exact
+        for k, own in enumerate(sa):
+            below[k] += [np.count_nonzero(r) for r in sb > own - least]
+            above[k] += [np.count_nonzero(r) for r in sb < own + least]
+    p = np.minimum(1.0, 2 * np.minimum(below / n_boot, above / n_boot))
+    return [m[ia.ravel()[:, None], ib.ravel()[None, :]] for m in (away(mean, 6), away(p, 6))]
+
+
 def power(diffs: DataFrame, group: str, item: str, diff: str, effects: list[float], trials: int = 200, n_boot: int = 500, alpha: float = 0.05) -> DataFrame:
     """group, effect, power: how often a bootstrap test finds an effect that is put into resamples of the centred differences."""
     kind = diffs.schema[group].dataType.simpleString()
@@ -109,6 +184,15 @@ def holm(df: DataFrame, family: list[str], key: str, p: str, alpha: float = 0.05
     return stepped.withColumn("adjusted", F.round(adjusted, 6)).withColumn("reject", F.col("adjusted") <= alpha).drop("step")
 
 
+def holm_levels(counts: DataFrame, family: str, p: str, n: str, alpha: float = 0.05) -> DataFrame:
+    """family, p, adjusted, reject of holm() from how many tests of a family have each p: tests of equal p have the value of the first of them, so no family is sorted as a whole."""
+    w = Window.partitionBy(family).orderBy(p)
+    before = F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    stepped = counts.withColumn("step", (F.sum(n).over(Window.partitionBy(family)) - before) * F.col(p))
+    adjusted = F.least(F.lit(1.0), F.max("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return stepped.select(family, p, F.round(adjusted, 6).alias("adjusted")).withColumn("reject", F.col("adjusted") <= alpha)
+
+
 def mde(sd: Column, n: Column, alpha: float = 0.05, tests: Column | int = 1) -> Column:
     """The least difference found with power 0.8, by the normal approximation, at alpha ÷ tests (z by a rational approximation)."""
     a = F.lit(alpha) / tests / 2

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -226,11 +228,11 @@ def family_ties(spark: SparkSession, d: str) -> DataFrame:
 SELECT family, combination_id AS pair, mean, p, round(least(1.0, max(step) OVER (PARTITION BY family ORDER BY p, combination_id ROWS UNBOUNDED PRECEDING)), 6) AS adjusted FROM sp""")
 def family_comparisons(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of combinations of each family, tested by bootstrap and corrected within the family."""
-    boot = _family_boot(spark, d)
+    boot = _family_rows(spark, d)
     return stats.holm(boot, ["family"], "pair", "p").select("family", "pair", "mean", "p", "adjusted")
 
 
-def _family_boot(spark: SparkSession, d: str, metric: str = "recall_10") -> DataFrame:
+def _family_rows(spark: SparkSession, d: str, metric: str = "recall_10") -> DataFrame:
     def build() -> DataFrame:
         f = _scores(spark, d).select("query_id", F.split("combination_id", "-")[0].alias("family"), "combination_id", F.col(metric).alias("v"))
         a, b = f.alias("a"), f.alias("b")
@@ -238,22 +240,46 @@ def _family_boot(spark: SparkSession, d: str, metric: str = "recall_10") -> Data
         df = both.select(F.concat("a.family", F.lit(":"), "a.combination_id", F.lit(" vs "), "b.combination_id").alias("pair"), F.col("a.query_id").alias("query_id"), F.round(F.col("a.v") - F.col("b.v"), 6).alias("diff"))
         return stats.bootstrap(df, "pair", "query_id", "diff", N_BOOT).withColumn("family", F.split("pair", ":")[0])
 
-    return built(spark, f"families {metric}", d, build)
+    return built(spark, f"family rows {metric}", d, build)
+
+
+def _own() -> Column:
+    return F.substring_index("part", ":", 1)
+
+
+def _family_blocks(spark: SparkSession, d: str, metric: str = "recall_10") -> DataFrame:
+    scores = lambda: _scores(spark, d).select(F.split("combination_id", "-")[0].alias("part"), "combination_id", "query_id", metric)
+    return built(spark, f"family blocks {metric}", d, lambda: stats.blocks(scores(), "part", "combination_id", "query_id", metric))
+
+
+def _family_boot(spark: SparkSession, d: str, metric: str = "recall_10") -> DataFrame:
+    """Mean and p of all pairs of each family, in arrays."""
+    return built(spark, f"families {metric}", d, lambda: stats.paired(_family_blocks(spark, d, metric), "part", "combination_id", ["mean", "p"], partial(stats.tested, n_boot=N_BOOT)))
+
+
+def _family_counts(spark: SparkSession, d: str, metric: str = "recall_10") -> DataFrame:
+    """family, p, n, least: how many pairs have each p, and the least mean of them."""
+    rows = _family_boot(spark, d, metric).select("part", F.posexplode("p").alias("pos", "p"), "mean").select(_own().alias("family"), "p", F.col("mean")[F.col("pos")].alias("mean"))
+    return built(spark, f"family counts {metric}", d, lambda: rows.groupBy("family", "p").agg(F.count("*").alias("n"), F.min("mean").alias("least")))
+
+
+def _family_levels(spark: SparkSession, d: str, metric: str = "recall_10") -> DataFrame:
+    return stats.holm_levels(_family_counts(spark, d, metric), "family", "p", "n")
 
 
 @query()
 def report_changes(spark: SparkSession, d: str) -> DataFrame:
     """Comparisons whose verdict or difference is another by nDCG than by recall."""
-    made = lambda m: stats.holm(_family_boot(spark, d, m), ["family"], "pair", "p").select("pair", F.col("mean").alias("diff"), F.col("reject").alias("significant"))
+    made = lambda m: stats.holm(_family_rows(spark, d, m), ["family"], "pair", "p").select("pair", F.col("mean").alias("diff"), F.col("reject").alias("significant"))
     return audits.verdict_flips(made("recall_10"), made("ndcg_10"), "pair")
 
 
 @query()
 def decision_rule(spark: SparkSession, d: str) -> DataFrame:
     """Stop, narrow or go on with each family, by its comparisons."""
-    b = stats.holm(_family_boot(spark, d), ["family"], "pair", "p")
-    cells = b.groupBy("family").agg(F.collect_list(F.struct(F.col("mean").alias("diff"), F.col("reject").alias("significant"))).alias("c"))
-    return cells.select("family", F.size("c").alias("n"), audits.decision(F.col("c"), 0.05).alias("verdict"))
+    b = _family_counts(spark, d).join(F.broadcast(_family_levels(spark, d)), ["family", "p"])
+    cells = b.groupBy("family").agg(F.sum("n").cast("int").alias("n"), F.collect_list(F.struct(F.col("least").alias("diff"), F.col("reject").alias("significant"))).alias("c"))  # a cell for each p, with its least difference
+    return cells.select("family", "n", audits.decision(F.col("c"), 0.05).alias("verdict"))
 
 
 @query()
