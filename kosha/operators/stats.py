@@ -99,7 +99,7 @@ def blocks(df: DataFrame, group: str, key: str, item: str, value: str) -> DataFr
 def paired(dealt: DataFrame, group: str, key: str, names: list[str], measure: Callable[[np.ndarray, np.ndarray], list[np.ndarray]]) -> DataFrame:
     """group, key, block, skip and an array for each name: figures of a key with the later keys of its group, a row for each block of those, without its first skip keys.
 
-    measure: a matrix of figures for each name from the values of two blocks (a row each key). Pairs are as many as keys squared and are kept in this form.
+    measure: a matrix of figures for each name from the values of two blocks (a row each key). Pairs are as many as keys squared and are kept in this form; pairs() gives a row each.
     """
     kind = {c: dealt.schema[c].dataType.simpleString() for c in (group, key)}
 
@@ -124,6 +124,14 @@ def paired(dealt: DataFrame, group: str, key: str, names: list[str], measure: Ca
     return dealt_out.groupBy(group, "i", "j").applyInArrow(run, out)
 
 
+def pairs(figures: DataFrame, dealt: DataFrame, group: str, key: str, names: list[str], wanted: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """group, a, b and a figure for each name: a row for each pair of paired(); wanted filters pairs or adds columns before b is looked up."""
+    others = dealt.groupBy(group, "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", key))), lambda s: s[key]).alias("others"))
+    rows = figures.withColumnRenamed(key, "a").join(others, [group, "block"])
+    each = rows.select("*", F.posexplode(names[0]).alias("pos", "first")).select(group, "a", "others", "skip", "pos", F.col("first").alias(names[0]), *[F.col(n)[F.col("pos")].alias(n) for n in names[1:]])
+    return wanted(each).withColumn("b", F.col("others")[F.col("skip") + F.col("pos")]).drop("others", "skip", "pos")
+
+
 @lru_cache(8)
 def _counted(first: int, end: int, n: int) -> np.ndarray:
     """How often each resample of a block draws each item."""

@@ -228,8 +228,9 @@ def family_ties(spark: SparkSession, d: str) -> DataFrame:
 SELECT family, combination_id AS pair, mean, p, round(least(1.0, max(step) OVER (PARTITION BY family ORDER BY p, combination_id ROWS UNBOUNDED PRECEDING)), 6) AS adjusted FROM sp""")
 def family_comparisons(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of combinations of each family, tested by bootstrap and corrected within the family."""
-    boot = _family_rows(spark, d)
-    return stats.holm(boot, ["family"], "pair", "p").select("family", "pair", "mean", "p", "adjusted")
+    levels = F.broadcast(_family_levels(spark, d))  # at most as many p as half of the resamples, of each family
+    rows = stats.pairs(_family_boot(spark, d), _family_blocks(spark, d), "part", "combination_id", ["p", "mean"])
+    return rows.withColumn("family", _own()).join(levels, ["family", "p"]).select("family", _pair(), "mean", "p", "adjusted")
 
 
 def _family_rows(spark: SparkSession, d: str, metric: str = "recall_10") -> DataFrame:
@@ -247,6 +248,10 @@ def _own() -> Column:
     return F.substring_index("part", ":", 1)
 
 
+def _pair() -> Column:
+    return F.concat("part", F.lit(":"), "a", F.lit(" vs "), "b").alias("pair")
+
+
 def _family_blocks(spark: SparkSession, d: str, metric: str = "recall_10") -> DataFrame:
     scores = lambda: _scores(spark, d).select(F.split("combination_id", "-")[0].alias("part"), "combination_id", "query_id", metric)
     return built(spark, f"family blocks {metric}", d, lambda: stats.blocks(scores(), "part", "combination_id", "query_id", metric))

@@ -70,6 +70,20 @@ def test_tested_is_the_bootstrap_of_each_difference():
             assert (mean[i, j], p[i, j]) == (stats.away(d.mean(), 6), stats.away(min(1.0, 2 * min((m <= 0).mean(), (m >= 0).mean())), 6))
 
 
+def test_every_pair_comes_once_whatever_the_blocks(spark, monkeypatch):
+    monkeypatch.setattr(stats, "BLOCK", 3)
+    rows = [(g, f"k{i}", q, float((i * 7 + q * q * (i % 5)) % 11)) for g, n in (("a", 8), ("b", 3), ("c", 1)) for i in range(n) for q in range(6)]
+    rows += [("a", None, 1, 1.0), (None, "k1", 1, 1.0), ("a", "k1", None, 1.0)]
+    dealt = stats.blocks(spark.createDataFrame(rows, "g string, k string, q int, v double"), "g", "k", "q", "v")
+    figures = stats.paired(dealt, "g", "k", ["s", "d"], lambda x, y: [x @ y.T, x[:, :1] - y[:, 0]])
+    v = {}
+    for g, k, q, x in rows:
+        if None not in (g, k, q):
+            v.setdefault((g, k), []).append(x)
+    want = sorted((g, a, b, float(np.dot(v[g, a], v[g, b])), v[g, a][0] - v[g, b][0]) for (g, a), (h, b) in itertools.combinations(sorted(v), 2) if g == h)
+    assert sorted(map(tuple, stats.pairs(figures, dealt, "g", "k", ["s", "d"]).select("g", "a", "b", "s", "d").collect())) == want and len(want) == 28 + 3
+
+
 def test_holm_levels(spark):
     rnd = random.Random(1)
     df = spark.createDataFrame([(rnd.choice("ab"), f"k{i}", rnd.choice([0.0, 0.001, 0.01, 0.02, 0.3, 1.0])) for i in range(60)], "f string, k string, p double")
@@ -84,3 +98,10 @@ def test_decision_rule(spark, small, many):
     began = time.time()
     assert {r["n"] for r in e.queries()["decision_rule"](spark, many).collect()} == {1200 * 1199 // 2}
     assert time.time() - began < 100
+
+
+def test_family_comparisons(spark, small, many):
+    same(e.queries()["family_comparisons"](spark, small), loop(spark, small, "recall_10"), ["family", "pair", "mean", "p", "adjusted"])
+    began = time.time()
+    assert e.queries()["family_comparisons"](spark, many).select("pair").distinct().count() == 1200 * 1199
+    assert time.time() - began < 100
