@@ -100,11 +100,16 @@ def report_rows(lines: DataFrame, line: str) -> DataFrame:
     return out.filter("diff is not null and p is not null")
 
 
+def change(d0: Column, s0: Column, d1: Column, s1: Column) -> Column:
+    """flipped or moved (from 0.02), null for neither, from a comparison's old and new difference and verdict."""
+    return F.when(~s0.eqNullSafe(s1), "flipped").when(F.abs(d1 - d0) >= 0.02, "moved")
+
+
 def verdict_flips(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """key, change (flipped, moved, only old, only new) of two reports (key, diff, significant); equal rows are left out, moves count from 0.02."""
     both = old.select(key, F.col("diff").alias("d0"), F.col("significant").alias("s0"), F.lit(1).alias("o")).join(new.select(key, F.col("diff").alias("d1"), F.col("significant").alias("s1"), F.lit(1).alias("n")), key, "full")
-    change = F.when(F.col("n").isNull(), "only old").when(F.col("o").isNull(), "only new").when(~F.col("s0").eqNullSafe(F.col("s1")), "flipped").when(F.abs(F.col("d1") - F.col("d0")) >= 0.02, "moved")
-    return both.select(key, change.alias("change"), F.round("d0", 6).alias("old"), F.round("d1", 6).alias("new")).filter("change is not null")
+    found = F.when(F.col("n").isNull(), "only old").when(F.col("o").isNull(), "only new").otherwise(change(*map(F.col, ("d0", "s0", "d1", "s1"))))
+    return both.select(key, found.alias("change"), F.round("d0", 6).alias("old"), F.round("d1", 6).alias("new")).filter("change is not null")
 
 
 def decision(cells: Column, margin: float) -> Column:

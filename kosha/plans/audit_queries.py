@@ -233,17 +233,6 @@ def family_comparisons(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("family", _own()).join(levels, ["family", "p"]).select("family", _pair(), "mean", "p", "adjusted")
 
 
-def _family_rows(spark: SparkSession, d: str, metric: str = "recall_10") -> DataFrame:
-    def build() -> DataFrame:
-        f = _scores(spark, d).select("query_id", F.split("combination_id", "-")[0].alias("family"), "combination_id", F.col(metric).alias("v"))
-        a, b = f.alias("a"), f.alias("b")
-        both = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.family") == F.col("b.family")) & (F.col("a.combination_id") < F.col("b.combination_id")))
-        df = both.select(F.concat("a.family", F.lit(":"), "a.combination_id", F.lit(" vs "), "b.combination_id").alias("pair"), F.col("a.query_id").alias("query_id"), F.round(F.col("a.v") - F.col("b.v"), 6).alias("diff"))
-        return stats.bootstrap(df, "pair", "query_id", "diff", N_BOOT).withColumn("family", F.split("pair", ":")[0])
-
-    return built(spark, f"family rows {metric}", d, build)
-
-
 def _own() -> Column:
     return F.substring_index("part", ":", 1)
 
@@ -275,8 +264,17 @@ def _family_levels(spark: SparkSession, d: str, metric: str = "recall_10") -> Da
 @query()
 def report_changes(spark: SparkSession, d: str) -> DataFrame:
     """Comparisons whose verdict or difference is another by nDCG than by recall."""
-    made = lambda m: stats.holm(_family_rows(spark, d, m), ["family"], "pair", "p").select("pair", F.col("mean").alias("diff"), F.col("reject").alias("significant"))
-    return audits.verdict_flips(made("recall_10"), made("ndcg_10"), "pair")
+    keys = ["part", "combination_id", "block", "skip"]
+    own = lambda m, i: _family_boot(spark, d, m).select(*keys, F.col("mean").alias(f"d{i}"), F.col("p").alias(f"p{i}"))
+    level = lambda m, i: F.broadcast(_family_levels(spark, d, m).select("family", F.col("p").alias(f"p{i}"), F.col("reject").alias(f"s{i}")))
+
+    def changed(rows: DataFrame) -> DataFrame:
+        known = rows.withColumn("family", _own()).join(level("recall_10", 0), ["family", "p0"]).join(level("ndcg_10", 1), ["family", "p1"])
+        return known.withColumn("change", audits.change(*map(F.col, ("d0", "s0", "d1", "s1")))).filter("change is not null")
+
+    both = own("recall_10", 0).join(own("ndcg_10", 1), keys)
+    rows = stats.pairs(both, _family_blocks(spark, d), "part", "combination_id", ["p0", "d0", "p1", "d1"], changed)
+    return rows.select(_pair(), "change", F.round("d0", 6).alias("old"), F.round("d1", 6).alias("new"))
 
 
 @query()

@@ -105,3 +105,13 @@ def test_family_comparisons(spark, small, many):
     began = time.time()
     assert e.queries()["family_comparisons"](spark, many).select("pair").distinct().count() == 1200 * 1199
     assert time.time() - began < 100
+
+
+def test_report_changes(spark, small, many):
+    # by nDCG, which counts the rank of a hit, other differences and other verdicts than by recall
+    made = lambda m: loop(spark, small, m).select("pair", F.col("mean").alias("diff"), F.col("reject").alias("significant"))
+    want = audits.verdict_flips(made("recall_10"), made("ndcg_10"), "pair")
+    assert len(same(e.queries()["report_changes"](spark, small), want, ["pair", "change", "old", "new"])) > 5
+    began = time.time()
+    e.queries()["report_changes"](spark, many).count()
+    assert time.time() - began < 100
