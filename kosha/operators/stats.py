@@ -88,10 +88,12 @@ def bootstrap(diffs: DataFrame, group: str, item: str, diff: str, n_boot: int =
 BLOCK = 1024
 
 
-def blocks(df: DataFrame, group: str, key: str, item: str, value: str) -> DataFrame:
-    """group, key, v, block, at: the values of each key in the order of item, the keys of a group dealt into blocks in their order. Null groups, keys and items are left out; a key has a value for every item."""
+def blocks(df: DataFrame, group: str, key: str, item: str, value: str, varied: bool = False) -> DataFrame:
+    """group, key, v, block, at: the values of each key in the order of item, the keys of a group dealt into blocks in their order. Null groups, keys and items are left out; a key has a value for every item. varied: only keys of unequal values."""
     v = F.transform(F.array_sort(F.collect_list(F.struct(F.col(item).alias("i"), F.col(value).cast("double").alias("x")))), lambda s: s["x"])
     own = df.dropna(subset=[group, key, item]).groupBy(group, key).agg(v.alias("v"))
+    if varied:
+        own = own.filter(F.array_min("v") < F.array_max("v"))
     n = F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1
     return stored(own.withColumn("n", n).select(group, key, "v", F.floor(F.col("n") / BLOCK).cast("int").alias("block"), (F.col("n") % BLOCK).alias("at")))
 
@@ -162,6 +164,13 @@ def tested(x: np.ndarray, y: np.ndarray, n_boot: int) -> list[np.ndarray]:
     return [m[ia.ravel()[:, None], ib.ravel()[None, :]] for m in (away(mean, 6), away(p, 6))]
 
 
+def correlated(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Pearson's correlation of each row of x and each of y; no row is constant."""
+    x, y = (m - m.mean(1, keepdims=True) for m in (x, y))
+    x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
+    return [away(x @ y.T, 5)]
+
+
 def power(diffs: DataFrame, group: str, item: str, diff: str, effects: list[float], trials: int = 200, n_boot: int = 500, alpha: float = 0.05) -> DataFrame:
     """group, effect, power: how often a bootstrap test finds an effect that is put into resamples of the centred differences."""
     kind = diffs.schema[group].dataType.simpleString()

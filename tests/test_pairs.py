@@ -115,3 +115,20 @@ def test_report_changes(spark, small, many):
     began = time.time()
     e.queries()["report_changes"](spark, many).count()
     assert time.time() - began < 100
+
+
+def test_pearson(spark, small):
+    s = metrics.per_query(metrics.cleaned(spark.read.parquet(f"{small}/rankings.parquet")), spark.read.parquet(f"{small}/qrels.parquet"), (5, 10)).orderBy("query_id").collect()
+    by = {}
+    for r in s:
+        by.setdefault(r["combination_id"], []).append(r["ndcg_10"])
+    varied = sorted(c for c, v in by.items() if min(v) < max(v))
+    want = [(a, b, pytest.approx(np.corrcoef(by[a], by[b])[0, 1], abs=6e-6)) for a, b in itertools.combinations(varied, 2)]
+    got = e.queries()["pearson"](spark, small)
+    assert sorted(map(tuple, got.select("a", "b", "pearson").collect())) == want and 0 < len(varied) < len(by)
+
+
+def test_pearson_joins_no_rows_of_scores(spark, many):
+    # 2,400 combinations: a join by query makes 12 rows of each of 2.9 million pairs
+    plan = e.queries()["pearson"](spark, many)._jdf.queryExecution().optimizedPlan().toString()
+    assert "query_id" not in plan
