@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,13 +58,6 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
 
 
-def int_lists(packed: list[bytes]) -> pa.Array:
-    """A list<int32> column of packed little-endian int32 values."""
-    offsets = np.zeros(len(packed) + 1, np.int32)
-    np.cumsum([len(x) // 4 for x in packed], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-
-
 def dealt(df: DataFrame, columns: list[str]) -> DataFrame:
     """Each row once for every pair (i, j), i <= j, of its part with one of the parts (columns part and parts)."""
     other = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

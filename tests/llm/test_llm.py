@@ -3,9 +3,13 @@
 import itertools
 import math
 import random
+import re
 import time
 import unicodedata
+from collections import Counter
+from unittest import mock
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -447,6 +451,46 @@ def test_pre_tokens_match_the_pattern():
         assert tokens.pre_tokens()(t) == pattern.findall(t)
 
 
+@pytest.mark.parametrize("part", [1, 40, 1 << 22])
+def test_columns_are_split_as_their_texts(monkeypatch, part):
+    import regex
+
+    monkeypatch.setattr(tokens, "PART", part)
+    pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    rng = random.Random(6)
+    chars = list("กิ่a๑中²_'😀-") + [" "] * 4 + ["\n", "\u3000", "\x1c"] + list("''stmdrevl") * 2
+    for _ in range(100):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choices(chars, k=rng.choice([0, 1, 2, 3, 30]))) for _ in range(30)]
+        got, seen = [], 0
+        for i, j, words, first in tokens.split_texts(pa.array(["cut off", *texts]).slice(1)):
+            assert i == seen and len(first) == j - i + 1 and first[0] == 0 and first[-1] == len(words)
+            got += [[w.decode() for w in words.to_pylist()[a:b]] for a, b in itertools.pairwise(first)]
+            seen = j
+        assert got == [pattern.findall(t or "") for t in texts]
+
+
+def test_counting_costs_less_than_the_pattern(spark):
+    usual = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:[stmd]|re|ve|ll)| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+").findall
+    texts = [f"ฝ่ายตรวจสอบภายในขอแก้ไขแผนรับนักศึกษา ครั้งที่ {i} โดยใช้งบประมาณ {i * 7919:,} บาท (ดูภาคผนวก B). The team didn't compare the workload table.\n" for i in range(20_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])
+    mapped = mock.MagicMock()
+    mapped.sparkSession.sparkContext.broadcast = lambda x: mock.Mock(value=x)
+    tokens._counted(mapped, f"{tokens.VOCABULARIES}/byte_bpe_50k.tiktoken")
+    run = mapped.mapInArrow.call_args.args[0]
+
+    def least(work):
+        took = []
+        for _ in range(4):
+            began = time.process_time()
+            work()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    counts = Counter({a: n for b in run([batch]) for a, n in zip(b["atom"].to_pylist(), b["n"].to_pylist())})
+    assert sum(len(a) * n for a, n in counts.items()) == sum(len(t.encode()) for t in texts)
+    assert least(lambda: list(run([batch]))) < least(lambda: [usual(t) for t in texts])
+
+
 def test_decoding_is_a_round_trip(spark):
     good = [t for t in TEXTS if t]
     enc = tokens.encode(frame(spark, good), "k", "t")
